@@ -89,16 +89,19 @@ def moves(blocks: dict[tuple[int, int, int], int], shards: int) -> dict[tuple[in
 
 
 def level(held: list[list[tuple[int, list]]], most: int = 4000) -> None:
-    """Blocks don't divide as a flow does: while that narrows the gap, the fullest shard hands a block to the emptiest."""
+    """Blocks don't divide as a flow does: while that narrows a gap, a full shard hands a block to the emptiest."""
     for own in held:
         own.sort()
     sizes = [sum(x[0] for x in own) for own in held]
     for _ in range(most):
-        full, low = max(range(len(sizes)), key=sizes.__getitem__), min(range(len(sizes)), key=sizes.__getitem__)
-        gap = sizes[full] - sizes[low]
-        at = bisect.bisect(held[full], (gap / 2,))
-        near = [i for i in (at - 1, at) if 0 <= i < len(held[full]) and 0 < held[full][i][0] < gap]
-        if not near:
+        low = min(range(len(sizes)), key=sizes.__getitem__)
+        for full in sorted(range(len(sizes)), key=lambda s: -sizes[s]):  # one that holds a single huge row can't help
+            gap = sizes[full] - sizes[low]
+            at = bisect.bisect(held[full], (gap / 2,))
+            near = [i for i in (at - 1, at) if 0 <= i < len(held[full]) and 0 < held[full][i][0] < gap]
+            if near:
+                break
+        else:
             return
         unit = held[full].pop(min(near, key=lambda i: abs(held[full][i][0] - gap / 2)))
         bisect.insort(held[low], unit)
