@@ -6,6 +6,7 @@ decides which pairs are worth an exact comparison of the full sets.
 
 Texts with the same words are folded into one representative first. Band buckets are joined as stars around their
 smallest document, so a bucket of m documents makes m - 1 rows; the connected components of the stars are families.
+The first quarter of the bands joins most of a family, and later bands only see which families still differ.
 Every pair that shares a band is inside one family. A family is dealt out in blocks of bounded size, each pair of
 blocks is one group, and a group returns a spanning set of its confirmed links, never all pairs.
 """
@@ -132,6 +133,13 @@ def confirmed(tiles: DataFrame, width: int, percent: int, k: int, margin: float)
     return tiles.groupBy("family", "tile").applyInPandas(links, "a long, b long")
 
 
+def stars(texts: DataFrame) -> DataFrame:
+    """Edges (a, b) from all that share a band key to the smallest among them, where they are not the same already."""
+    keyed = texts.select("rep", F.explode("bands").alias("key"))
+    least = keyed.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b < most").select("key", "b")
+    return keyed.join(least, "key").where("rep > b").select(F.col("rep").alias("a"), "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 64, rows: int = 8, bits: int = 2, block: int = 256, margin: float = 0.15) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
@@ -145,9 +153,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("planes", "bands"), "doc_id").alias("s")).select("digest", "rep", "s.planes", "s.bands"),
         "near-texts",
     )
-    keyed = texts.select("rep", F.explode("bands").alias("key"))
-    stars = keyed.groupBy("key").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
-    families = components(keyed.join(stars, "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), "near-family")
+    first = max(1, bands // 4)
+    families = components(stars(texts.select("rep", F.slice("bands", 1, first).alias("bands"))), "near-family")
+    later = texts.join(families.withColumnRenamed("id", "rep"), "rep", "left").select(F.coalesce("component", "rep").alias("rep"), F.slice("bands", first + 1, bands).alias("bands"))
+    families = components(families.select(F.col("id").alias("a"), F.col("component").alias("b")).union(stars(later)), "near-family")
     sizes = families.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     members = families.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     planes = texts.groupBy(F.col("rep").alias("id")).agg(F.first("planes").alias("planes"))
