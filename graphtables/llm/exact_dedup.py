@@ -21,8 +21,13 @@ def normalised(text: Column) -> Column:
 
 
 def named(keys: DataFrame, label: str) -> DataFrame:
-    """The distinct rows of keys in sorted order, each with an integer name."""
-    return saved(keys.distinct().orderBy(*keys.columns).withColumn("name", F.monotonically_increasing_id()), label)
+    """The distinct rows of keys in sorted order, each with an integer name.
+
+    Ranges are cut by a short head and a hash, so that sampling them never carries whole blocks to the driver."""
+    first = F.col(keys.columns[0])
+    head = [F.substring(first.cast("string"), 1, 16), F.xxhash64(*keys.columns)]
+    ordered = keys.distinct().repartitionByRange(*head).sortWithinPartitions(*head, *keys.columns)
+    return saved(ordered.withColumn("name", F.monotonically_increasing_id()), label)
 
 
 def identities(texts: DataFrame, block: int) -> DataFrame:
