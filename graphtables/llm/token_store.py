@@ -20,10 +20,16 @@ from pyspark.sql import functions as F
 from .common import saved, scratch, slices
 from .tokens import PieceEncoder
 
-LIMIT, STEP = 20, 512
-RAW = "part long, block long, doc_ids binary, counts binary, ids binary"
-STORED = "part long, block long, n_ids long, doc_ids binary, counts binary, bits binary, marks binary"
-READ = "part long, block long, n_ids long, doc_id long, start long, ids binary"
+LIMIT, STEP = 20, 128
+RAW = "part long, before long, doc_ids binary, counts binary, ids binary"
+STORED = "part long, before long, n_ids long, doc_ids binary, counts binary, bits binary, marks binary"
+READ = "part long, start long, doc_id long, ids binary"
+
+
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch one by one, binary values as buffers that are not copied."""
+    for n in range(batch.num_rows):
+        yield {c: v.as_buffer() if pa.types.is_binary(v.type) else v.as_py() for c, v in zip(batch.schema.names, (col[n] for col in batch.columns))}
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -97,24 +103,29 @@ class Decoder:
 
 
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int, partitions: int) -> DataFrame:
-    """Blocks of ids (little-endian uint32) of whole texts, in ascending doc_id order over (part, block)."""
+    """Blocks of ids (little-endian uint32) of whole texts, in ascending doc_id order over (part, before).
+
+    before counts the ids of the part's earlier blocks."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, block = PieceEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, before = PieceEncoder(tokenizer), TaskContext.get().partitionId(), 0
         held: list[tuple] = []
 
         def row() -> pa.RecordBatch:
-            columns = [np.concatenate(c).tobytes() for c in zip(*held)]
+            nonlocal before
+            doc_ids, counts, ids = (np.concatenate(c) for c in zip(*held))
             held.clear()
-            return pa.RecordBatch.from_pydict({"part": [part], "block": [block], "doc_ids": columns[:1], "counts": columns[1:2], "ids": columns[2:]}, pa.schema([("part", pa.int64()), ("block", pa.int64()), *((c, pa.binary()) for c in ("doc_ids", "counts", "ids"))]))
+            before += len(ids)
+            values = (part, before - len(ids), doc_ids.tobytes(), counts.tobytes(), ids.tobytes())
+            names = [c.split()[0] for c in RAW.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in values], names=names)
 
-        for rows in slices(batches, "text", 2_000_000):
+        for rows in slices(batches, "text", 1_000_000):
             ids, counts = encoder([t or "" for t in rows.column(1).to_pylist()])
             ids = np.insert(ids, np.cumsum(counts), end_id)
             held.append((rows.column(0).to_numpy().astype("<i8"), (counts + 1).astype("<i8"), ids.astype("<u4")))
             if sum(len(h[2]) for h in held) >= block_ids:
                 yield row()
-                block += 1
         if held:
             yield row()
 
@@ -128,8 +139,8 @@ def frequencies(blocks: DataFrame, column: str = "ids") -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                own = np.bincount(np.frombuffer(ids, "<u4"), minlength=len(total))
+            for row in rows_of(batch):
+                own = np.bincount(np.frombuffer(row["ids"], "<u4"), minlength=len(total))
                 own[: len(total)] += total
                 total = own
         used = np.flatnonzero(total)
@@ -142,7 +153,7 @@ def frequencies(blocks: DataFrame, column: str = "ids") -> np.ndarray:
     return out
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block_ids: int = 1_000_000) -> None:
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block_ids: int = 250_000) -> None:
     """Writes path/blocks (one record a block) and path/code (the code length of each id)."""
     spark = docs.sparkSession
     blocks = saved(tokenised(docs, tokenizer, end_id, block_ids, int(spark.conf.get("spark.sql.shuffle.partitions"))), "ids", compression="zstd")
@@ -150,12 +161,12 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, blo
     codes = canonical(lengths)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], "<u4")
-                bits, begin = pack_bits(ids, codes, lengths)
-                kept = {"part": row["part"], "block": row["block"], "n_ids": len(ids), "doc_ids": row["doc_ids"], "counts": row["counts"], "bits": bits, "marks": begin[::STEP].astype("<i8").tobytes()}
-                yield pa.RecordBatch.from_pylist([kept], pa.schema([(c, pa.int64() if c in ("part", "block", "n_ids") else pa.binary()) for c in kept]))
+        names = [c.split()[0] for c in STORED.split(", ")]
+        for row in (r for batch in batches for r in rows_of(batch)):
+            ids = np.frombuffer(row["ids"], "<u4")
+            bits, begin = pack_bits(ids, codes, lengths)
+            values = (row["part"], row["before"], len(ids), row["doc_ids"].to_pybytes(), row["counts"].to_pybytes(), bits, begin[::STEP].astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in values], names=names)
 
     blocks.mapInArrow(encode, STORED).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     spark.createDataFrame([(lengths.tobytes(),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")
@@ -167,26 +178,20 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(lengths)
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids = decoder(row["bits"], np.frombuffer(row["marks"], "<i8"), row["n_ids"]).astype("<u4")
-                doc_ids, counts = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["counts"], "<i8")
-                ends = np.concatenate([[0], np.cumsum(counts)])
-                own = [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
-                arrays = [pa.array(np.full(len(own), row[c]), pa.int64()) for c in ("part", "block", "n_ids")]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(doc_ids), pa.array(ends[:-1]), pa.array(own, pa.binary())], names=["part", "block", "n_ids", "doc_id", "start", "ids"])
+        for row in (r for batch in batches for r in rows_of(batch)):
+            ids = decoder(row["bits"], np.frombuffer(row["marks"], "<u4"), row["n_ids"]).astype("<u4").tobytes()
+            ends = np.concatenate([[0], np.cumsum(np.frombuffer(row["counts"], "<i8"))])
+            own = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((4 * ends).astype("<i4")), pa.py_buffer(ids)])
+            start = ends[:-1] + row["before"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), row["part"])), pa.array(start), pa.array(np.frombuffer(row["doc_ids"], "<i8")), own], names=["part", "start", "doc_id", "ids"])
 
     stored = spark.read.schema(STORED).parquet(f"{path}/blocks")
-    # ids before each block: partitions before it (a row a partition comes to the driver), then blocks before it
-    sizes = stored.groupBy("part", "block").agg(F.sum("n_ids").alias("n"))
     before, total = [], 0
-    for part, n in sorted((r.part, r.n) for r in sizes.groupBy("part").agg(F.sum("n").alias("n")).collect()):
+    for part, n in sorted((r.part, r.n) for r in stored.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()):  # a row a partition
         before.append((part, total))
         total += n
-    parts = F.broadcast(spark.createDataFrame(before, "part long, part_start long"))  # a row a partition
-    later = sizes.alias("a").join(sizes.select("part", F.col("block").alias("other"), F.col("n").alias("m")), "part").groupBy("part", "block").agg(F.sum(F.when(F.col("other") < F.col("block"), F.col("m")).otherwise(0)).alias("block_start"))
-    offsets = later.join(parts, "part")
-    return stored.mapInArrow(decode, READ).join(offsets, ["part", "block"]).select("doc_id", (F.col("start") + F.col("part_start") + F.col("block_start")).alias("start"), "ids")
+    parts = F.broadcast(spark.createDataFrame(before, "part long, part_start long"))
+    return stored.mapInArrow(decode, READ).join(parts, "part").select("doc_id", (F.col("start") + F.col("part_start")).alias("start"), "ids")
 
 
 def token_digest(docs: DataFrame, tokenizer: str) -> DataFrame:

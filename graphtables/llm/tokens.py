@@ -46,7 +46,7 @@ class Known(dict):
 class PieceEncoder:
     """Calls give (ids, counts): the ids of all texts end to end, and how many each text has."""
 
-    def __init__(self, file: str, most: int = 600_000):
+    def __init__(self, file: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -54,7 +54,8 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.words = json.loads(Path(file).read_text(encoding="utf-8"))["pre_tokenizer"]["type"] == "Sequence"
         self.pattern = re.compile(WORD_ENDS if self.words else BYTE_LEVEL)
-        self.shown, self.most = byte_letters(), most
+        self.shown, self.most = dict(enumerate(byte_letters())), most
+        self.model = self.tokenizer.model
         self.forget()
 
     def forget(self) -> None:
@@ -69,7 +70,7 @@ class PieceEncoder:
     def merged(self, piece: str) -> list[int]:
         if piece.startswith("\x00\n"):
             return self.tokenizer.encode(piece[2:], add_special_tokens=False).ids
-        return [t.id for t in self.tokenizer.model.tokenize("".join([self.shown[b] for b in piece.encode()]))]
+        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))]
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > self.most:
