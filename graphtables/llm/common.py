@@ -89,15 +89,23 @@ class WordHashes:
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(id, component) for every end of the edges (a, b): the smallest id reachable.
 
-    Each round takes the least label among neighbours and then the label of that label, so paths shorten by
-    doubling; rounds are written tables. Nothing is collected but one count a round."""
-    sym = saved(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), f"{label}-edges")
-    now = saved(sym.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component")), f"{label}-labels")
+    Each round hooks every id to its least neighbour, follows the hooks to their roots by doubling, and keeps only
+    the edges between different roots, so a round works on what is not joined yet. Rounds are written tables;
+    nothing but the question whether rows are left comes to the driver."""
+    left = saved(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), f"{label}-edges")
+    labels = None
     while True:
-        near = sym.join(now.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        step = now.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("mid"))
-        up = now.select(F.col("id").alias("mid"), F.col("component").alias("up"))
-        new = saved(step.join(up, "mid").select("id", "was", F.least("mid", "up").alias("component")), f"{label}-labels")
-        now = new.select("id", "component")
-        if new.where("was <> component").isEmpty():
-            return now
+        hooks = saved(left.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")), f"{label}-hooks")
+        moving = True
+        while moving:
+            up = hooks.select(F.col("a").alias("root"), F.col("root").alias("up"))
+            step = saved(hooks.join(up, "root").select("a", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), f"{label}-hooks")
+            hooks, moving = step.select("a", "root"), not step.where("moved").isEmpty()
+        if labels is None:
+            labels = hooks.select(F.col("a").alias("id"), F.col("root").alias("component"))
+        else:
+            labels = saved(labels.join(hooks.withColumnRenamed("a", "component"), "component", "left").select("id", F.coalesce("root", "component").alias("component")), f"{label}-labels")
+        ends = left.join(hooks.withColumnRenamed("root", "root_a"), "a").join(hooks.select(F.col("a").alias("b"), F.col("root").alias("root_b")), "b")
+        left = saved(ends.where("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), f"{label}-edges")
+        if left.isEmpty():
+            return labels

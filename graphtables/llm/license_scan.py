@@ -40,7 +40,7 @@ TEMPLATES = {
     "AGPL": ("This work is licensed under the GNU Affero General Public License, version 3.",),
     "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Released under the BSD License."),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-    "ARR": ("Copyright. All rights reserved.",),
+    "ARR": ("All rights reserved.",),
 }
 CUE = re.compile(r"licen[sc]|copyright|©|all rights reserved|permission is hereby|redistribut|warrant|\bSPDX\b|creative commons|\bCC[ -]BY", re.I)
 WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")

@@ -235,6 +235,16 @@ def test_reshard_levels_bytes_and_keeps_rows(docs, none, tmp_path):
     assert reshard.resharded(none, str(tmp_path / "b"), shards=4).count() == 0
 
 
+def test_components_of_long_paths(spark):
+    from graphtables.llm.common import components
+
+    ids = list(range(100))
+    random.Random(1).shuffle(ids)
+    edges = list(zip(ids, ids[1:])) + [(1000, 1001), (1002, 1001), (5, 5)]
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
+    assert got == {i: 0 for i in range(100)} | {i: 1000 for i in (1000, 1001, 1002)}
+
+
 def test_flow_moves_the_fewest_bytes():
     supply, capacity = [50, 5, 20, 25], [25, 25, 25, 25]
     sent = reshard.flow(supply, capacity, [[int(i != j) for j in range(4)] for i in range(4)])
