@@ -108,7 +108,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: in
                         limit = min(limit, float(np.partition(high[i], k - 1)[k - 1]))
                     near = np.flatnonzero((low[i] <= limit) & ~own[i])
                     heap = heaps.setdefault(query, [])
-                    score = np.sqrt(((c[near] - q[i]) ** 2).sum(axis=1))
+                    score = np.sqrt(np.cumsum((c[near] - q[i]) ** 2, axis=1)[:, -1])  # summed in order, as anyone would
                     for s, vec_id in zip(score.tolist(), c_ids[near].tolist()):
                         if len(heap) < k:
                             heapq.heappush(heap, (-s, -vec_id))
@@ -127,10 +127,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: in
 
 ORACLE_SQL = """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, e -> e IS NULL OR NOT isfinite(e))) = 0
-             AND len(list_filter(embedding, e -> e <> 0)) > 0),
-d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.x, c.x), p -> (p[1] - p[2]) * (p[1] - p[2])))) AS score
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+             AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score
       FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 100 = 0),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank, vec_id, score FROM d)
-SELECT query_id, rank, vec_id, round(score, 9) AS score FROM r WHERE rank <= 10
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
