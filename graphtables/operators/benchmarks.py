@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import padded_id
@@ -69,3 +69,16 @@ def renamed(rows: DataFrame, names: dict[str, str]) -> DataFrame:
     if len(set(map(str.lower, new))) != len(new) or any(k == v for k, v in names.items()) or set(names) - set(rows.columns):
         raise ValueError("the renaming is not one to one")
     return rows.toDF(*new)
+
+
+def sampled_edges(pairs: DataFrame, least_out: int, most_out: int, least_in: int, most_in: int, seed: int) -> DataFrame:
+    """A seeded choice among allowed (src, dst) that respects degrees where the pairs permit.
+
+    First every target takes `least_in` sources, then every source fills up to its quota; pairs beyond `most_in` of a
+    target or `most_out` of a source are left out, the seeded order deciding. `degrees` reports what came out."""
+    order = F.xxhash64(F.lit(seed), "src", "dst")
+    place = lambda key, *by: F.row_number().over(Window.partitionBy(key).orderBy(*by))
+    quota = F.lit(least_out) + F.pmod(F.xxhash64(F.lit(seed), "src"), F.lit(most_out - least_out + 1))
+    ranked = pairs.select("src", "dst").distinct().withColumn("h", order).withColumn("needed", place("dst", "h") <= least_in)
+    wanted = ranked.withColumn("k", place("src", F.desc("needed"), "h")).where((F.col("k") <= quota) | (F.col("needed") & (F.col("k") <= most_out)))
+    return wanted.withColumn("m", place("dst", F.desc("needed"), "h")).where(F.col("m") <= most_in).select("src", "dst")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.values import identifier, jaccard, name_tokens, present, snake_case, value
 from .operators import answers, benchmarks, edges, entities, keys, profile
+from .plans import schema
 from .plans.graph import Edge, Match, PropertyGraph, numbered, winners
 from .sources.tables import table
 
@@ -407,6 +408,29 @@ def snake_names(g, t):
     return t.orders.select(snake_case(F.col("o_orderpriority")).alias("name")).distinct()
 
 
+@query("SELECT n_name AS nation, count(*) AS orders, count(DISTINCT o_custkey) AS customers FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name")
+def wide_table_graph(g, t):
+    """A graph induced from one wide table without keys, then asked over two hops."""
+    wide = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    clusters = [schema.Proposal("wide", "o", "Order", ("o_orderkey",), ("o_orderstatus",)), schema.Proposal("wide", "c", "Customer", ("c_custkey",), ("c_name",)), schema.Proposal("wide", "n", "Nation", ("n_nationkey",), ("n_name",))]
+    relations = [schema.Relation("wide", "c", "o", "places"), schema.Relation("wide", "c", "n", "lives_in"), schema.Relation("wide", "o", "o", "itself")]
+    declared = schema.checked(schema.Schema(clusters, relations), {})
+    own = schema.built({"wide": wide}, {"wide": "o_orderkey"}, declared, repair=False)
+    m = own.match("n", "Nation", ("n_name",)).into("n", "lives_in", "c").out("c", "places", "o")
+    return m.rows.groupBy("n_id", F.col("n_n_name").alias("nation")).agg(F.count("*").alias("orders"), F.count_distinct("c_id").alias("customers")).drop("n_id")
+
+
+@query("SELECT least >= 0 AS sound, violations = 0 AS clean FROM (SELECT 0 AS least, count(*) FILTER (WHERE s_nationkey IS NULL) AS violations FROM supplier)")
+def sampled_edges_hold(g, t):
+    """Seeded edges between suppliers and nations of their region keep every degree bound and anchor."""
+    sources = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.col("n_regionkey").alias("anchor"))
+    targets = t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("anchor"))
+    found = benchmarks.sampled_edges(benchmarks.allowed_pairs(sources, targets), 1, 3, 1, 1_000_000, 11)
+    out = benchmarks.degrees(sources, found, "src").withColumn("sound", (F.col("least") >= 0) & (F.col("most") <= 3))
+    bad = benchmarks.violations(found, sources, targets).agg((F.count("*") == 0).alias("clean"))
+    return out.select("sound").crossJoin(bad)
+
+
 # denormalised tables and benchmark data
 
 @query("SELECT c_name AS customer, o_orderkey AS o, o_totalprice AS price FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P'")
