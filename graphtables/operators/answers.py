@@ -83,5 +83,8 @@ def checked(rows: DataFrame, got: str, want: str) -> DataFrame:
     return rows.withColumn("correct", correct(F.col(got), F.col(want)))
 
 
-def accuracy(rows: DataFrame, by: list[str]) -> DataFrame:
-    return rows.groupBy(*by).agg(F.count("*").alias("total"), F.sum(F.col("correct").cast("long")).alias("correct"), F.round(F.avg(F.col("correct").cast("double")), 4).alias("accuracy"))
+def accuracy(rows: DataFrame, by: list[str], got: str, want: str) -> DataFrame:
+    """total, correct and accuracy for each `by`; equal pairs of answers are compared once."""
+    pairs = checked(rows.groupBy(*by, got, want).agg(F.count("*").alias("n")), got, want)
+    hits = F.sum(F.when(F.col("correct"), F.col("n")).otherwise(0))
+    return pairs.groupBy(*by).agg(F.sum("n").alias("total"), hits.alias("correct"), F.round(hits / F.sum("n"), 4).alias("accuracy"))

@@ -499,7 +499,7 @@ def answer_combine(g, t):
 @query("SELECT o_orderpriority AS kind, count(*) AS total, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS correct, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 4) AS accuracy FROM orders GROUP BY 1")
 def accuracy_report(g, t):
     rows = t.orders.select(F.col("o_orderpriority").alias("kind"), F.concat(F.lit("['"), F.lower("o_orderstatus"), F.lit("']")).alias("got"), F.lit("F").alias("want"))
-    return answers.accuracy(answers.checked(rows, "got", "want"), ["kind"])
+    return answers.accuracy(rows, ["kind"], "got", "want")
 
 
 @query("SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_name IS NOT NULL AND trim(c_name) <> ''")
