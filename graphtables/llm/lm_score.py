@@ -1,14 +1,15 @@
 """Language-model scoring by a weighted backoff automaton.
 
-Level one holds every word: add-one unigrams over the training texts. Words whose share of the training tokens is
-`state_share` or more become states; a pair of a state and a following word whose share is `arc_share` or more
-becomes an arc with an absolutely discounted probability. Each state has a failure arc to the root whose weight is
-the mass its kept arcs leave over, so the probabilities after every word sum to one. Shares bound the automaton by
-arithmetic (at most 1/state_share states and 1/arc_share arcs), whatever the size of the corpus; all counts cover
-all training texts.
-
-Texts are turned into chunks of word numbers with a vocabulary of their own. Word counts meet the chunks again in
-Spark, a row for each chunk and different word, so no task ever holds the vocabulary of the corpus.
+The root holds every word: add-one unigrams over the training texts. Every word of the training texts is a state, and
+so is the start of a text; every pair of neighbours in a training text is an arc. A state seen c times has a prior of
+`prior` tokens dealt as the root deals them: an arc seen n times has probability (n + prior * p1) / (c + prior), and
+the failure arc to the root weighs prior / (c + prior), so the probabilities after every state sum to one. No count is
+cut off or capped; the automaton grows with the corpus.
+
+Texts are turned into chunks of word numbers with a vocabulary of their own. A chunk's different words and pairs are
+sorted 64-bit keys; they are cut in ranges of keys that all chunks share, and one group adds up one range and hands each
+chunk its counts back in the chunk's own order. So no task ever holds the automaton of the corpus, and a key occurs in a
+group once for each chunk, however frequent it is.
 """
 
 from __future__ import annotations
@@ -20,23 +21,27 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, binary, saved, slices
+from .common import LOWER, WordHashes, binary, mixed, saved, slices
 
 #: Keys that no word hashes to but by a chance of 2**-64: the end of a text, and the state before its first word.
 END, START = np.uint64(1), np.uint64(2)
-CHUNK = "chunk long, doc_ids binary, counts binary, held binary, words binary, keys binary, seen binary"
+LEFT, RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+WORDS, PAIRS = 0, 1
+CHUNK = "chunk long, doc_ids binary, named binary, counts binary, held binary, words binary, keys binary, n_grams long, learnt long"
+GRAMS = "kind int, span long, chunk long, keys binary, seen binary"
+COUNTED = "chunk long, kind int, span long, c binary, total long, known long"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def held_out(doc_ids: list[int], modulus: int, remainder: int) -> np.ndarray:
-    return np.array([zlib.crc32(str(i).encode()) % modulus == remainder for i in doc_ids], bool)
+def held_out(doc_ids: list[int | None], modulus: int, remainder: int) -> np.ndarray:
+    return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % modulus == remainder for i in doc_ids], bool)
 
 
 def chunks(docs: DataFrame, modulus: int, remainder: int, chunk_bytes: int) -> DataFrame:
-    """One row for each chunk of whole texts: word numbers, the chunk's vocabulary, and its counts in training texts."""
+    """One row for each chunk of whole texts: word numbers, and the sorted keys of the chunk's vocabulary."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, number, part = WordHashes(), 0, TaskContext.get().partitionId() << 33
@@ -47,103 +52,104 @@ def chunks(docs: DataFrame, modulus: int, remainder: int, chunk_bytes: int) -> D
                 own = hashes(text.translate(LOWER).split())
                 keys.append(np.array([*own, END], np.uint64))
                 counts.append(len(own) + 1)
-            held = held_out(doc_ids, modulus, remainder)
             vocabulary, words = np.unique(np.concatenate(keys), return_inverse=True)
-            seen = np.bincount(words[np.repeat(~held, counts)], minlength=len(vocabulary))
-            row = {"chunk": part + number, "doc_ids": np.array(doc_ids, "<i8"), "counts": np.array(counts, "<i8"), "held": held, "words": words.astype("<i4"), "keys": vocabulary.view("<i8"), "seen": seen.astype("<i4")}
+            row = {
+                "chunk": part + number,
+                "doc_ids": np.array([i or 0 for i in doc_ids], "<i8"),
+                "named": np.array([i is not None for i in doc_ids], bool),
+                "counts": np.array(counts, "<i8"),
+                "held": held_out(doc_ids, modulus, remainder),
+                "words": words.astype("<i4"),
+                "keys": vocabulary,
+                "n_grams": len(vocabulary) + len(words),
+            }
+            row["learnt"] = int((~row["held"]).sum())
             number += 1
-            yield pa.RecordBatch.from_pylist([{k: v if k == "chunk" else v.tobytes() for k, v in row.items()}], pa.schema([(k, pa.int64() if k == "chunk" else pa.binary()) for k in row]))
+            whole = ("chunk", "n_grams", "learnt")
+            yield pa.RecordBatch.from_pylist([{k: v if k in whole else v.tobytes() for k, v in row.items()}], pa.schema([(k, pa.int64() if k in whole else pa.binary()) for k in row]))
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, CHUNK)
 
 
-def vocabulary(chunked: DataFrame) -> DataFrame:
-    """chunk, key, n (in the chunk), c (in all training texts), first (one row of each key is its first)."""
+def neighbours(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of every token's word, the number of the word before it (-1: the start), and the key of the pair."""
+    keys, words = np.frombuffer(row["keys"], "<u8"), np.frombuffer(row["words"], "<i4")
+    before = np.append(np.int32(-1), words[:-1])
+    before[np.cumsum(np.frombuffer(row["counts"], "<i8"))[:-1]] = -1
+    return words, before, mixed(np.append(keys, START)[before] * LEFT + keys[words] * RIGHT)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                keys = np.frombuffer(r["keys"], "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), r["chunk"])), pa.array(keys), pa.array(np.frombuffer(r["seen"], "<i4").astype(np.int64))], names=["chunk", "key", "n"])
 
-    words = chunked.select("chunk", "keys", "seen").mapInArrow(rows, "chunk long, key long, n long")
-    of_key = Window.partitionBy("key")  # a row for each chunk that has the word
-    return words.select("chunk", "key", F.sum("n").over(of_key).alias("c"), (F.col("chunk") == F.min("chunk").over(of_key)).alias("first"))
+def spans(keys: np.ndarray, most: int) -> np.ndarray:
+    """The range that each key falls in; sorted keys have ascending ranges."""
+    return ((keys >> np.uint64(32)) * np.uint64(most)) >> np.uint64(32)
 
 
-def pair_counts(chunked: DataFrame, states: np.ndarray, heads: int) -> DataFrame:
-    """Counts of (state, next word) over training texts, both among the sorted states; state `heads` is the start."""
+def grams(chunked: DataFrame, most: dict[int, int]) -> DataFrame:
+    """A row for each chunk, kind and range of keys in it: the sorted keys, and how often each is seen in training."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                h, w = followed(r, states, heads)
-                counts = np.frombuffer(r["counts"], "<i8")
-                h, w = (x[np.repeat(~np.frombuffer(r["held"], bool), counts)] for x in (h, w))
-                both = (h >= 0) & (w >= 0)
-                pair, n = np.unique((h[both].astype(np.int64) << 32) | w[both], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n.astype(np.int64))], names=["pair", "n"])
-
-    return chunked.select("counts", "held", "words", "keys").mapInArrow(rows, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-
-
-def followed(row: dict, states: np.ndarray, heads: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every token of a chunk the state before it and its own state, -1 for the root."""
-    keys, words = np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["words"], "<i4")
-    at = np.minimum(np.searchsorted(states, keys), max(len(states) - 1, 0))
-    state = np.where(states[at] == keys, at, -1) if len(states) else np.full(len(keys), -1)
-    w = state[words]
-    h = np.append(np.int64(heads), w[:-1])
-    h[np.cumsum(np.frombuffer(row["counts"], "<i8"))[:-1]] = heads
-    return h, w
-
-
-def scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, state_share: float = 1e-4, arc_share: float = 1e-6, discount: float = 0.75, chunk_bytes: int = 16_000_000) -> DataFrame:
+        for r in (r for batch in batches for r in batch.to_pylist()):
+            words, _, pairs = neighbours(r)
+            learnt = np.repeat(~np.frombuffer(r["held"], bool), np.frombuffer(r["counts"], "<i8"))
+            keys = np.frombuffer(r["keys"], "<u8")
+            different, at = np.unique(pairs, return_inverse=True)
+            for kind, keys, at in ((WORDS, keys, words), (PAIRS, different, at)):
+                seen = np.bincount(at[learnt], minlength=len(keys)).astype("<i4")
+                span = spans(keys, most[kind])
+                cuts = np.flatnonzero(np.diff(span, prepend=span[0] + np.uint64(1)))
+                for begin, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
+                    row = {"kind": kind, "span": int(span[begin]), "chunk": r["chunk"], "keys": keys[begin:end].tobytes(), "seen": seen[begin:end].tobytes()}
+                    yield pa.RecordBatch.from_pylist([row], pa.schema([("kind", pa.int32()), ("span", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("seen", pa.binary())]))
+
+    return chunked.select("chunk", "counts", "held", "words", "keys").mapInArrow(rows, GRAMS)
+
+
+def added_up(group: pd.DataFrame) -> pd.DataFrame:
+    """Counts over all training texts for each chunk's keys of a range; the range's sums stand in its first row."""
+    sizes = [len(k) // 8 for k in group["keys"]]
+    different, at = np.unique(np.frombuffer(b"".join(group["keys"]), "<u8"), return_inverse=True)
+    c = np.bincount(at, np.frombuffer(b"".join(group["seen"]), "<i4"), len(different)).astype("<i8")  # sums below 2**53 are exact
+    own = np.split(c[at], np.cumsum(sizes)[:-1])
+    rest = [0] * (len(group) - 1)
+    return pd.DataFrame({"chunk": group["chunk"], "kind": group["kind"], "span": group["span"], "c": [x.tobytes() for x in own], "total": [int(c.sum()), *rest], "known": [int((c > 0).sum()), *rest]})
+
+
+def scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, prior: float = 30.0, chunk_bytes: int = 16_000_000, span_keys: int = 1_000_000) -> DataFrame:
     """One row a row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Learns from texts whose crc32(doc_id as text) modulo `modulus` is not `remainder`; scores all. base_score is the
-    add-one unigram score; score is the automaton's log10 probability of the text with its end. Null texts count as
-    empty: one token, the end. Repeated rows count as often as they occur; further columns are ignored. An empty
-    table gives an empty result; without training texts every token has probability one."""
+    Learns from texts whose crc32(doc_id as text) modulo `modulus` is not `remainder` (a null doc_id as empty text);
+    scores all. base_score is the add-one unigram score; score is the automaton's log10 probability of the text with
+    its end. Null texts count as empty: one token, the end. Repeated rows count as often as they occur; further columns
+    are ignored. An empty table gives an empty result; without training texts every token has probability one.
+    `span_keys` keys of all chunks lie in a range on average; the number of ranges grows with the corpus."""
     spark = docs.sparkSession
     chunked = saved(chunks(docs, modulus, remainder, chunk_bytes), "lm-chunks", compression="zstd")
-    words = saved(vocabulary(chunked), "lm-words")
-    total = words.where("first").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("v")).first()
-    n, v = int(total.n), int(total.v or 0)
-    common = words.where(F.col("first") & (F.col("c") >= max(1, state_share * n))).select("key", "c").collect()  # at most 1 / state_share rows
-    common.sort(key=lambda r: r.key)
-    states, counts = np.array([r.key for r in common], np.int64), np.array([r.c for r in common], np.float64)
-    heads = len(states)
-    end = np.searchsorted(states, END.view(np.int64))
-    ends = counts[end] if end < heads and states[end] == END.view(np.int64) else 0.0
-    after = np.append(counts, ends)  # tokens that follow each state; as many texts start as end
-    pairs = pair_counts(chunked, states, heads).where(F.col("n") >= max(2, arc_share * n)).collect()  # at most 1 / arc_share rows
-    arcs = np.array(sorted((r.pair, r.n) for r in pairs), np.int64).reshape(-1, 2)
-    h, w = arcs[:, 0] >> 32, arcs[:, 0] & 0xFFFFFFFF
-    direct = (arcs[:, 1] - discount) / after[h]
-    left = 1 - np.bincount(h, direct, heads + 1)
-    arc_score = np.log10(direct + left[h] * (counts[w] + 1) / (n + v + 1))
-    failure = np.log10(np.maximum(left, 1e-12))
-    model = spark.sparkContext.broadcast((states, arcs[:, 0], arc_score, failure))
-
-    def traverse(key: tuple, left_rows: pd.DataFrame, right_rows: pd.DataFrame) -> pd.DataFrame:
-        states, arcs, arc_score, failure = model.value
-        known = right_rows.sort_values("key")["c"].to_numpy()  # in the order of keys as signed numbers
+    sizes = chunked.agg(F.coalesce(F.sum("n_grams"), F.lit(0)).alias("grams"), F.coalesce(F.sum("learnt"), F.lit(0)).alias("texts")).first()
+    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = {WORDS: max(tasks // 4, sizes.grams // (4 * span_keys)), PAIRS: max(tasks, sizes.grams // span_keys)}
+    counted = saved(grams(chunked, most).groupBy("kind", "span").applyInPandas(added_up, COUNTED), "lm-counts", compression="zstd")
+    total = counted.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("known"), F.lit(0)).alias("v")).first()
+    n, v, texts = int(total.n), int(total.v), int(sizes.texts)
+
+    def traverse(key: tuple, chunk: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for row in left_rows.to_dict("records"):
-            keys, tokens, sizes = np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["words"], "<i4"), np.frombuffer(row["counts"], "<i8")
-            c = np.empty(len(keys), np.int64)
-            c[np.argsort(keys)] = known
-            base = np.log10((c + 1) / (n + v + 1))[tokens]
-            h, w = followed(row, states, heads)
-            score, pair = base + np.where(h >= 0, failure[h], 0), (h << 32) | w
-            if len(arcs):
-                at = np.minimum(np.searchsorted(arcs, pair), len(arcs) - 1)
-                score = np.where((h >= 0) & (w >= 0) & (arcs[at] == pair), arc_score[at], score)
+        counts = counts.sort_values("span")
+        of = {kind: np.frombuffer(b"".join(counts["c"][counts["kind"] == kind]), "<i8") for kind in (WORDS, PAIRS)}
+        for row in chunk.to_dict("records"):
+            words, before, pairs = neighbours(row)
+            sizes = np.frombuffer(row["counts"], "<i8")
+            root = ((of[WORDS] + 1) / (n + v + 1))[words]
+            state = np.append(of[WORDS], texts)[before]  # how often the state is seen, 0 for a word that training lacks
+            arc = of[PAIRS][np.unique(pairs, return_inverse=True)[1]]
+            base, failure = np.log10(root), np.log10(prior / (state + prior))
+            score = np.where(arc > 0, np.log10((arc + prior * root) / (state + prior)), failure + base)
             begin = np.cumsum(sizes) - sizes
-            sums = [np.add.reduceat(x, begin) for x in (c[tokens] > 0, base, score)]
-            out.append(pd.DataFrame({"doc_id": np.frombuffer(row["doc_ids"], "<i8"), "held_out": np.frombuffer(row["held"], bool), "n_tokens": sizes, "n_known": sums[0], "train_tokens": n, "base_score": sums[1], "score": sums[2]}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            known, base, score = (np.add.reduceat(x, begin) for x in ((of[WORDS] > 0)[words].astype(np.int64), base, score))
+            ids = pd.array(np.frombuffer(row["doc_ids"], "<i8"), "Int64")
+            ids[~np.frombuffer(row["named"], bool)] = pd.NA
+            out.append(pd.DataFrame({"doc_id": ids, "held_out": np.frombuffer(row["held"], bool), "n_tokens": sizes, "n_known": known, "train_tokens": n, "base_score": base, "score": score}))
+        return pd.concat(out)
+
+    own = chunked.drop("n_grams", "learnt").groupBy("chunk")
+    return own.cogroup(counted.select("chunk", "kind", "span", "c").groupBy("chunk")).applyInPandas(traverse, SCORED)
 
-    texts = chunked.drop("seen").groupBy("chunk")
-    return texts.cogroup(words.select("chunk", "key", "c").groupBy("chunk")).applyInPandas(traverse, SCORED)

@@ -177,7 +177,7 @@ def test_merge_rounds_equal_the_library_on_random_words():
 
 
 def test_scores_match_brute_force(docs, none):
-    got = by_id(lm_score.scores(docs, chunk_bytes=3000))
+    got = by_id(lm_score.scores(docs, chunk_bytes=3000, span_keys=200))
     texts = {i: [*bytes.lower((t or "").encode()).split(), b""] for i, t in corpus()}  # no word is empty: the end
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
     c = Counter(w for i, ws in texts.items() if not held[i] for w in ws)
@@ -185,15 +185,10 @@ def test_scores_match_brute_force(docs, none):
     starts = sum(not h for h in held.values())
     pairs = Counter(p for i, ws in texts.items() if not held[i] for p in zip([None, *ws], ws))
     p1 = lambda w: (c[w] + 1) / (n + v + 1)
-    ok = lambda w: c[w] >= max(1, 1e-4 * n)
-    kept = {(h, w): k for (h, w), k in pairs.items() if (h is None or ok(h)) and ok(w) and k >= max(2, 1e-6 * n)}
     size = lambda h: starts if h is None else c[h]
-    left = defaultdict(lambda: 1.0)
-    for (h, _), k in kept.items():
-        left[h] -= (k - 0.75) / size(h)
     for i, ws in texts.items():
         base = sum(math.log10(p1(w)) for w in ws)
-        score = sum(math.log10(((kept[(h, w)] - 0.75) / size(h) if (h, w) in kept else 0) + left[h] * p1(w)) for h, w in zip([None, *ws], ws))
+        score = sum(math.log10((pairs[(h, w)] + 30 * p1(w)) / (size(h) + 30)) for h, w in zip([None, *ws], ws))
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(c[w] > 0 for w in ws), n)
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9)
