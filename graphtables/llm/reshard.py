@@ -2,9 +2,9 @@
 
 Rows lie in old shards. Every shard gets the same capacity in bytes, and a minimum-cost flow from old sizes to new
 capacities says how many bytes each pair of shards exchanges; a byte that stays costs nothing, so the fewest bytes
-move. Bytes move as blocks: rows of a shard fall into `cells` blocks by their text and each block into `parts` by
-doc_id, so equal texts lie in one block and move together while their block fits. Only the table of blocks, of fixed
-size, comes to the driver. Then the files of the shards that lose or gain rows are rewritten.
+move. Bytes move as blocks: rows of a shard fall into `cells` blocks by their text, so equal texts move together. A
+block of more than a quarter of a shard, such as a hot text makes, falls into `parts` by doc_id. Only the table of
+blocks, of fixed size, comes to the driver. Then the files of the shards that lose or gain rows are rewritten.
 """
 
 from __future__ import annotations
@@ -123,16 +123,30 @@ def measured(rows: DataFrame, shards: int, cells: int, parts: int, laid_out: boo
     )
 
 
-def resharded(docs: DataFrame, path: str, shards: int = 40, cells: int = 256, parts: int = 8) -> DataFrame:
+def blocked(rows: DataFrame, shards: int) -> tuple[DataFrame, dict[tuple[int, int, int], tuple[int, int]]]:
+    """rows with part 0 in all but the large cells, and the bytes and rows of each block: a row a cell and the parts of
+    at most 4 * shards large cells come to the driver."""
+    measures = F.sum("size").alias("bytes"), F.count("*").alias("n")
+    cells = rows.groupBy("old_shard", "cell").agg(*measures).collect()
+    total = sum(r.bytes for r in cells)
+    large = {(r.old_shard, r.cell) for r in cells if 4 * r.bytes * shards > total}
+    split = F.broadcast(rows.sparkSession.createDataFrame([(*c, True) for c in sorted(large)], "old_shard int, cell int, large boolean"))  # at most 4 * shards rows
+    table = {(r.old_shard, r.cell, 0): (r.bytes, r.n) for r in cells if (r.old_shard, r.cell) not in large}
+    if large:
+        table |= {(r.old_shard, r.cell, r.part): (r.bytes, r.n) for r in rows.join(split, ["old_shard", "cell"]).groupBy(*BLOCK).agg(*measures).collect()}
+    return rows.join(split, ["old_shard", "cell"], "left").withColumn("part", F.when(F.col("large"), F.col("part")).otherwise(0)).drop("large"), table
+
+
+def resharded(docs: DataFrame, path: str, shards: int = 40, cells: int = 256, parts: int = 256) -> DataFrame:
     """Writes docs into path/shard=N with near-equal bytes; returns what is read back: doc_id, text, size, slot, shard.
 
     A row weighs its text's UTF-8 bytes (null: none) plus 16. Slots are gapless from 0 in each shard, in order of
-    block and doc_id. Equal texts lie in one shard unless their block alone is larger than the room left for it.
+    block and doc_id. Equal texts lie in one shard unless their block exceeds a quarter of a shard.
     Repeated rows are rows of their own; columns besides doc_id and text stay out; an empty table writes no shard."""
     spark = docs.sparkSession
     rows = measured(docs.select(F.col("doc_id").cast("long"), "text"), shards, cells, parts)
     spread = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards)  # tasks that write one shard
-    table = {(r.old_shard, r.cell, r.part): (r.bytes, r.n) for r in rows.groupBy(*BLOCK).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}  # at most shards * cells * parts rows
+    rows, table = blocked(rows, shards)
     placed = moves({b: size for b, (size, _) in table.items()}, shards)
     used, plan = [0] * shards, []
     for b in sorted(placed):
@@ -147,14 +161,14 @@ def resharded(docs: DataFrame, path: str, shards: int = 40, cells: int = 256, pa
     return spark.read.schema("doc_id long, text string, size long, slot long, shard int").parquet(path)
 
 
-def rewrite(spark, old_path: str, new_path: str, shards: int, cells: int = 256, parts: int = 8) -> list[int]:
+def rewrite(spark, old_path: str, new_path: str, shards: int, cells: int = 256, parts: int = 256) -> list[int]:
     """Reshards a stored table path/shard=N of (doc_id, text) from its real layout; returns the shards it rewrote.
 
     Only shards that lose or gain rows are written to new_path; the files of the others stay where they are."""
     stored = spark.read.parquet(old_path).select(F.col("doc_id").cast("long"), "text", F.col("shard").cast("int").alias("old_shard"))
     rows = measured(stored, shards, cells, parts, laid_out=True)
-    sizes = {(r.old_shard, r.cell, r.part): r.bytes for r in rows.groupBy(*BLOCK).agg(F.sum("size").alias("bytes")).collect()}  # at most old shards * cells * parts rows
-    placed = moves(sizes, shards)
+    rows, table = blocked(rows, shards)
+    placed = moves({b: size for b, (size, _) in table.items()}, shards)
     touched = sorted({s for b, to in placed.items() if b[0] != to for s in (b[0], to)})
     plan = F.broadcast(spark.createDataFrame([(*b, to) for b, to in placed.items()], "old_shard int, cell int, part int, shard int"))
     rows.join(plan, BLOCK).where(F.col("shard").isin(touched)).select("doc_id", "text", "shard").write.partitionBy("shard").parquet(new_path)
