@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, bits: int) ->
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, SIGNED)
 
 
-def confirmed(tiles: DataFrame, width: int, percent: int, k: int, margin: float) -> DataFrame:
+def confirmed(tiles: DataFrame, width: int, percent: int, k: int, margin: float, small: int) -> DataFrame:
     """Links (a, b) that hold on the full sets, enough of each group to connect what it connects."""
 
     def links(group: pd.DataFrame) -> pd.DataFrame:
@@ -122,7 +122,7 @@ def confirmed(tiles: DataFrame, width: int, percent: int, k: int, margin: float)
                 continue
             near = similarity(planes[i], planes[js], k)
             order = np.argsort(-near, kind="stable")
-            for j in js[order[near[order] >= percent / 100 - margin]]:
+            for j in js[order[(near[order] >= percent / 100 - margin) | (sizes[js[order]] <= small)]]:
                 if root[i] != root[j]:
                     both = len(sets[i] & sets[j])
                     if 100 * both >= percent * (sizes[i] + sizes[j] - both):
@@ -140,17 +140,19 @@ def stars(texts: DataFrame) -> DataFrame:
     return keyed.join(least, "key").where("rep > b").select(F.col("rep").alias("a"), "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 64, rows: int = 8, bits: int = 2, block: int = 256, margin: float = 0.15) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 64, rows: int = 8, bits: int = 2, block: int = 256, margin: float = 0.15, small: int = 64) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
     A link: 100 * |A and B| >= percent * |A or B| on the full shingle sets. With 64 bands of 8 rows a pair at
-    0.8 is missed by all bands with a chance of 8e-6; `margin` is six standard deviations of the estimate there.
+    0.8 is missed by all bands with a chance of 8e-6; `margin` is six standard deviations of the estimate there. Sets
+    of up to `small` shingles have few different minima, so the estimate wavers: those are compared in full at once.
     Null texts and texts without words have empty sets and link with nothing. Fewer words than `width` make one
     shingle. Equal texts share one representative, so copies are never expanded into pairs. Repeated doc_ids are
-    rows of their own; further columns are ignored."""
+    rows of their own; a row without doc_id links with nothing, has a null component_id and is kept; further columns
+    are ignored."""
     signed = saved(signatures(docs, width, bands, rows, bits), "near-signed")
     texts = saved(
-        signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("planes", "bands"), "doc_id").alias("s")).select("digest", "rep", "s.planes", "s.bands"),
+        signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("planes", "bands"), "doc_id").alias("s")).select("digest", "rep", "s.planes", "s.bands"),
         "near-texts",
     )
     first = max(1, bands // 4)
@@ -168,11 +170,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         .withColumn("tile", F.struct(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
         .drop("other")
     )
-    linked = components(confirmed(tiles, width, percent, bands * rows, margin), "near-linked")
+    linked = components(confirmed(tiles, width, percent, bands * rows, margin, small), "near-linked")
     classes = texts.select("digest", "rep").join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     return (
         signed.select("doc_id", "n_shingles", "digest")
         .join(classes, "digest", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
