@@ -59,7 +59,8 @@ def exact_duplicates(docs: DataFrame, block: int = 4096) -> DataFrame:
 
     Texts are equal when identical after deleting white space (space and U+0009 to U+000D); null counts as empty and
     empty texts equal each other. The row with the most code points in its original text stays, then the smallest
-    doc_id. A row that repeats another's doc_id and text is counted in group_size and marked as the other is.
+    doc_id. A row that repeats another's doc_id and text is counted in group_size and marked as the other is. A row
+    without doc_id can't name what stays: it is kept as a group of its own, with a null keep_id.
     Further columns are ignored; an empty table gives an empty result."""
     text = docs.select(F.col("doc_id").cast("long"), "text").withColumn("norm", normalised(F.col("text")))
     text = text.withColumn("sha", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
@@ -70,8 +71,9 @@ def exact_duplicates(docs: DataFrame, block: int = 4096) -> DataFrame:
     shared = saved(slim.groupBy("size", "print").agg(F.count("*").alias("copies")).where("copies > 1 AND size > 0").select("size", "print"), "exact-shared")
     candidates = slim.join(shared, ["size", "print"]).select("doc_id").distinct()
     names = identities(text.select("doc_id", "sha", "norm").join(candidates, "doc_id"), block)
+    empty = (F.col("size") == 0) & F.col("doc_id").isNotNull()
     members = saved(
-        slim.join(names, ["doc_id", "sha"], "left").select("doc_id", "sha", "points", F.when(F.col("size") == 0, F.lit(-1)).otherwise(F.col("level")).alias("level"), F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("name")).alias("name")),
+        slim.join(names, ["doc_id", "sha"], "left").select("doc_id", "sha", "points", F.when(empty, F.lit(-1)).otherwise(F.col("level")).alias("level"), F.when(empty, F.lit(0)).otherwise(F.col("name")).alias("name")),
         "exact-members",
     )
     grouped = members.where("level IS NOT NULL")
