@@ -21,8 +21,8 @@ from .common import saved, scratch, slices
 from .tokens import PieceEncoder
 
 LIMIT, STEP = 20, 128
-RAW = "part long, before long, doc_ids binary, counts binary, ids binary"
-STORED = "part long, before long, n_ids long, doc_ids binary, counts binary, bits binary, marks binary"
+RAW = "part long, before long, doc_ids binary, named binary, counts binary, ids binary"
+STORED = "part long, before long, n_ids long, doc_ids binary, named binary, counts binary, bits binary, marks binary"
 READ = "part long, start long, doc_id long, ids binary"
 
 
@@ -113,18 +113,20 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int, part
 
         def row() -> pa.RecordBatch:
             nonlocal before
-            doc_ids, counts, ids = (np.concatenate(c) for c in zip(*held))
+            doc_ids, named, counts, ids = (np.concatenate(c) for c in zip(*held))
             held.clear()
             before += len(ids)
-            values = (part, before - len(ids), doc_ids.tobytes(), counts.tobytes(), ids.tobytes())
+            values = (part, before - len(ids), doc_ids.tobytes(), named.tobytes(), counts.tobytes(), ids.tobytes())
             names = [c.split()[0] for c in RAW.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in values], names=names)
 
         for rows in slices(batches, "text", 1_000_000):
             ids, counts = encoder([t or "" for t in rows.column(1).to_pylist()])
             ids = np.insert(ids, np.cumsum(counts), end_id)
-            held.append((rows.column(0).to_numpy().astype("<i8"), (counts + 1).astype("<i8"), ids.astype("<u4")))
-            if sum(len(h[2]) for h in held) >= block_ids:
+            doc_ids = rows.column(0)
+            named = doc_ids.is_valid().to_numpy(zero_copy_only=False)
+            held.append((doc_ids.fill_null(0).to_numpy().astype("<i8"), named, (counts + 1).astype("<i8"), ids.astype("<u4")))
+            if sum(len(h[3]) for h in held) >= block_ids:
                 yield row()
         if held:
             yield row()
@@ -165,7 +167,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, blo
         for row in (r for batch in batches for r in rows_of(batch)):
             ids = np.frombuffer(row["ids"], "<u4")
             bits, begin = pack_bits(ids, codes, lengths)
-            values = (row["part"], row["before"], len(ids), row["doc_ids"].to_pybytes(), row["counts"].to_pybytes(), bits, begin[::STEP].astype("<u4").tobytes())
+            values = (row["part"], row["before"], len(ids), row["doc_ids"].to_pybytes(), row["named"].to_pybytes(), row["counts"].to_pybytes(), bits, begin[::STEP].astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in values], names=names)
 
     blocks.mapInArrow(encode, STORED).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
@@ -183,7 +185,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(np.frombuffer(row["counts"], "<i8"))])
             own = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((4 * ends).astype("<i4")), pa.py_buffer(ids)])
             start = ends[:-1] + row["before"]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), row["part"])), pa.array(start), pa.array(np.frombuffer(row["doc_ids"], "<i8")), own], names=["part", "start", "doc_id", "ids"])
+            doc_ids = pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=~np.frombuffer(row["named"], bool))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), row["part"])), pa.array(start), doc_ids, own], names=["part", "start", "doc_id", "ids"])
 
     stored = spark.read.schema(STORED).parquet(f"{path}/blocks")
     before, total = [], 0
@@ -197,8 +200,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 def token_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Writes a store of docs in the shared folder and digests what is read back from it.
 
-    Null texts count as empty and still have their end id; rows with equal doc_id are stored next to each other;
-    further columns are ignored; an empty table makes an empty store."""
+    Null texts count as empty and still have their end id; rows with equal doc_id are stored next to each other,
+    those without one first; further columns are ignored; an empty table makes an empty store."""
     path = f"{scratch(docs.sparkSession)}/store-{uuid.uuid4().hex}"
     write_store(docs, path, tokenizer)
     return read_store(docs.sparkSession, path).select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
