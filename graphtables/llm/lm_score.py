@@ -97,9 +97,10 @@ def grams(chunked: DataFrame, most: dict[int, int]) -> DataFrame:
                 seen = np.bincount(at[learnt], minlength=len(keys)).astype("<i4")
                 span = spans(keys, most[kind])
                 cuts = np.flatnonzero(np.diff(span, prepend=span[0] + np.uint64(1)))
-                for begin, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
-                    row = {"kind": kind, "span": int(span[begin]), "chunk": r["chunk"], "keys": keys[begin:end].tobytes(), "seen": seen[begin:end].tobytes()}
-                    yield pa.RecordBatch.from_pylist([row], pa.schema([("kind", pa.int32()), ("span", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("seen", pa.binary())]))
+                edges = np.append(cuts, len(keys)).astype("<i4")
+                cut = lambda x: pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(edges * np.int32(x.itemsize)), pa.py_buffer(x)])
+                columns = [np.full(len(cuts), kind, np.int32), span[cuts].astype(np.int64), np.full(len(cuts), r["chunk"], np.int64)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), cut(keys), cut(seen)], names=["kind", "span", "chunk", "keys", "seen"])
 
     return chunked.select("chunk", "counts", "held", "words", "keys").mapInArrow(rows, GRAMS)
 
