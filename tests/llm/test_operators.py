@@ -230,6 +230,38 @@ def test_reshard_levels_bytes_and_keeps_rows(docs, none, tmp_path):
     assert reshard.resharded(none, str(tmp_path / "b"), shards=4).count() == 0
 
 
+def test_reshard_levels_a_text_that_a_third_of_all_rows_share(spark, tmp_path):
+    rows = [(i, "hot " * 20 if i % 3 == 0 else f"text {i} " * 8) for i in range(30_000)]
+    out = reshard.resharded(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "hot"), shards=40)
+    sizes = [r["b"] for r in out.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 40 and max(sizes) - min(sizes) < 0.05 * sum(sizes) / 40
+
+
+def test_rows_without_an_id_are_kept(spark):
+    text = "one two three four five six"
+    rows = [(None, text), (None, text), (None, None), (4, text), (5, text + " "), (6, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    exact = sorted((r.doc_id or 0, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(df).collect())
+    assert exact == [(0, None, 1, True)] * 3 + [(4, 5, 2, False), (5, 5, 2, True), (6, 6, 2, True), (7, 6, 2, False)]
+    near = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_dedup.near_duplicates(df).collect())
+    assert near == [(0, 0, True)] * 3 + [(4, 4, True), (5, 4, False), (6, 6, True), (7, 7, True)]
+    stored = token_store.token_digest(df, vocabulary("word_bpe_49k.json")).collect()
+    assert sorted(r.doc_id or 0 for r in stored) == [0, 0, 0, 4, 5, 6, 7] and sum(r.doc_id is None for r in stored) == 3
+    assert sum(r.doc_id is None for r in lm_score.scores(df).collect()) == 3
+    assert sum(r.doc_id is None for r in packing.packed(df, vocabulary("byte_bpe_50k.json")).collect()) == 3
+    assert sum(r.doc_id is None for r in sentence_pieces.encoded(df, vocabulary("piece_bpe_32k.model")).collect()) == 3
+    labels = spark.createDataFrame([(4, 1, 0), (6, 0, 0), (None, 1, None)], "doc_id long, quality int, toxic int")
+    assert quality.scored(df.selectExpr("*", "null AS lang", "null AS source"), labels).count() == 7
+    assert license_scan.licenses(df).count() == 0
+
+
+def test_small_sets_link_at_the_bound(spark):
+    sets = [f"w{k} a{k} b{k} c{k} d{k} e{k} f{k}" for k in range(200)]  # four shingles of four words
+    rows = [(2 * k + j, s + (f" z{k}" if j else "")) for k, s in enumerate(sets) for j in range(2)]  # 4 of 5: at 0.8
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in got)
+
+
 def test_components_of_long_paths(spark):
     from graphtables.llm.common import components
 
