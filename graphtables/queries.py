@@ -124,6 +124,11 @@ def unanchored_match(g, t):
     return g.match("c", "Customer").where("c_id <= 20").out("c", "places", "o").out("o", "contains", "p").frontier("c", "o", "p").rows.agg(F.count("*").alias("answer"))
 
 
+@query("SELECT count(*) AS answer FROM (SELECT DISTINCT l_partkey, l_orderkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)")
+def unanchored_match_whole(g, t):
+    return g.match("c", "Customer").out("c", "places", "o").out("o", "contains", "p").frontier("c", "o", "p").rows.agg(F.count("*").alias("answer"))
+
+
 @query("SELECT 'lives_in runs from Customer to Nation: turn it round' AS problem, count(*) AS edges FROM customer UNION ALL SELECT 'unknown relationship owns', 0")
 def pattern_problems(g, t):
     found = [(p, "lives_in") for p in g.problems("lives_in", "Nation", "Customer")] + [(p, "") for p in g.problems("owns")]
