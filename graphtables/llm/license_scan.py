@@ -1,17 +1,21 @@
 """License scans by conditional compression.
 
-A text falls into blocks at line ends. A block that names a license, a copyright or a warranty is a candidate. It is
-compressed alone and with each template as a zstandard raw dictionary; templates are ranked by the share of bytes
-they save, and the best ones are confirmed by the exact wording: the words of the template that the block lacks, and
-those it adds, version numbers aside.
+A text is read as words, whatever lines, comment marks and white space lie between. Around each cue (a license, a
+copyright or a warranty is named) a block takes in twice the words of the longest template on either side; blocks that
+overlap are one. Every template is aligned with the whole block, and each place where its wording is found is a row:
+the words of the template that the place lacks, and those it adds, version numbers aside. The place is compressed
+alone and with the template as a zstandard raw dictionary for the share of bytes saved. A cue outside all such places
+is a row of its own, not confirmed, with the best of the templates that save most.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +46,11 @@ TEMPLATES = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
     "ARR": ("All rights reserved.",),
 }
-CUE = re.compile(r"licen[sc]|copyright|©|all rights reserved|permission is hereby|redistribut|warrant|\bSPDX\b|creative commons|\bCC[ -]BY", re.I)
-WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
+CUE = re.compile(r"licen[sc]|copyright|©|all\W+rights\W+reserved|permission\W+is\W+hereby|redistribut|warrant|\bSPDX\b|creative\W+commons|\bCC\W+BY", re.I)
+WORD = re.compile(r"[^\W\d_]+")
+MARKS = re.compile(r"\s*\n[\s#*/;%!>|-]*|\s+")
+#: Words of a block that are aligned at once; pieces overlap by four times the longest template.
+PIECE = 4096
 FOUND = "doc_id long, block long, license string, saved double, missing int, added int, confirmed boolean, wording string"
 
 
@@ -58,43 +65,124 @@ class Scanner:
             for wording in wordings:
                 book = zstandard.ZstdCompressionDict(wording.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 self.templates.append((name, WORD.findall(wording.lower()), zstandard.ZstdCompressor(level=level, dict_data=book, write_content_size=False)))
-        self.seen: dict[str, list[tuple]] = {}
+        self.longest = max(len(wording) for _, wording, _ in self.templates)
+        self.codes = {w: i for i, w in enumerate(sorted({w for _, wording, _ in self.templates for w in wording}))}
+        self.seen: dict[str, tuple] = {}
 
-    def block(self, text: str) -> tuple | None:
-        """(license, share of bytes saved, missing words, added words, confirmed), or None if nothing is alike."""
-        raw = text.encode()
-        alone = len(self.plain.compress(raw))
-        ranked = sorted(((1 - len(c.compress(raw)) / alone, -i) for i, (_, _, c) in enumerate(self.templates)), reverse=True)
+    def saved(self, text: str, i: int) -> float:
+        raw = text.encode(errors="replace")
+        return 1 - len(self.templates[i][2].compress(raw)) / len(self.plain.compress(raw))
+
+    def nearest(self, text: str) -> tuple:
+        """(license, share of bytes saved, missing words, added words) of the best template for a text without a wording."""
+        ranked = sorted(((self.saved(text, i), -i) for i in range(len(self.templates))), reverse=True)
         words, best = WORD.findall(text.lower()), None
         for share, i in ranked[: self.top]:
             name, wording, _ = self.templates[-i]
             same = sum(m.size for m in SequenceMatcher(None, wording, words, autojunk=False).get_matching_blocks())
-            missing, added = len(wording) - same, len(words) - same
-            # a wording inside a longer block counts as well: what it lacks decides, what surrounds it does not
-            found = (missing > self.near * len(wording), missing, added, -share, name)
+            found = (len(wording) - same, len(words) - same, -share, name)
             best = min(best, found) if best else found
-        far, missing, added, share, name = best
-        return (name, round(-share, 4), missing, added, not far)
-
-    def __call__(self, text: str) -> list[tuple]:
+        missing, added, share, name = best
+        return name, round(-share, 4), missing, added
+
+    def places(self, words: list[str], wording: list[str]) -> list[tuple[int, int, list[int]]]:
+        """(begin, end, places in the wording that are missing) where the words hold a wording, none overlapping.
+
+        The alignment costs 1 for a missing word and `near` for one added inside; at most `near` of the words may be
+        missing, and no more be added than the wording has."""
+        m, n, most = len(wording), len(words), self.near * len(wording)
+        lack, add = 10_000, max(1, int(10_000 * self.near))
+        row = np.array([self.codes.get(w, -1) for w in words], np.int32)
+        steps, same = add * np.arange(n + 1, dtype=np.int32), [row == self.codes[w] for w in wording]
+        cost = np.zeros((m + 1, n + 1), np.int32)
+        for i in range(1, m + 1):
+            cost[i] = cost[i - 1] + lack
+            cost[i, 1:] = np.where(same[i - 1], np.minimum(cost[i, 1:], cost[i - 1, :-1]), cost[i, 1:])
+            if i < m:
+                cost[i] = np.minimum.accumulate(cost[i] - steps) + steps
+        last = cost[m]
+        ends = np.flatnonzero((last[1:] < last[:-1]) & (last[1:] <= lack * most + add * m)) + 1
         out = []
-        for number, line in enumerate(text.split("\n")):
-            if CUE.search(line):
-                key = line.strip()
-                if key not in self.seen:
-                    if len(self.seen) > 50_000:
-                        self.seen.clear()
-                    self.seen[key] = self.block(key)
-                out.append((number, *self.seen[key], key))
+        for end in sorted(ends.tolist(), key=lambda j: (last[j], j)):
+            if any(b < end <= e for b, e, _ in out):
+                continue
+            i, j, begin, missing = m, end, end, []
+            while i:
+                if j and same[i - 1][j - 1] and cost[i, j] == cost[i - 1, j - 1]:
+                    i, j = i - 1, j - 1
+                    begin = j
+                elif cost[i, j] == cost[i - 1, j] + lack:
+                    i -= 1
+                    missing.append(i)
+                else:
+                    j -= 1
+            added = end - begin - m + len(missing)
+            if len(missing) <= most and added <= m and all(end <= b or e <= begin for b, e, _ in out):
+                out.append((begin, end, missing))
         return out
 
+    def wordings(self, words: list[str]) -> list[tuple[int, int, int, int, int]]:
+        """(begin, end, template, missing, added) of every wording in a block's words; of overlapping ones the best."""
+        found = set()
+        for at in range(0, max(1, len(words) - 4 * self.longest), PIECE - 4 * self.longest):
+            piece = words[at : at + PIECE]
+            held = set(piece)
+            for k, (_, wording, _) in enumerate(self.templates):
+                if sum(w not in held for w in wording) <= self.near * len(wording):
+                    for begin, end, missing in self.places(piece, wording):
+                        found.add((len(missing), end - begin - len(wording) + len(missing), -len(wording), at + begin, at + end, k))
+        out = []
+        for missing, added, _, begin, end, k in sorted(found):
+            if all(end <= b or e <= begin for b, e, *_ in out):
+                out.append((begin, end, k, missing, added))
+        return sorted(out)
+
+    def __call__(self, text: str) -> list[tuple]:
+        spans = [m.span() for m in WORD.finditer(text)]
+        starts, stops = [a for a, _ in spans], [b for _, b in spans]
+        words = [text[a:b].lower() for a, b in spans]
+        lines = [m.start() for m in re.finditer("\n", text)]
+        cues = [(m.start(), bisect_right(stops, m.start())) for m in CUE.finditer(text)]
+        reach, blocks = 2 * self.longest, []
+        for _, at in cues:
+            if blocks and at - reach <= blocks[-1][1]:
+                blocks[-1][1] = at + reach
+            else:
+                blocks.append([max(0, at - reach), at + reach])
+        out, covered = [], []
+        for first, last in blocks:
+            for begin, end, k, missing, added in self.wordings(words[first:last]):
+                a, b = starts[first + begin], stops[first + end - 1]
+                wording = MARKS.sub(" ", text[a:b])
+                covered.append((a, b))
+                out.append((bisect_left(lines, a), self.templates[k][0], round(self.saved(wording, k), 4), missing, added, True, wording))
+        covered.sort()
+        done = -1
+        for cue, at in cues:
+            k = bisect_right(covered, (cue, len(text)))
+            if cue < done or k and cue < covered[k - 1][1]:
+                continue
+            # the cue's line, as far as it lies within a template's length and outside of the wordings found
+            number = bisect_left(lines, cue)
+            a = max(lines[number - 1] + 1 if number else 0, starts[max(0, at - self.longest)] if starts else 0, covered[k - 1][1] if k else 0)
+            done = min(lines[number] if number < len(lines) else len(text), stops[at + self.longest] if at + self.longest < len(stops) else len(text), covered[k][0] if k < len(covered) else len(text))
+            key = text[min(a, cue) : done].strip()
+            if key not in self.seen:
+                if len(self.seen) > 50_000:
+                    self.seen.clear()
+                self.seen[key] = self.nearest(key)
+            out.append((number, *self.seen[key], False, key))
+        return sorted(out, key=lambda hit: hit[0])
+
 
 def licenses(docs: DataFrame, level: int = 3, top: int = 4, near: float = 0.2) -> DataFrame:
-    """One row a candidate block: doc_id, block (line number from 0), license, saved, missing, added, confirmed, wording.
+    """One row a wording or candidate: doc_id, block (its first line's number from 0), license, saved, missing, added, confirmed, wording.
+
+    `saved` is the share of compressed bytes that the template saves; missing and added count words of the exact
+    difference to it; confirmed means that at most `near` of the template's words are missing and no more added inside
+    than it has. Wordings may be wrapped or share a line. Null and empty texts have no rows; repeated rows repeat
+    theirs; further columns are ignored."""
 
-    `saved` is the share of compressed bytes that the winning template saves; missing and added count words of the
-    exact difference to it; confirmed means that at most `near` of the template's words are missing. Null and empty
-    texts have no blocks; repeated rows repeat theirs; further columns are ignored."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(level, top, near)

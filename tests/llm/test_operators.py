@@ -2,6 +2,7 @@
 
 import math
 import random
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
@@ -299,6 +300,22 @@ def test_license_scan_names_the_wording(spark, none):
     assert license_scan.licenses(none).count() == 0
 
 
+def test_license_scan_reads_wrapped_and_shared_lines(spark):
+    mit, bsd, gpl = license_scan.TEMPLATES["MIT"][1], license_scan.TEMPLATES["BSD"][0], license_scan.TEMPLATES["GPL"][1]
+    wrap = lambda text, mark: "\n".join(mark + line for line in textwrap.wrap(text, 72))
+    both = "filler words " * 300 + license_scan.TEMPLATES["Apache-2.0"][0] + " more filler " * 3 + "Released under the MIT License." + " end" * 900
+    rows = [(1, "x\n" + wrap(mit, "")), (2, wrap(bsd, " * ")), (3, "a\nb\n" + wrap(gpl, "# ")), (4, both), (5, wrap(mit + ". " + gpl, "// ")), (6, "All rights\n# reserved.")]
+    got = license_scan.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.block, r.license, r.missing) for r in got if r.confirmed) == [(1, 1, "MIT", 0), (2, 0, "BSD", 0), (3, 2, "GPL", 0), (4, 0, "Apache-2.0", 0), (4, 0, "MIT", 0), (5, 0, "MIT", 0), (5, 2, "GPL", 0), (6, 0, "ARR", 0)]
+
+
+def test_license_scan_aligns_blocks_longer_than_a_piece():
+    scanner, filler = license_scan.Scanner(3, 4, 0.2), " the license of words " * 1200
+    notices = [w for ws in license_scan.TEMPLATES.values() for w in ws]
+    got = [h[6] for h in scanner(filler.join(["", *notices, ""])) if h[5]]
+    assert len(got) == len(notices)
+
+
 def test_quality_shrinks_sparse_sites(spark, docs, none):
     r = random.Random(6)
     good = lambda: " ".join(r.choice(["the", "of", "house", "tree", "river"]) for _ in range(80)) + "."
