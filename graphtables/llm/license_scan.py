@@ -3,8 +3,9 @@
 A text is read as words, whatever lines, comment marks and white space lie between. Around each cue (a license, a
 copyright or a warranty is named) a block takes in twice the words of the longest template on either side; blocks that
 overlap are one. Every template is aligned with the whole block, and each place where its wording is found is a row:
-the words of the template that the place lacks, and those it adds, version numbers aside. The place is compressed
-alone and with the template as a zstandard raw dictionary for the share of bytes saved. A cue outside all such places
+the words of the template that the place lacks, and those it adds, version numbers aside. The words that tell licenses
+apart must all be there, none of another license of the family be added, and a version that the license's name has
+must not be another one. The place is compressed alone and with the template as a zstandard raw dictionary for the share of bytes saved. A cue outside all such places
 is a row of its own, not confirmed, with the best of the templates that save most.
 """
 
@@ -49,6 +50,16 @@ TEMPLATES = {
 CUE = re.compile(r"licen[sc]|copyright|©|all\W+rights\W+reserved|permission\W+is\W+hereby|redistribut|warrant|\bSPDX\b|creative\W+commons|\bCC\W+BY", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 MARKS = re.compile(r"\s*\n[\s#*/;%!>|-]*|\s+")
+# Words that may not be missing; words that tell another license of the family when added.
+TELLING = frozenset("apache mit bsd mozilla gnu general lesser affero creative commons cc by nc sa attribution noncommercial sharealike".split())
+RIVALS = {
+    "GPL": frozenset("lesser library affero".split()),
+    "CC": frozenset("nc noncommercial commercial sa sharealike alike nd noderivatives noderivs derivatives derivs".split()),
+}
+RIVALS |= {"LGPL": RIVALS["GPL"] - {"lesser"}, "AGPL": RIVALS["GPL"] - {"affero"}}
+VERSION = re.compile(r"\bv(?:ersion)?\b\W*(\d+(?:\.\d+)*)", re.I)
+#: Words after a place that still belong to the license's name: -ND, NonCommercial-NoDerivatives.
+TRAILING = re.compile(r"(?:[ \t]*-\s*|[ \t]+)([^\W\d_]+)")
 #: Words of a block that are aligned at once; pieces overlap by four times the longest template.
 PIECE = 4096
 FOUND = "doc_id long, block long, license string, saved double, missing int, added int, confirmed boolean, wording string"
@@ -85,6 +96,22 @@ class Scanner:
         missing, added, share, name = best
         return name, round(-share, 4), missing, added
 
+    def same_license(self, k: int, missing: list[int], text: str, begin: int, end: int) -> bool:
+        """Whether a place names the template's own license, by the words and versions in it and right behind it."""
+        name, wording, _ = self.templates[k]
+        if any(wording[i] in TELLING for i in missing):
+            return False
+        inside, at = set(WORD.findall(text[begin:end].lower())), end
+        for _ in range(4):
+            if not (more := TRAILING.match(text, at)):
+                break
+            inside.add(more[1].lower())
+            at = more.end()
+        if inside & (RIVALS.get("CC" if name.startswith("CC-") else name, frozenset()) - set(wording)):
+            return False
+        versions = VERSION.findall(text[begin : end + 16]) if name.endswith("-2.0") else []
+        return all(v in ("2", "2.0") for v in versions[:1])
+
     def places(self, words: list[str], wording: list[str]) -> list[tuple[int, int, list[int]]]:
         """(begin, end, places in the wording that are missing) where the words hold a wording, none overlapping.
 
@@ -121,8 +148,8 @@ class Scanner:
                 out.append((begin, end, missing))
         return out
 
-    def wordings(self, words: list[str]) -> list[tuple[int, int, int, int, int]]:
-        """(begin, end, template, missing, added) of every wording in a block's words; of overlapping ones the best."""
+    def wordings(self, text: str, spans: list[tuple[int, int]], words: list[str]) -> list[tuple[int, int, int, int, int]]:
+        """(begin, end, template, missing, added) of every wording in a block's words; of one license's that overlap the best."""
         found = set()
         for at in range(0, max(1, len(words) - 4 * self.longest), PIECE - 4 * self.longest):
             piece = words[at : at + PIECE]
@@ -130,10 +157,12 @@ class Scanner:
             for k, (_, wording, _) in enumerate(self.templates):
                 if sum(w not in held for w in wording) <= self.near * len(wording):
                     for begin, end, missing in self.places(piece, wording):
-                        found.add((len(missing), end - begin - len(wording) + len(missing), -len(wording), at + begin, at + end, k))
+                        if self.same_license(k, missing, text, spans[at + begin][0], spans[at + end - 1][1]):
+                            found.add((len(missing), end - begin - len(wording) + len(missing), -len(wording), at + begin, at + end, k))
         out = []
         for missing, added, _, begin, end, k in sorted(found):
-            if all(end <= b or e <= begin for b, e, *_ in out):
+            name = self.templates[k][0]
+            if all(end <= b or e <= begin or self.templates[other][0] != name for b, e, other, *_ in out):
                 out.append((begin, end, k, missing, added))
         return sorted(out)
 
@@ -151,13 +180,18 @@ class Scanner:
                 blocks.append([max(0, at - reach), at + reach])
         out, covered = [], []
         for first, last in blocks:
-            for begin, end, k, missing, added in self.wordings(words[first:last]):
+            for begin, end, k, missing, added in self.wordings(text, spans[first:last], words[first:last]):
                 a, b = starts[first + begin], stops[first + end - 1]
                 wording = MARKS.sub(" ", text[a:b])
                 covered.append((a, b))
                 out.append((bisect_left(lines, a), self.templates[k][0], round(self.saved(wording, k), 4), missing, added, True, wording))
-        covered.sort()
-        done = -1
+        merged, done = [], -1
+        for a, b in sorted(covered):
+            if merged and a <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+            else:
+                merged.append((a, b))
+        covered = merged
         for cue, at in cues:
             k = bisect_right(covered, (cue, len(text)))
             if cue < done or k and cue < covered[k - 1][1]:
@@ -179,8 +213,8 @@ def licenses(docs: DataFrame, level: int = 3, top: int = 4, near: float = 0.2) -
     """One row a wording or candidate: doc_id, block (its first line's number from 0), license, saved, missing, added, confirmed, wording.
 
     `saved` is the share of compressed bytes that the template saves; missing and added count words of the exact
-    difference to it; confirmed means that at most `near` of the template's words are missing and no more added inside
-    than it has. Wordings may be wrapped or share a line. Null and empty texts have no rows; repeated rows repeat
+    difference to it; confirmed means that at most `near` of the template's words are missing, none that tells its license
+    from others, and no more added inside than it has, none that tells another license. Wordings may be wrapped or share a line. Null and empty texts have no rows; repeated rows repeat
     theirs; further columns are ignored."""
 
 

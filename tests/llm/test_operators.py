@@ -309,6 +309,17 @@ def test_license_scan_reads_wrapped_and_shared_lines(spark):
     assert sorted((r.doc_id, r.block, r.license, r.missing) for r in got if r.confirmed) == [(1, 1, "MIT", 0), (2, 0, "BSD", 0), (3, 2, "GPL", 0), (4, 0, "Apache-2.0", 0), (4, 0, "MIT", 0), (5, 0, "MIT", 0), (5, 2, "GPL", 0), (6, 0, "ARR", 0)]
 
 
+def test_license_scan_confirms_no_other_license(spark):
+    nd = "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."
+    other = ["Licensed under the Mozilla License, Version 2.0", "EUPL License, Version 1.2", "Released under the Foo License.", nd, nd.replace("NoDerivatives", "ShareAlike"), "Licensed under CC BY-NC-ND 4.0."]
+    other += ["Licensed under the Apache License, Version 1.1", license_scan.TEMPLATES["GPL"][1].replace("GNU", "GNU Lesser"), "This work is licensed under the GNU Library General Public License, version 2."]
+    own = [(name, w) for name, wordings in license_scan.TEMPLATES.items() for w in wordings]
+    rows = list(enumerate([*other, *(w for _, w in own)]))
+    got = license_scan.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.license) for r in got if r.confirmed} == {(len(other) + i, name) for i, (name, _) in enumerate(own)}
+    assert {r.doc_id for r in got} == {i for i, _ in rows}
+
+
 def test_license_scan_aligns_blocks_longer_than_a_piece():
     scanner, filler = license_scan.Scanner(3, 4, 0.2), " the license of words " * 1200
     notices = [w for ws in license_scan.TEMPLATES.values() for w in ws]
