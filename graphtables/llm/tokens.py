@@ -12,7 +12,8 @@ from pathlib import Path
 import numpy as np
 
 #: Characters whose class and case no Unicode version moves: up to U+024F and plain punctuation. A text with any
-#: other, or with a control that Python's re alone takes for white space, is encoded whole by the library.
+#: other, or with a control that Python's re alone takes for white space, is encoded whole by the library, and so is
+#: one that holds the string of an added token, which the library gives a single id.
 OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-ɏ‐-‧‰-⁞€]")
 LETTERS = "".join(re.escape(c) for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == "L")
 NUMBERS = "".join(re.escape(c) for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == "N")
@@ -51,7 +52,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = json.loads(Path(file).read_text(encoding="utf-8"))["pre_tokenizer"]["type"] == "Sequence"
         self.pattern = re.compile(WORD_ENDS if self.words else BYTE_LEVEL)
         self.shown, self.most = dict(enumerate(byte_letters())), most
@@ -63,7 +64,7 @@ class PieceEncoder:
 
     def pieces(self, text: str) -> list[str]:
         """A text that needs the library is one piece, marked by a leading NUL and line end that no piece begins with."""
-        if OTHER.search(text):
+        if OTHER.search(text) or any(t in text for t in self.added):
             return ["\x00\n" + text]
         return self.pattern.findall(text.lower() if self.words else text)
 

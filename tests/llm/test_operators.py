@@ -123,6 +123,23 @@ def test_packing_holds_every_id_once(docs, none):
     assert packing.packed(none, vocabulary("byte_bpe_50k.json")).count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_get_the_ids_of_the_plain_library(spark, name):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary(name))
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|startoftext|>b <|endoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endoftext>", "é <|endoftext|>\n\n  it's 12"]
+    want = {i: library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert library.token_to_id("<|endoftext|>") in want[0]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    if name.startswith("byte"):
+        got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.packed(df, vocabulary(name)).collect()}
+        assert got == {i: [*ids, 0] for i, ids in want.items()}
+    else:
+        got = by_id(token_store.token_digest(df, vocabulary(name)))
+        assert {i: (r.n_tokens, r.ids_crc32) for i, r in got.items()} == {i: (len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes())) for i, ids in want.items()}
+
+
 def test_differencing_is_near_equal():
     r = random.Random(2)
     sizes = [r.randrange(1, 200) for _ in range(400)]
