@@ -71,14 +71,68 @@ def renamed(rows: DataFrame, names: dict[str, str]) -> DataFrame:
     return rows.toDF(*new)
 
 
-def sampled_edges(pairs: DataFrame, least_out: int, most_out: int, least_in: int, most_in: int, seed: int) -> DataFrame:
-    """A seeded choice among allowed (src, dst) that respects degrees where the pairs permit.
-
-    First every target takes `least_in` sources, then every source fills up to its quota; pairs beyond `most_in` of a
-    target or `most_out` of a source are left out, the seeded order deciding. `degrees` reports what came out."""
-    order = F.xxhash64(F.lit(seed), "src", "dst")
+def sampled_edges(pairs: DataFrame, least_out: int, most_out: int, least_in: int, most_in: int, seed: int, strict: bool = True, attempts: int = 50) -> DataFrame:
+    """A seeded choice among allowed (src, dst) that respects the degrees of every source and target in the pairs.
+
+    First every target takes `least_in` sources, then every source fills up to its quota, in rounds over pairs not yet
+    chosen; an end that still lacks edges takes one from an end that has some to spare. A draw that misses a least
+    bound is drawn anew with another seed; the last one raises, or is returned if not `strict`."""
+    pairs = pairs.select("src", "dst").distinct().localCheckpoint()
+    for end, least in (("src", least_out), ("dst", least_in)):
+        starved = pairs.groupBy(end).agg(F.count("*").alias("n")).where(F.col("n") < least)
+        if strict and (n := starved.count()):
+            raise ValueError(f"{n} values of {end} have fewer than {least} allowed pairs")
+    for attempt in range(attempts if strict else 1):
+        chosen = drawn(pairs, least_out, most_out, least_in, most_in, seed + attempt)
+        short = sum(degrees(pairs.select(F.col(end).alias("id")).distinct(), chosen, end).where(F.col("least") < least).count() for end, least in (("src", least_out), ("dst", least_in)))
+        if not short or not strict:
+            return chosen
+    raise ValueError(f"no draw of {attempts} has {least_out} to {most_out} edges a source and {least_in} to {most_in} a target")
+
+
+def drawn(pairs: DataFrame, least_out: int, most_out: int, least_in: int, most_in: int, seed: int) -> DataFrame:
+    """One draw of `sampled_edges`: rounds until no bound improves; the greatest degrees always hold."""
     place = lambda key, *by: F.row_number().over(Window.partitionBy(key).orderBy(*by))
+    first = lambda rows, key, by: rows.withColumn("k", place(key, *by)).where("k = 1").drop("k")
     quota = F.lit(least_out) + F.pmod(F.xxhash64(F.lit(seed), "src"), F.lit(most_out - least_out + 1))
-    ranked = pairs.select("src", "dst").distinct().withColumn("h", order).withColumn("needed", place("dst", "h") <= least_in)
-    wanted = ranked.withColumn("k", place("src", F.desc("needed"), "h")).where((F.col("k") <= quota) | (F.col("needed") & (F.col("k") <= most_out)))
-    return wanted.withColumn("m", place("dst", F.desc("needed"), "h")).where(F.col("m") <= most_in).select("src", "dst")
+    ranked = pairs.withColumn("h", F.xxhash64(F.lit(seed), "src", "dst")).withColumn("quota", quota)
+    chosen = pairs.limit(0).localCheckpoint()
+
+    def with_degrees(rows: DataFrame) -> DataFrame:
+        out, into = (chosen.groupBy(c).agg(F.count("*").alias(n)) for c, n in (("src", "out"), ("dst", "into")))
+        return rows.join(out, "src", "left").join(into, "dst", "left").fillna(0, ["out", "into"])
+
+    def taken(rows: DataFrame) -> DataFrame:
+        """Targets below their least take sources: those below theirs first, then those below their quota."""
+        tier = F.when(F.col("out") < least_out, 0).when(F.col("out") < F.col("quota"), 1).otherwise(2)
+        asked = rows.where((F.col("into") < least_in) & (F.col("into") < most_in) & (F.col("out") < most_out))
+        asked = asked.withColumn("k", place("dst", tier, "h", "src")).where(F.col("k") <= F.least(F.lit(least_in), F.lit(most_in)) - F.col("into"))
+        return asked.withColumn("m", place("src", "h", "dst")).where(F.col("m") <= most_out - F.col("out"))
+
+    def filled(rows: DataFrame) -> DataFrame:
+        """Sources below their quota take targets; where too many ask, sources below their least go first."""
+        asked = rows.where((F.col("out") < F.col("quota")) & (F.col("into") < most_in))
+        asked = asked.withColumn("k", place("src", "h", "dst")).where(F.col("k") <= F.col("quota") - F.col("out"))
+        return asked.withColumn("m", place("dst", F.col("out") >= least_out, "h", "src")).where(F.col("m") <= most_in - F.col("into"))
+
+    def swapped(rows: DataFrame, end: str, other: str, lacks: str, least: int) -> DataFrame:
+        """Pairs for ends below their least, each in place of an edge at the same other end that can be spared."""
+        spare = with_degrees(chosen).where(F.col(lacks) > least).select(F.col(end).alias("from"), other)
+        found = rows.where(F.col(lacks) < least).select("src", "dst", "h").join(spare, other)
+        for key in (end, "from", other):
+            found = first(found, key, ("h", "src", "dst", "from"))
+        return found.localCheckpoint()
+
+    while True:
+        moved = False
+        for step in (taken, filled):
+            while (new := step(with_degrees(ranked.join(chosen, ["src", "dst"], "left_anti"))).select("src", "dst").localCheckpoint()).count():
+                chosen = chosen.union(new).localCheckpoint()
+        for end, other, lacks, least in (("src", "dst", "out", least_out), ("dst", "src", "into", least_in)):
+            new = swapped(with_degrees(ranked.join(chosen, ["src", "dst"], "left_anti")), end, other, lacks, least)
+            if new.count():
+                dropped = new.select(F.col("from").alias(end), other)
+                chosen = chosen.join(dropped, ["src", "dst"], "left_anti").select("src", "dst").union(new.select("src", "dst")).localCheckpoint()
+                moved = True
+        if not moved:
+            return chosen

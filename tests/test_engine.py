@@ -150,6 +150,19 @@ def test_generators(spark):
         benchmarks.renamed(ids, {"id": "anchor"})
 
 
+def test_sampled_edges_keep_every_bound_or_raise(spark):
+    rows = [(s, 0) for s in range(30)] + [(s, 1 + s % 10) for s in range(30)]  # target 0 is open to all
+    pairs = spark.createDataFrame(rows, "src long, dst long")
+    ends = [pairs.select(F.col(c).alias("id")).distinct() for c in ("src", "dst")]
+    e = benchmarks.sampled_edges(pairs, 1, 2, 2, 4, 5)
+    out, into = (benchmarks.degrees(n, e, c).first() for n, c in zip(ends, ("src", "dst")))
+    assert 1 <= out.least <= out.most <= 2 <= into.least <= into.most <= 4 and e.distinct().count() == e.count()
+    with pytest.raises(ValueError):
+        benchmarks.sampled_edges(pairs, 1, 2, 4, 6, 5)
+    with pytest.raises(ValueError):
+        benchmarks.sampled_edges(pairs.where("dst = 0"), 1, 1, 1, 4, 5, attempts=2)
+
+
 def test_sources_and_sinks(spark, tmp_path):
     doc = [{"id_": 1, "question": "q", "answer": "a", "table_names": ["t", "u"], "tables": [{"table_columns": ["x", "y"], "table_content": [["1", "2"], ["3"]]}]}, {"id_": 2, "question": "r", "qa_pairs": [{"question": "r1", "answer": "b"}, {"question": "r2", "answer": "c"}]}]
     (tmp_path / "items.json").write_text(json.dumps(doc))
