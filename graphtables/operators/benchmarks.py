@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import padded_id
+from ..sources.shared import saved
 
 
 def generated(spark: SparkSession, n: int, prefix: str, seed: int, values: dict[str, Sequence[str]], width: int = 4) -> DataFrame:
@@ -76,8 +77,9 @@ def sampled_edges(pairs: DataFrame, least_out: int, most_out: int, least_in: int
 
     First every target takes `least_in` sources, then every source fills up to its quota, in rounds over pairs not yet
     chosen; an end that still lacks edges takes one from an end that has some to spare. A draw that misses a least
-    bound is drawn anew with another seed; the last one raises, or is returned if not `strict`."""
-    pairs = pairs.select("src", "dst").distinct().localCheckpoint()
+    bound is drawn anew with another seed; the last one raises, or is returned if not `strict`. Rounds are tables in the
+    shared folder, so a lost executor costs none of them."""
+    pairs = saved(pairs.select("src", "dst").distinct(), "edges-pairs")
     for end, least in (("src", least_out), ("dst", least_in)):
         starved = pairs.groupBy(end).agg(F.count("*").alias("n")).where(F.col("n") < least)
         if strict and (n := starved.count()):
@@ -96,7 +98,7 @@ def drawn(pairs: DataFrame, least_out: int, most_out: int, least_in: int, most_i
     first = lambda rows, key, by: rows.withColumn("k", place(key, *by)).where("k = 1").drop("k")
     quota = F.lit(least_out) + F.pmod(F.xxhash64(F.lit(seed), "src"), F.lit(most_out - least_out + 1))
     ranked = pairs.withColumn("h", F.xxhash64(F.lit(seed), "src", "dst")).withColumn("quota", quota)
-    chosen = pairs.limit(0).localCheckpoint()
+    chosen = saved(pairs.limit(0), "edges-chosen")
 
     def with_degrees(rows: DataFrame) -> DataFrame:
         out, into = (chosen.groupBy(c).agg(F.count("*").alias(n)) for c, n in (("src", "out"), ("dst", "into")))
@@ -121,18 +123,19 @@ def drawn(pairs: DataFrame, least_out: int, most_out: int, least_in: int, most_i
         found = rows.where(F.col(lacks) < least).select("src", "dst", "h").join(spare, other)
         for key in (end, "from", other):
             found = first(found, key, ("h", "src", "dst", "from"))
-        return found.localCheckpoint()
+        return saved(found, "edges-swapped")
 
     while True:
         moved = False
         for step in (taken, filled):
-            while (new := step(with_degrees(ranked.join(chosen, ["src", "dst"], "left_anti"))).select("src", "dst").localCheckpoint()).count():
-                chosen = chosen.union(new).localCheckpoint()
+            while not (new := saved(step(with_degrees(ranked.join(chosen, ["src", "dst"], "left_anti"))).select("src", "dst"), "edges-new")).isEmpty():
+                chosen = saved(chosen.union(new), "edges-chosen")
         for end, other, lacks, least in (("src", "dst", "out", least_out), ("dst", "src", "into", least_in)):
             new = swapped(with_degrees(ranked.join(chosen, ["src", "dst"], "left_anti")), end, other, lacks, least)
-            if new.count():
+            if not new.isEmpty():
                 dropped = new.select(F.col("from").alias(end), other)
-                chosen = chosen.join(dropped, ["src", "dst"], "left_anti").select("src", "dst").union(new.select("src", "dst")).localCheckpoint()
+                kept = chosen.join(dropped, ["src", "dst"], "left_anti").select("src", "dst")
+                chosen = saved(kept.union(new.select("src", "dst")), "edges-chosen")
                 moved = True
         if not moved:
             return chosen
