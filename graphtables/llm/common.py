@@ -1,10 +1,9 @@
-"""What the corpus operators share: tables, scratch folders, Arrow slices, words and connected components."""
+"""What the corpus operators share: tables, the shared folder, Arrow slices, words and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import saved, scratch  # noqa: F401  the other modules import them from here
+
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -21,25 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; in local mode alone a temporary one if unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def saved(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends there and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that a slice holds about max_bytes of the column, one row at least."""
     for batch in batches:
@@ -86,6 +68,12 @@ class WordHashes:
             return [known[w] for w in words]
 
 
+@cache
+def word_hashes() -> WordHashes:
+    """The hashes of a Python worker: a task finds the words that earlier tasks have met."""
+    return WordHashes()
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(id, component) for every end of the edges (a, b): the smallest id reachable.
 

@@ -4,11 +4,15 @@ Every text becomes its set of distinct word shingles. Band keys over the minima
 bits of the minima are kept, packed in bit planes, and a bit count gives a collision-corrected similarity that
 decides which pairs are worth an exact comparison of the full sets.
 
-Texts with the same words are folded into one representative first. Band buckets are joined as stars around their
-smallest document, so a bucket of m documents makes m - 1 rows; the connected components of the stars are families.
-The first quarter of the bands joins most of a family, and later bands only see which families still differ.
-Every pair that shares a band is inside one family. A family is dealt out in blocks of bounded size, each pair of
-blocks is one group, and a group returns a spanning set of its confirmed links, never all pairs.
+Texts with the same words are folded into one vertex first. Band buckets are joined as stars around their smallest
+vertex, so a bucket of m texts makes m - 1 rows; the connected components of the stars are families. The first
+quarter of the bands joins most of a family, and later bands only see which families still differ.
+
+A family of up to `block` texts is compared as a whole. A larger one is dealt in blocks, each of which also gets the
+family's pivots, about sixteen of its texts, which tie the blocks together: a group of near copies, however large, is
+one cluster after this single pass. Where a large family is still in several clusters, its band buckets decide: in a
+bucket that holds several clusters, the texts outside of the bucket's largest cluster are compared with all others.
+No comparison returns more links than connect what it has compared.
 """
 
 from __future__ import annotations
@@ -22,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, binary, components, mixed, saved, slices
+from .common import LOWER, WordHashes, binary, components, mixed, saved, slices, word_hashes
 
 SLICE = 4_000_000
+PIVOTS, BOTH = 16, 2
 SIGNED = "doc_id long, digest binary, n_shingles long, planes binary, bands array<long>"
 
 
@@ -85,7 +90,7 @@ def similarity(one: np.ndarray, many: np.ndarray, k: int) -> np.ndarray:
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int, bits: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, hashes = MinHasher(bands, rows, bits), WordHashes()
+        hasher, hashes = MinHasher(bands, rows, bits), word_hashes()
         for part in slices(batches, "text", SLICE):
             sets, digests = shingle_sets(binary(part, "text"), width, hashes)
             minima = [hasher.minima(s) if len(s) else None for s in sets]
@@ -103,41 +108,117 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, bits: int) ->
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, SIGNED)
 
 
-def confirmed(tiles: DataFrame, width: int, percent: int, k: int, margin: float, small: int) -> DataFrame:
-    """Links (a, b) that hold on the full sets, enough of each group to connect what it connects."""
+class Clusters:
+    """Which texts of a group are linked already; equal labels are."""
+
+    def __init__(self, labels: np.ndarray):
+        self.root = np.unique(labels, return_inverse=True)[1]
+
+    def apart(self, i: int, others: np.ndarray) -> np.ndarray:
+        return others[self.root[others] != self.root[i]]
+
+    def link(self, i: int, j: int) -> None:
+        self.root[self.root == self.root[j]] = self.root[i]
+
+
+def links_within(rows: dict[str, np.ndarray], sets: list[np.ndarray], percent: int, k: int, margin: float, small: int) -> Iterator[tuple[int, int]]:
+    """Pairs of one group that hold on the full sets, enough to connect what is connected.
+
+    Texts are compared across sides; a text of side BOTH is compared with every other."""
+    side, planes, sizes = rows["side"], rows["planes"], np.array([len(s) for s in sets])
+    clusters, full = Clusters(rows["cluster"]), {}
+    for i in range(len(sets) - 1):
+        js = clusters.apart(i, np.arange(i + 1, len(sets)))
+        js = js[(side[js] != side[i]) | (side[js] == BOTH) | (side[i] == BOTH)]
+        js = js[100 * np.minimum(sizes[js], sizes[i]) >= percent * np.maximum(sizes[js], sizes[i])]
+        if not len(js):
+            continue
+        near = similarity(planes[i], planes[js], k)
+        order = np.argsort(-near, kind="stable")
+        for j in js[order[(near[order] >= percent / 100 - margin) | (sizes[js[order]] <= small)]].tolist():
+            if clusters.root[i] != clusters.root[j]:
+                for x in (i, j):
+                    if x not in full:
+                        full[x] = frozenset(sets[x].tolist())
+                both = len(full[i] & full[j])
+                if 100 * both >= percent * (sizes[i] + sizes[j] - both):
+                    yield i, j
+                    clusters.link(i, j)
+
+
+def confirmed(dealt: DataFrame, docs: DataFrame, width: int, percent: int, k: int, margin: float, small: int) -> DataFrame:
+    """Links (a, b) among the vertices of each group and tile; dealt: group, tile, family, v, side, cluster, digest, doc_id, planes.
+
+    A group may hold several families. Texts come by doc_id, and of rows that share one the digest tells which is meant."""
 
     def links(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
-        ids, block = group["doc_id"].to_numpy(), group["block"].to_numpy()
-        sets = [frozenset(s.tolist()) for s in shingle_sets([t or b"" for t in group["text"]], width, WordHashes())[0]]
-        planes = np.frombuffer(b"".join(group["planes"]), np.uint8).reshape(len(ids), -1, k // 8).view(np.uint64)
-        sizes, across = np.array([len(s) for s in sets]), block.min() != block.max()
-        root = np.arange(len(ids))
-        found = []
-        for i in range(len(ids) - 1):
-            js = np.arange(i + 1, len(ids))
-            js = js[(root[js] != root[i]) & ((block[js] != block[i]) | (not across))]
-            js = js[100 * np.minimum(sizes[js], sizes[i]) >= percent * np.maximum(sizes[js], sizes[i])]
-            if not len(js):
-                continue
-            near = similarity(planes[i], planes[js], k)
-            order = np.argsort(-near, kind="stable")
-            for j in js[order[(near[order] >= percent / 100 - margin) | (sizes[js[order]] <= small)]]:
-                if root[i] != root[j]:
-                    both = len(sets[i] & sets[j])
-                    if 100 * both >= percent * (sizes[i] + sizes[j] - both):
-                        found.append((ids[i], ids[j]))
-                        root[root == root[j]] = root[i]
+        sets, digests = shingle_sets([t or b"" for t in group["text"]], width, word_hashes())
+        group["at"] = np.arange(len(group))
+        group = group[[d == bytes(e) for d, e in zip(digests, group["digest"])]].sort_values(["family", "v", "side"], ignore_index=True)
+        group = group.drop_duplicates(["family", "v", "side"], ignore_index=True)
+        twice = group.duplicated(["family", "v"], keep=False)
+        group.loc[twice, "side"] = BOTH
+        group = group.drop_duplicates(["family", "v"], ignore_index=True)
+        if group.empty:
+            return pd.DataFrame([], columns=["a", "b"], dtype="int64")
+        planes = np.frombuffer(b"".join(group["planes"]), np.uint8).reshape(len(group), -1, k // 8).view(np.uint64)
+        columns = {c: group[c].to_numpy() for c in ("v", "side", "cluster", "at", "family")} | {"planes": planes}
+        found, edges = [], np.flatnonzero(np.append(True, columns["family"][1:] != columns["family"][:-1]))
+        for begin, end in zip(edges.tolist(), [*edges[1:].tolist(), len(group)]):
+            own = {c: x[begin:end] for c, x in columns.items()}
+            ids = own["v"].tolist()
+            found += [(ids[i], ids[j]) for i, j in links_within(own, [sets[at] for at in own["at"]], percent, k, margin, small)]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return tiles.groupBy("family", "tile").applyInPandas(links, "a long, b long")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    return dealt.join(texts, "doc_id").select("group", "tile.*", "family", "v", "side", "cluster", "digest", "planes", "text").groupBy("group", "i", "j").applyInPandas(links, "a long, b long")
 
 
 def stars(texts: DataFrame) -> DataFrame:
     """Edges (a, b) from all that share a band key to the smallest among them, where they are not the same already."""
-    keyed = texts.select("rep", F.explode("bands").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b < most").select("key", "b")
-    return keyed.join(least, "key").where("rep > b").select(F.col("rep").alias("a"), "b").distinct()
+    keyed = texts.select("v", F.explode("bands").alias("key"))
+    least = keyed.groupBy("key").agg(F.min("v").alias("b"), F.max("v").alias("most")).where("b < most").select("key", "b")
+    return keyed.join(least, "key").where("v > b").select(F.col("v").alias("a"), "b").distinct()
+
+
+def families_of(texts: DataFrame, first: int, bands: int) -> DataFrame:
+    """(id, component) of every text that shares a band key with another, whatever links them over."""
+    found = components(stars(texts.select("v", F.slice("bands", 1, first).alias("bands"))), "near-family")
+    later = texts.join(found.withColumnRenamed("id", "v"), "v", "left").select(F.coalesce("component", "v").alias("v"), F.slice("bands", first + 1, bands).alias("bands"))
+    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(stars(later)), "near-family")
+
+
+def whole_families(members: DataFrame, n: int, block: int) -> DataFrame:
+    """Groups of about `block` texts: small families many to a group, blocks of a large one with its pivots."""
+    large = F.col("blocks") > 1
+    pivot = F.pmod(F.xxhash64("v", F.lit("pivot")), F.col("blocks") * max(1, block // PIVOTS)) == 0  # PIVOTS texts of a family on average
+    own = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
+    pack = F.pmod(F.xxhash64("family"), F.lit(-(-n // block)))
+    tile = F.when(large & pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    return members.select(
+        F.when(large, F.col("family")).otherwise(pack).alias("group"),
+        F.explode(F.transform(tile, lambda x: F.struct(F.when(large, x).otherwise(-1).alias("i"), F.lit(0).alias("j")))).alias("tile"),
+        *("family", "v", F.lit(BOTH).alias("side"), F.col("v").alias("cluster"), "digest", "doc_id", "planes"),
+    )
+
+
+def divided_buckets(members: DataFrame, linked: DataFrame, block: int) -> DataFrame:
+    """Tiles of the band buckets that hold several clusters: texts outside of the largest cluster against all.
+
+    members: v, digest, doc_id, planes, bands; linked: id, component of what is known to be linked."""
+    labelled = members.join(linked.withColumnRenamed("id", "v"), "v", "left").withColumn("cluster", F.coalesce("component", "v"))
+    keyed = labelled.select("v", "cluster", F.explode("bands").alias("family"))
+    counts = keyed.groupBy("family", "cluster").agg(F.count("*").alias("n"))
+    buckets = counts.groupBy("family").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("core"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
+    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
+    rows = keyed.join(buckets, "family").select("family", "v", "cluster", (F.col("cluster") != F.col("core")).alias("apart"), blocks("n").alias("all"), blocks("rest").alias("rests"))
+    place = lambda n, salt: F.pmod(F.xxhash64("v", F.lit(salt)), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    one = F.transform(upto("rests"), lambda i: F.struct(i.alias("i"), place("all", "all").alias("j"), F.lit(0).alias("side")))
+    two = F.transform(upto("all"), lambda j: F.struct(place("rests", "rest").alias("i"), j.alias("j"), F.lit(1).alias("side")))
+    dealt = rows.select("family", "v", "cluster", F.explode(F.when(F.col("apart"), F.concat(one, two)).otherwise(one)).alias("t"))
+    tiles = dealt.select(F.col("family").alias("group"), F.struct("t.i", "t.j").alias("tile"), "family", "v", "t.side", "cluster")
+    return tiles.join(members.select("v", "digest", "doc_id", "planes"), "v")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 64, rows: int = 8, bits: int = 2, block: int = 256, margin: float = 0.15, small: int = 64) -> DataFrame:
@@ -147,34 +228,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     0.8 is missed by all bands with a chance of 8e-6; `margin` is six standard deviations of the estimate there. Sets
     of up to `small` shingles have few different minima, so the estimate wavers: those are compared in full at once.
     Null texts and texts without words have empty sets and link with nothing. Fewer words than `width` make one
-    shingle. Equal texts share one representative, so copies are never expanded into pairs. Repeated doc_ids are
-    rows of their own; a row without doc_id links with nothing, has a null component_id and is kept; further columns
-    are ignored."""
+    shingle. Equal texts are one vertex, so copies are never expanded into pairs. A doc_id that is repeated with
+    another text is a row of its own with its own links; a row without doc_id links with nothing, has a null
+    component_id and is kept; further columns are ignored."""
     signed = saved(signatures(docs, width, bands, rows, bits), "near-signed")
-    texts = saved(
-        signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("planes", "bands"), "doc_id").alias("s")).select("digest", "rep", "s.planes", "s.bands"),
-        "near-texts",
-    )
+    different = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("planes", "bands"), "doc_id").alias("s"))
+    texts = saved(different.select(F.monotonically_increasing_id().alias("v"), "digest", "doc_id", "s.planes", "s.bands"), "near-texts")
     first = max(1, bands // 4)
-    families = components(stars(texts.select("rep", F.slice("bands", 1, first).alias("bands"))), "near-family")
-    later = texts.join(families.withColumnRenamed("id", "rep"), "rep", "left").select(F.coalesce("component", "rep").alias("rep"), F.slice("bands", first + 1, bands).alias("bands"))
-    families = components(families.select(F.col("id").alias("a"), F.col("component").alias("b")).union(stars(later)), "near-family")
-    sizes = families.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = families.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    planes = texts.groupBy(F.col("rep").alias("id")).agg(F.first("planes").alias("planes"))
-    members = members.join(planes, "id").select(F.col("id").alias("doc_id"), F.col("component").alias("family"), "block", "blocks", "planes")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tiles = (
-        members.join(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")), "doc_id")
-        .select("doc_id", "family", "block", "planes", "text", other.alias("other"))
-        .withColumn("tile", F.struct(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
-        .drop("other")
-    )
-    linked = components(confirmed(tiles, width, percent, bands * rows, margin, small), "near-linked")
-    classes = texts.select("digest", "rep").join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    families = families_of(texts, first, bands)
+    sizes = families.groupBy(F.col("component").alias("family")).agg(F.count("*").alias("n"))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    members = families.select(F.col("id").alias("v"), F.col("component").alias("family")).join(sizes, "family").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    members = members.drop("n").join(texts, "v")
+    check = lambda dealt: confirmed(dealt, docs, width, percent, bands * rows, margin, small)
+    linked = components(check(whole_families(members.drop("bands"), max(1, total.n), block)), "near-linked")
+    if total.most > block:
+        large = saved(members.where("blocks > 1").select("v", "digest", "doc_id", "planes", "bands"), "near-large")
+        for begin, n in ((1, first), (first + 1, bands - first)):
+            part = large.withColumn("bands", F.slice("bands", begin, n)) if n else large.limit(0)
+            more = check(divided_buckets(part, linked, block))
+            linked = components(linked.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), "near-linked")
+    named = texts.select("digest", "v", "doc_id").join(linked.withColumnRenamed("id", "v"), "v", "left")
+    least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
+    classes = named.join(least, "component", "left").select("digest", F.coalesce("least", "doc_id").alias("component_id"))
     return (
         signed.select("doc_id", "n_shingles", "digest")
         .join(classes, "digest", "left")
-        .select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+        .select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
