@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .tokens import PieceEncoder
+from .tokens import encoder
 
 PACKED = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -57,7 +57,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 102
     further columns are ignored."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, sequence, waiting, held = PieceEncoder(tokenizer), TaskContext.get().partitionId() << 33, [], 0
+        encode, sequence, waiting, held = encoder(tokenizer), TaskContext.get().partitionId() << 33, [], 0
         out: list[tuple] = []
 
         def batch() -> pa.RecordBatch:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import saved, scratch, slices
-from .tokens import PieceEncoder
+from .tokens import encoder
 
 LIMIT, STEP = 20, 128
 RAW = "part long, before long, doc_ids binary, named binary, counts binary, ids binary"
@@ -108,7 +108,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int, part
     before counts the ids of the part's earlier blocks."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = PieceEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode_texts, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
         held: list[tuple] = []
 
         def row() -> pa.RecordBatch:
@@ -121,7 +121,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int, part
             return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in values], names=names)
 
         for rows in slices(batches, "text", 1_000_000):
-            ids, counts = encoder([t or "" for t in rows.column(1).to_pylist()])
+            ids, counts = encode_texts([t or "" for t in rows.column(1).to_pylist()])
             ids = np.insert(ids, np.cumsum(counts), end_id)
             doc_ids = rows.column(0)
             named = doc_ids.is_valid().to_numpy(zero_copy_only=False)

@@ -6,6 +6,7 @@ import json
 import os
 import re
 import unicodedata
+from functools import lru_cache
 from itertools import chain
 from pathlib import Path
 
@@ -91,3 +92,9 @@ class PieceEncoder:
         ids = self.ids[np.repeat(begin - ends + lengths, lengths) + np.arange(total)]
         edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
         return ids, np.diff(edges)
+
+
+@lru_cache(maxsize=2)
+def encoder(file: str) -> PieceEncoder:
+    """The encoder of a Python worker: a task finds the pieces that earlier tasks have merged."""
+    return PieceEncoder(file)
