@@ -10,8 +10,9 @@ quarter of the bands joins most of a family, and later bands only see which fami
 
 A family of up to `block` texts is compared as a whole. A larger one is dealt in blocks, each of which also gets the
 family's pivots, about sixteen of its texts, which tie the blocks together: a group of near copies, however large, is
-one cluster after this single pass. Where a large family is still in several clusters, its band buckets decide: in a
-bucket that holds several clusters, the texts outside of the bucket's largest cluster are compared with all others.
+one cluster after this single pass. Where a large family is still in several clusters, the texts outside of its largest
+cluster are compared with all others, in tiles. A family of more than `tiled` blocks would make too many tiles: there
+the same is done within each band bucket, as texts that share no band key are no candidates.
 No comparison returns more links than connect what it has compared.
 """
 
@@ -202,26 +203,37 @@ def whole_families(members: DataFrame, n: int, block: int) -> DataFrame:
     )
 
 
-def divided_buckets(members: DataFrame, linked: DataFrame, block: int) -> DataFrame:
-    """Tiles of the band buckets that hold several clusters: texts outside of the largest cluster against all.
+def divided(members: DataFrame, linked: DataFrame, block: int) -> DataFrame:
+    """Tiles of the buckets that hold several clusters: texts outside of the largest cluster against all.
 
-    members: v, digest, doc_id, planes, bands; linked: id, component of what is known to be linked."""
+    members: v, digest, doc_id, planes, buckets; linked: id, component of what is known to be linked."""
     labelled = members.join(linked.withColumnRenamed("id", "v"), "v", "left").withColumn("cluster", F.coalesce("component", "v"))
-    keyed = labelled.select("v", "cluster", F.explode("bands").alias("family"))
+    keyed = labelled.select("v", "cluster", F.explode("buckets").alias("family"))
     counts = keyed.groupBy("family", "cluster").agg(F.count("*").alias("n"))
     buckets = counts.groupBy("family").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("core"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
     blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
     rows = keyed.join(buckets, "family").select("family", "v", "cluster", (F.col("cluster") != F.col("core")).alias("apart"), blocks("n").alias("all"), blocks("rest").alias("rests"))
-    place = lambda n, salt: F.pmod(F.xxhash64("v", F.lit(salt)), F.col(n)).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("v", F.lit(n)), F.col(n)).cast("int")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    one = F.transform(upto("rests"), lambda i: F.struct(i.alias("i"), place("all", "all").alias("j"), F.lit(0).alias("side")))
-    two = F.transform(upto("all"), lambda j: F.struct(place("rests", "rest").alias("i"), j.alias("j"), F.lit(1).alias("side")))
+    one = F.transform(upto("rests"), lambda i: F.struct(i.alias("i"), place("all").alias("j"), F.lit(0).alias("side")))
+    two = F.transform(upto("all"), lambda j: F.struct(place("rests").alias("i"), j.alias("j"), F.lit(1).alias("side")))
     dealt = rows.select("family", "v", "cluster", F.explode(F.when(F.col("apart"), F.concat(one, two)).otherwise(one)).alias("t"))
     tiles = dealt.select(F.col("family").alias("group"), F.struct("t.i", "t.j").alias("tile"), "family", "v", "t.side", "cluster")
     return tiles.join(members.select("v", "digest", "doc_id", "planes"), "v")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 64, rows: int = 8, bits: int = 2, block: int = 256, margin: float = 0.15, small: int = 64) -> DataFrame:
+def joined(linked: DataFrame, more: DataFrame) -> DataFrame:
+    """linked (id, component) after further links (a, b): only the components that they touch are worked on."""
+    if more.isEmpty():
+        return linked
+    named = lambda c: linked.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
+    edges = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    found = components(edges, "near-joined")
+    moved = linked.join(found.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    return saved(moved.union(found.join(linked, "id", "left_anti").select("id", "component")), "near-linked")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 64, rows: int = 8, bits: int = 2, block: int = 256, margin: float = 0.15, small: int = 64, tiled: int = 16) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
     A link: 100 * |A and B| >= percent * |A or B| on the full shingle sets. With 64 bands of 8 rows a pair at
@@ -243,11 +255,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     check = lambda dealt: confirmed(dealt, docs, width, percent, bands * rows, margin, small)
     linked = components(check(whole_families(members.drop("bands"), max(1, total.n), block)), "near-linked")
     if total.most > block:
-        large = saved(members.where("blocks > 1").select("v", "digest", "doc_id", "planes", "bands"), "near-large")
-        for begin, n in ((1, first), (first + 1, bands - first)):
-            part = large.withColumn("bands", F.slice("bands", begin, n)) if n else large.limit(0)
-            more = check(divided_buckets(part, linked, block))
-            linked = components(linked.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), "near-linked")
+        large = saved(members.where("blocks > 1").select("v", "family", "blocks", "digest", "doc_id", "planes", "bands"), "near-large")
+        kept = ("v", "digest", "doc_id", "planes")
+        passes = [large.where(F.col("blocks") <= tiled).select(*kept, F.array("family").alias("buckets"))]
+        if total.most > block * tiled:
+            passes += [large.where(F.col("blocks") > tiled).select(*kept, F.slice("bands", begin, n).alias("buckets")) for begin, n in ((1, first), (first + 1, bands - first)) if n]
+        for part in passes:
+            linked = joined(linked, saved(check(divided(part, linked, block)), "near-links"))
     named = texts.select("digest", "v", "doc_id").join(linked.withColumnRenamed("id", "v"), "v", "left")
     least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
     classes = named.join(least, "component", "left").select("digest", F.coalesce("least", "doc_id").alias("component_id"))

@@ -389,6 +389,6 @@ def test_large_families_are_linked_across_blocks_and_repeated_ids_keep_their_own
     for x, (i, _) in enumerate(rows):
         least[find(x)].append(i)
     want = sorted((i, len(s), min(least[find(x)])) for x, (i, s) in enumerate(sets))
-    for block in (16, 32, 512):
-        got = near_dedup.near_duplicates(df, width=4, block=block).collect()
+    for block, tiled in ((16, 16), (16, 2), (512, 16)):
+        got = near_dedup.near_duplicates(df, width=4, block=block, tiled=tiled).collect()
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
