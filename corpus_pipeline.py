@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphtables.llm import exact_dedup, near_dedup, packing, quality
-from graphtables.llm.common import scratch, table
+from graphtables.llm.common import saved, scratch, table
 from graphtables.llm.queries import vocabulary
 
 
@@ -17,16 +19,37 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.scored(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns)).where("kept").select(*docs.columns)
 
 
+def chosen(docs: DataFrame, decisions: DataFrame, **keys: Column) -> DataFrame:
+    """The rows of docs that decisions name by all keys (null equals null); of those with equal keys the longest text.
+
+    decisions: a row for each combination of keys, with the number n of rows that it names. keys: for each key the
+    expression over docs that it stands for."""
+    decisions = saved(decisions.select("n", *keys).toDF("_chosen_n", *(f"_chosen_{k}" for k in keys)), "chosen")
+    marked = docs.select("*", *(e.alias(f"_own_{k}") for k, e in keys.items()))
+    found = marked.join(decisions, reduce(and_, (F.col(f"_own_{k}").eqNullSafe(F.col(f"_chosen_{k}")) for k in keys)))
+    out = found.where("_chosen_n = 1").select(*docs.columns)
+    if decisions.where("_chosen_n > 1").isEmpty():
+        return out
+    longest = F.max_by(F.struct(*docs.columns), F.struct(F.length("text"), "text"))
+    return out.union(found.where("_chosen_n > 1").groupBy(*(f"_chosen_{k}" for k in keys)).agg(longest.alias("row")).select("row.*"))
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the longest original stays."""
-    kept = exact_dedup.exact_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One row of all with equal texts stays: the longest original, then the smallest doc_id.
+
+    That holds for rows that repeat a doc_id too; a row without a doc_id stays if none with one has its text."""
+    keeper, named = F.max("keep_id"), F.count_if(F.col("doc_id") == F.col("keep_id"))
+    stays = exact_dedup.exact_duplicates(docs).groupBy("text_sha256").agg(keeper.alias("id"), F.when(keeper.isNull(), F.count("*")).otherwise(named).alias("n"))
+    sha = F.sha2(exact_dedup.normalised(F.col("text")).cast("binary"), 256)
+    return chosen(docs, stays.withColumnRenamed("id", "doc_id"), doc_id=F.col("doc_id").cast("long"), text_sha256=sha)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five words, similarity 0.8)."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One document of each group of near copies stays (five words, similarity 0.8).
+
+    A doc_id that is repeated with other texts is judged text by text; rows without one stay, equal ones once."""
+    kept = near_dedup.near_duplicates(docs).where("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    return chosen(docs, kept, doc_id=F.col("doc_id").cast("long"), text_hash=F.xxhash64("text"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from .common import LOWER, WordHashes, binary, components, mixed, saved, slices,
 
 SLICE = 4_000_000
 PIVOTS, BOTH = 16, 2
-SIGNED = "doc_id long, digest binary, n_shingles long, planes binary, bands array<long>"
+SIGNED = "doc_id long, text_hash long, digest binary, n_shingles long, planes binary, bands array<long>"
 
 
 def shingle_sets(texts: list[bytes], width: int, hashes: WordHashes) -> tuple[list[np.ndarray], list[bytes]]:
@@ -98,15 +98,16 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, bits: int) ->
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
+                    part.column(2),
                     pa.array(digests, pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([m if m is None else hasher.planes(m) for m in minima], pa.binary()),
                     pa.array([m if m is None else hasher.keys(m) for m in minima], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "digest", "n_shingles", "planes", "bands"],
+                names=["doc_id", "text_hash", "digest", "n_shingles", "planes", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(sign, SIGNED)
 
 
 class Clusters:
@@ -234,7 +235,7 @@ def joined(linked: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 64, rows: int = 8, bits: int = 2, block: int = 256, margin: float = 0.15, small: int = 64, tiled: int = 16) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
+    """One row a document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept, text_hash.
 
     A link: 100 * |A and B| >= percent * |A or B| on the full shingle sets. With 64 bands of 8 rows a pair at
     0.8 is missed by all bands with a chance of 8e-6; `margin` is six standard deviations of the estimate there. Sets
@@ -266,8 +267,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
     classes = named.join(least, "component", "left").select("digest", F.coalesce("least", "doc_id").alias("component_id"))
     return (
-        signed.select("doc_id", "n_shingles", "digest")
+        signed.select("doc_id", "n_shingles", "text_hash", "digest")
         .join(classes, "digest", "left")
-        .select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        .select("doc_id", "n_shingles", "text_hash", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash")
     )

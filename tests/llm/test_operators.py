@@ -298,13 +298,37 @@ def test_flow_moves_the_fewest_bytes():
     assert uneven == {(0, 1): 10, (1, 0): 10}
 
 
-def test_rewrite_touches_only_changed_shards(spark, tmp_path):
-    rows = [(i, "x" * 84, 0 if i < 30 else 1 if i < 40 else 2) for i in range(60)]
-    spark.createDataFrame(rows, "doc_id long, text string, shard int").write.partitionBy("shard").parquet(str(tmp_path / "old"))
-    touched = reshard.rewrite(spark, str(tmp_path / "old"), str(tmp_path / "new"), shards=3)
-    assert touched == [0, 1]
-    new = spark.read.parquet(str(tmp_path / "new"))
-    assert {r["shard"]: r["count"] for r in new.groupBy("shard").count().collect()} == {0: 20, 1: 20}
+def test_rewrite_touches_only_folders_that_lose_blocks(spark, tmp_path):
+    rows = [(i, f"{i:084d}", 0 if i < 3000 else 1 if i < 4000 else 2) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard int")
+    layout = reshard.Layout(spark, str(tmp_path / "x"), 3, 512, 4)
+    layout.write(df, F.col("shard"))
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "x" / "old").rglob("*.parquet")}
+    out = layout.rewrite()
+    assert {s for s, _ in layout.touched} == {0} and len(layout.touched) <= layout.folders
+    assert before == {f: f.stat().st_mtime_ns for f in (tmp_path / "x" / "old").rglob("*.parquet")}
+    assert not any("old_shard=2" in str(f) or "old_shard=1" in str(f) for f in (tmp_path / "x" / "new").rglob("*"))
+    got = out.collect()
+    assert sorted((r.doc_id, r.text, r.old_shard) for r in got) == rows
+    moved = [r for r in got if r.shard != r.old_shard]
+    assert {(r.old_shard, r.shard) for r in moved} == {(0, 1)} and 900 < len(moved) < 1100
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and max(map(len, slots.values())) < 2100
+
+
+def test_moved_bytes_are_near_the_flow_bound():
+    r = random.Random(9)
+    blocks = {(s, c, 0): r.randrange(500, 1500) * (2 if s < 3 else 1) for s in range(12) for c in range(256)}
+    placed = reshard.moves(blocks, 12)
+    moved, least = reshard.moved_bytes(blocks, placed, 12)
+    sizes = Counter()
+    for b, s in placed.items():
+        sizes[s] += blocks[b]
+    assert least <= moved + 12 * 3000 and moved <= 1.02 * least and max(sizes.values()) - min(sizes.values()) <= 320_000 / 400
+    given_up = reshard.moves({(s, c, 0): 10 for s in range(4) for c in range(50)}, 3)  # a shard that is no more
+    assert set(given_up.values()) == {0, 1, 2} and all(s == b[0] for b, s in given_up.items() if b[0] < 3)
 
 
 def test_license_scan_names_the_wording(spark, none):

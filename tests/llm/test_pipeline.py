@@ -82,6 +82,22 @@ def test_packing_stage_and_run_hold_every_kept_text(spark, stages):
     assert pieces.agg(F.sum(F.length("ids"))).first()[0] == 4 * sum(map(len, want.values()))
 
 
+def test_dedup_stages_keep_one_of_rows_that_repeat_or_lack_an_id(spark):
+    long = "one two three four five six seven eight nine ten"
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "a b  c d e f"), (None, "abcdef"), (None, "alone here"), (None, "alone here"), (2, "other text of two"), (2, "a b c d e f"), (3, None), (3, ""), (4, long), (4, long + " x"), (9, long + " x y")]
+    docs = spark.createDataFrame([(i, t, 7, "z") for i, t in rows], "doc_id long, text string, n int, text_hash string")
+    left = corpus_pipeline.exact_stage(spark, docs, FOLDER)
+    assert left.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text) for r in left.collect())
+    assert [g for g in got if g[0] != 3] == [(0, "alone here"), (1, "a b  c d e f"), (2, "other text of two"), (4, long), (4, long + " x"), (9, long + " x y")]
+    assert sum(i == 3 for i, _ in got) == 1
+    near = corpus_pipeline.near_stage(spark, docs, FOLDER)
+    assert near.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text or "") for r in near.collect())
+    assert (9, long + " x y") not in got and (4, long) in got
+    assert [g for g in got if g[0] == 0] == [(0, "abcdef"), (0, "alone here")] and sum(g == (1, "a b c d e f") for g in got) == 1
+
+
 def test_entry_without_the_subpackage(tmp_path):
     root = Path(__file__).parents[2]
     (tmp_path / "__spark_entry__.py").write_text((root / "__spark_entry__.py").read_text())
