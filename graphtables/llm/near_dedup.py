@@ -148,10 +148,10 @@ def links_within(rows: dict[str, np.ndarray], sets: list[np.ndarray], percent: i
                     clusters.link(i, j)
 
 
-def confirmed(dealt: DataFrame, docs: DataFrame, width: int, percent: int, k: int, margin: float, small: int) -> DataFrame:
-    """Links (a, b) among the vertices of each group and tile; dealt: group, tile, family, v, side, cluster, digest, doc_id, planes.
+def confirmed(dealt: DataFrame, width: int, percent: int, k: int, margin: float, small: int) -> DataFrame:
+    """Links (a, b) among the vertices of each group and tile; dealt: group, tile, family, v, side, cluster, digest, planes, text.
 
-    A group may hold several families. Texts come by doc_id, and of rows that share one the digest tells which is meant."""
+    A group may hold several families. Texts have come by doc_id and a hash; the digest tells whether they are meant."""
 
     def links(group: pd.DataFrame) -> pd.DataFrame:
         sets, digests = shingle_sets([t or b"" for t in group["text"]], width, word_hashes())
@@ -172,8 +172,8 @@ def confirmed(dealt: DataFrame, docs: DataFrame, width: int, percent: int, k: in
             found += [(ids[i], ids[j]) for i, j in links_within(own, [sets[at] for at in own["at"]], percent, k, margin, small)]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return dealt.join(texts, "doc_id").select("group", "tile.*", "family", "v", "side", "cluster", "digest", "planes", "text").groupBy("group", "i", "j").applyInPandas(links, "a long, b long")
+    columns = ("group", "tile.*", "family", "v", "side", "cluster", "digest", "planes", "text")
+    return dealt.select(*columns).groupBy("group", "i", "j").applyInPandas(links, "a long, b long")
 
 
 def stars(texts: DataFrame) -> DataFrame:
@@ -200,14 +200,14 @@ def whole_families(members: DataFrame, n: int, block: int) -> DataFrame:
     return members.select(
         F.when(large, F.col("family")).otherwise(pack).alias("group"),
         F.explode(F.transform(tile, lambda x: F.struct(F.when(large, x).otherwise(-1).alias("i"), F.lit(0).alias("j")))).alias("tile"),
-        *("family", "v", F.lit(BOTH).alias("side"), F.col("v").alias("cluster"), "digest", "doc_id", "planes"),
+        *("family", "v", F.lit(BOTH).alias("side"), F.col("v").alias("cluster"), "digest", "planes", "text"),
     )
 
 
 def divided(members: DataFrame, linked: DataFrame, block: int) -> DataFrame:
     """Tiles of the buckets that hold several clusters: texts outside of the largest cluster against all.
 
-    members: v, digest, doc_id, planes, buckets; linked: id, component of what is known to be linked."""
+    members: v, digest, planes, text, buckets; linked: id, component of what is known to be linked."""
     labelled = members.join(linked.withColumnRenamed("id", "v"), "v", "left").withColumn("cluster", F.coalesce("component", "v"))
     keyed = labelled.select("v", "cluster", F.explode("buckets").alias("family"))
     counts = keyed.groupBy("family", "cluster").agg(F.count("*").alias("n"))
@@ -220,7 +220,7 @@ def divided(members: DataFrame, linked: DataFrame, block: int) -> DataFrame:
     two = F.transform(upto("all"), lambda j: F.struct(place("rests").alias("i"), j.alias("j"), F.lit(1).alias("side")))
     dealt = rows.select("family", "v", "cluster", F.explode(F.when(F.col("apart"), F.concat(one, two)).otherwise(one)).alias("t"))
     tiles = dealt.select(F.col("family").alias("group"), F.struct("t.i", "t.j").alias("tile"), "family", "v", "t.side", "cluster")
-    return tiles.join(members.select("v", "digest", "doc_id", "planes"), "v")
+    return tiles.join(members.select("v", "digest", "planes", "text"), "v")
 
 
 def joined(linked: DataFrame, more: DataFrame) -> DataFrame:
@@ -245,19 +245,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     another text is a row of its own with its own links; a row without doc_id links with nothing, has a null
     component_id and is kept; further columns are ignored."""
     signed = saved(signatures(docs, width, bands, rows, bits), "near-signed")
-    different = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("planes", "bands"), "doc_id").alias("s"))
-    texts = saved(different.select(F.monotonically_increasing_id().alias("v"), "digest", "doc_id", "s.planes", "s.bands"), "near-texts")
+    different = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min_by(F.struct("doc_id", "text_hash", "planes", "bands"), F.struct("doc_id", "text_hash")).alias("s"))
+    texts = saved(different.select(F.monotonically_increasing_id().alias("v"), "digest", "s.*"), "near-texts")
     first = max(1, bands // 4)
     families = families_of(texts, first, bands)
     sizes = families.groupBy(F.col("component").alias("family")).agg(F.count("*").alias("n"))
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
     members = families.select(F.col("id").alias("v"), F.col("component").alias("family")).join(sizes, "family").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    members = members.drop("n").join(texts, "v")
-    check = lambda dealt: confirmed(dealt, docs, width, percent, bands * rows, margin, small)
+    wording = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    wording = wording.where("doc_id IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))  # rows may repeat
+    members = saved(members.drop("n").join(texts, "v").join(wording, ["doc_id", "text_hash"]).drop("doc_id", "text_hash"), "near-members", compression="zstd")
+    check = lambda dealt: confirmed(dealt, width, percent, bands * rows, margin, small)
     linked = components(check(whole_families(members.drop("bands"), max(1, total.n), block)), "near-linked")
     if total.most > block:
-        large = saved(members.where("blocks > 1").select("v", "family", "blocks", "digest", "doc_id", "planes", "bands"), "near-large")
-        kept = ("v", "digest", "doc_id", "planes")
+        large, kept = members.where("blocks > 1"), ("v", "digest", "planes", "text")
         passes = [large.where(F.col("blocks") <= tiled).select(*kept, F.array("family").alias("buckets"))]
         if total.most > block * tiled:
             passes += [large.where(F.col("blocks") > tiled).select(*kept, F.slice("bands", begin, n).alias("buckets")) for begin, n in ((1, first), (first + 1, bands - first)) if n]
