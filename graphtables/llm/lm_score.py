@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, binary, mixed, saved, slices
+from .common import LOWER, binary, mixed, saved, slices, word_hashes
 
 #: Keys that no word hashes to but by a chance of 2**-64: the end of a text, and the state before its first word.
 END, START = np.uint64(1), np.uint64(2)
@@ -44,7 +44,7 @@ def chunks(docs: DataFrame, modulus: int, remainder: int, chunk_bytes: int) -> D
     """One row for each chunk of whole texts: word numbers, and the sorted keys of the chunk's vocabulary."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, number, part = WordHashes(), 0, TaskContext.get().partitionId() << 33
+        hashes, number, part = word_hashes(), 0, TaskContext.get().partitionId() << 33
         for rows in slices(batches, "text", chunk_bytes):
             doc_ids = rows.column(0).to_pylist()
             keys, counts = [], []

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -158,13 +159,19 @@ class SentencePieces:
         return text[1:] if len(ids) and self.pieces[int(ids[0])].startswith(SPACE) else text
 
 
+@lru_cache(maxsize=1)
+def pieces_of(model: str) -> SentencePieces:
+    """The model of a Python worker: a task finds the words that earlier tasks have merged."""
+    return SentencePieces(model)
+
+
 def encoded(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, ids (with the end id), decoded text of every row; null texts count as empty and have the end id alone.
 
     Rows are independent: repeated rows repeat their result, further columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = SentencePieces(model)
+        pieces = pieces_of(model)
         for rows in slices(batches, "text", 2_000_000):
             ids, counts = pieces.encode([t or "" for t in rows.column(1).to_pylist()])
             ends = np.cumsum(counts)
