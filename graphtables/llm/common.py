@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -68,10 +68,19 @@ class WordHashes:
             return [known[w] for w in words]
 
 
-@cache
+_kept: dict[str, Any] = {}
+
+
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from one task to the next; one thing at a time, so that stages don't add up."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def word_hashes() -> WordHashes:
-    """The hashes of a Python worker: a task finds the words that earlier tasks have met."""
-    return WordHashes()
+    return kept("word hashes", WordHashes)
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:

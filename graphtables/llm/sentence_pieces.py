@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import kept, slices
 from .tokens import Known
 
 SPACE, NONE = "▁", np.int64(1 << 40)
@@ -159,10 +158,9 @@ class SentencePieces:
         return text[1:] if len(ids) and self.pieces[int(ids[0])].startswith(SPACE) else text
 
 
-@lru_cache(maxsize=1)
 def pieces_of(model: str) -> SentencePieces:
     """The model of a Python worker: a task finds the words that earlier tasks have merged."""
-    return SentencePieces(model)
+    return kept(model, lambda: SentencePieces(model))
 
 
 def encoded(docs: DataFrame, model: str) -> DataFrame:

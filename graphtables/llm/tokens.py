@@ -6,12 +6,13 @@ import json
 import os
 import re
 import unicodedata
-from functools import lru_cache
 from itertools import chain
 from pathlib import Path
 
 import numpy as np
 
+from .common import kept
+
 #: Characters whose class and case no Unicode version moves: up to U+024F and plain punctuation. A text with any
 #: other, or with a control that Python's re alone takes for white space, is encoded whole by the library, and so is
 #: one that holds the string of an added token, which the library gives a single id.
@@ -94,7 +95,6 @@ class PieceEncoder:
         return ids, np.diff(edges)
 
 
-@lru_cache(maxsize=2)
 def encoder(file: str) -> PieceEncoder:
     """The encoder of a Python worker: a task finds the pieces that earlier tasks have merged."""
-    return PieceEncoder(file)
+    return kept(file, lambda: PieceEncoder(file))
