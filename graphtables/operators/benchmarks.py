@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,6 +35,12 @@ def relation_rows(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> D
     return edges.join(sources.withColumnRenamed("id", "src"), "src", "left").join(targets.withColumnRenamed("id", "dst"), "dst", "left")
 
 
+def first_edges(edges: DataFrame, order: str) -> DataFrame:
+    """One edge a source, the least by `order`: what a table shows of a relation that it does not expand."""
+    rest = [c for c in edges.columns if c != "src"]
+    return edges.groupBy("src").agg(F.min_by(F.struct(*rest), order).alias("e")).select("src", "e.*")
+
+
 def degrees(nodes: DataFrame, edges: DataFrame, end: str) -> DataFrame:
     """Least, greatest and mean number of edges at this end, entities without edges included."""
     n = edges.groupBy(F.col(end).alias("id")).agg(F.count("*").alias("n"))
@@ -64,6 +71,26 @@ def questions(bindings: DataFrame, parameter: str, answer: str, text: Column, un
     return (out.where("n_answers = 1") if unique else out).withColumn("question", text)
 
 
+def placeholders(template: str) -> list[str]:
+    """The names of a template's $parameters, each once, in order."""
+    return list(dict.fromkeys(re.findall(r"\$([A-Za-z_]\w*)", template)))
+
+
+def quotas(total: int, types: Sequence[str], declared: dict[str, int] | None = None) -> dict[str, int]:
+    """Questions of each type: as declared, else an equal share of the total, the first types taking what is left over."""
+    if declared:
+        if unknown := set(declared) - set(types):
+            raise ValueError(f"no templates of the types {sorted(unknown)}")
+        return {t: declared.get(t, 0) for t in types}
+    return {t: total // len(types) + (k < total % len(types)) for k, t in enumerate(types)}
+
+
+def assembled(rows: DataFrame, item: str) -> DataFrame:
+    """Items with their questions: item, n_questions, qa_pairs in order of the question. rows: item, question, answer."""
+    pairs = F.sort_array(F.collect_list(F.struct("question", "answer")))
+    return rows.groupBy(item).agg(F.count("*").alias("n_questions"), pairs.alias("qa_pairs"))
+
+
 def renamed(rows: DataFrame, names: dict[str, str]) -> DataFrame:
     """One-to-one renaming; refuses names that clash, repeat or leave a column as it was."""
     new = [names.get(c, c) for c in rows.columns]

@@ -48,6 +48,12 @@ def resolved(parts: Sequence[DataFrame]) -> DataFrame:
     return long.groupBy("id").agg(F.count("*").alias("fragments"), *first)
 
 
+def provenance(parts: Sequence[DataFrame]) -> DataFrame:
+    """id, source (the table's rank), fragments: from which tables an entity was put together."""
+    long = reduce(lambda a, b: a.union(b), (p.select("id", F.col("_order.table").alias("source")) for p in parts))
+    return long.groupBy("id", "source").agg(F.count("*").alias("fragments"))
+
+
 def naturally_ordered(entities: DataFrame) -> DataFrame:
     """Numeric ids first, by value, then the others by text."""
     n = F.col("id").try_cast("double")

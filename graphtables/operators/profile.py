@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import iso_date, number
@@ -56,3 +56,10 @@ def missing_parents(children: DataFrame, column: str, parents: DataFrame, key: s
 def sample_values(rows: DataFrame, column: str, order: str, k: int = 3) -> DataFrame:
     """The first k different values by the least `order` at which they occur."""
     return rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.min(order).alias("at")).orderBy("at", "value").limit(k)
+
+
+def seeded_sample(rows: DataFrame, by: str, column: str, seed: int, k: int = 3) -> DataFrame:
+    """k different values of each group (`by`), chosen by a seeded hash, so that every run chooses the same: by, value, place."""
+    values = rows.where(F.col(column).isNotNull()).select(F.col(by).alias("group"), F.col(column).cast("string").alias("value")).distinct()
+    order = Window.partitionBy("group").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "value").cast("binary")), "value")
+    return values.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)

@@ -6,7 +6,9 @@ them or filters on them: edges carry both ends' ids, so anonymous nodes in the m
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,6 +45,20 @@ class PropertyGraph:
         lines = [f"({label} {{{', '.join(df.columns)}}})" for label, df in self.nodes.items()]
         return lines + [f"({e.source})-[{name} {{{', '.join(c for c in e.rows.columns if c not in ('src', 'dst'))}}}]->({e.target})" for name, e in self.edges.items()]
 
+    def counted(self) -> DataFrame:
+        """kind, name, n of every label and every relationship, those without instances too."""
+        tables = [("node", n, df) for n, df in self.nodes.items()] + [("edge", n, e.rows) for n, e in self.edges.items()]
+        return reduce(DataFrame.union, (df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), F.lit(name).alias("name"), "n") for kind, name, df in tables))
+
+    def anchors(self, label: str, path: Sequence[tuple[str, bool]]) -> DataFrame:
+        """Different (id, anchor): where a path of relationships, each with or against its direction, leads from a label."""
+        m, at = self.match("x", label), "x"
+        for k, (name, forward) in enumerate(path):
+            to = f"step{k}"
+            m = (m.out if forward else m.into)(at, name, to).frontier("x", to)
+            at = to
+        return m.rows.select(F.col("x_id").alias("id"), F.col(f"{at}_id").alias("anchor"))
+
     def problems(self, name: str, source: str | None = None, target: str | None = None, props: tuple[str, ...] = ()) -> list[str]:
         """What is wrong with an edge pattern against the catalog: unknown names, or a wrong direction."""
         if name not in self.edges:

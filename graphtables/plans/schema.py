@@ -129,6 +129,49 @@ def built(tables: dict[str, DataFrame], order: dict[str, str], schema: Schema, r
     return PropertyGraph(nodes, {n: Edge(anchored(e.rows, nodes[e.source], nodes[e.target]), e.source, e.target) for n, e in edges.items()})
 
 
+def key_kind(table: str, column: str, keys: dict[str, Sequence[str]], references: Sequence[tuple[str, str, str, str]]) -> str:
+    """What a column is: primary_key, foreign_key, descriptive, or unknown where the table has no declared key.
+
+    references: (table, column, referenced table, referenced column)."""
+    low = column.lower()
+    if low in (k.lower() for k in keys.get(table, ())):
+        return "primary_key"
+    if any(t == table and c.lower() == low for t, c, _, _ in references):
+        return "foreign_key"
+    return "descriptive" if table in keys else "unknown"
+
+
+def sound_references(references: Sequence[tuple[str, str, str, str]], headers: dict[str, Sequence[str]]) -> list[tuple[str, str, str, str]]:
+    """References whose tables and columns exist, in the tables' own spelling."""
+    tables, out = {t.lower(): t for t in headers}, []
+    for table, column, to, key in references:
+        a, b = tables.get(table.lower()), tables.get(to.lower())
+        if a and b and column.lower() in map(str.lower, headers[a]) and key.lower() in map(str.lower, headers[b]):
+            out.append((a, column, b, key))
+    return out
+
+
+@dataclass
+class EntityClass:
+    """A class merged from clusters: its key, and for each property the table.column names that it comes from."""
+
+    name: str
+    key: tuple[str, ...]
+    properties: dict[str, list[str]] = field(default_factory=dict)
+
+
+def merged_classes(clusters: Sequence[Proposal]) -> dict[str, EntityClass]:
+    """Clusters of one entity name (in any case) become a class; the first sets its key, and properties are united by name."""
+    out: dict[str, EntityClass] = {}
+    for c in clusters:
+        own = out.setdefault(c.entity.lower(), EntityClass(c.entity, c.key))
+        for column in (*c.key, *c.columns):
+            sources = own.properties.setdefault(column.lower(), [])
+            if (source := f"{c.table}.{column}") not in sources:
+                sources.append(source)
+    return {c.name: c for c in out.values()}
+
+
 STOP = frozenset({"the", "of", "a", "an", "and", "in", "for", "to"})
 
 

@@ -452,8 +452,51 @@ def sampled_edges_bind(g, t):
     return sources.agg(F.count("*").alias("sources")).crossJoin(out).crossJoin(into).crossJoin(bad)
 
 
+@query("SELECT 'node' AS kind, 'Region' AS name, count(*) AS n FROM region UNION ALL SELECT 'node', 'Nation', count(*) FROM nation UNION ALL SELECT 'node', 'Customer', count(*) FROM customer UNION ALL SELECT 'node', 'Supplier', count(*) FROM supplier UNION ALL SELECT 'node', 'Part', count(*) FROM part UNION ALL SELECT 'node', 'Order', count(*) FROM orders UNION ALL SELECT 'node', 'Event', count(*) FROM events UNION ALL SELECT 'edge', 'in_region', count(*) FROM nation UNION ALL SELECT 'edge', 'lives_in', count(*) FROM customer UNION ALL SELECT 'edge', 'based_in', count(*) FROM supplier UNION ALL SELECT 'edge', 'places', count(*) FROM orders UNION ALL SELECT 'edge', 'contains', count(*) FROM lineitem UNION ALL SELECT 'edge', 'supplied_by', count(*) FROM lineitem UNION ALL SELECT 'edge', 'performs', count(*) FROM events")
+def graph_stats(g, t):
+    return g.counted()
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, 0 AS source, count(*) AS fragments FROM customer GROUP BY 1 UNION ALL SELECT CAST(o_custkey AS VARCHAR), 1, count(*) FROM orders GROUP BY 1 UNION ALL SELECT CAST(user_id AS VARCHAR), 2, count(*) FROM events WHERE user_id IS NOT NULL GROUP BY 1")
+def entity_provenance(g, t):
+    parts = [(t.customer, "c_custkey"), (t.orders, "o_custkey"), (t.events, "user_id")]
+    return entities.provenance([entities.fragments(df, entities.Cluster("any", "c", [key]), F.lit(0), (rank, 0)) for rank, (df, key) in enumerate(parts)])
+
+
+@query("SELECT event_type AS kind, CAST(user_id AS VARCHAR) AS value, place FROM (SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY md5(concat('7:', user_id)), CAST(user_id AS VARCHAR)) AS place FROM (SELECT DISTINCT event_type, user_id FROM events WHERE user_id IS NOT NULL)) WHERE place <= 3")
+def seeded_sample(g, t):
+    return profile.seeded_sample(t.events, "event_type", "user_id", seed=7).withColumnRenamed("group", "kind")
+
+
+@query("SELECT r_regionkey AS anchor, count(DISTINCT o_orderkey) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def anchor_paths(g, t):
+    return g.anchors("Order", [("places", False), ("lives_in", True), ("in_region", True)]).groupBy("anchor").agg(F.count("*").alias("orders"))
+
+
+@query("SELECT 'either' AS kind, count(*) AS nations FROM (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier) UNION ALL SELECT 'both', count(*) FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'customers alone', count(*) FROM (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier)")
+def set_operations(g, t):
+    one, two = t.customer.select("c_nationkey"), t.supplier.select("s_nationkey")
+    found = {"either": one.union(two).distinct(), "both": one.intersect(two), "customers alone": one.subtract(two)}
+    counted = [df.agg(F.count("*").alias("nations")).select(F.lit(kind).alias("kind"), "nations") for kind, df in found.items()]
+    return counted[0].union(counted[1]).union(counted[2])
+
+
 # denormalised tables and benchmark data
 
+@query("SELECT c_name AS customer, o_orderkey AS o, o_totalprice AS price FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS o_orderkey, min_by(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def denorm_first_edge(g, t):
+    first = benchmarks.first_edges(t.orders.select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("o"), F.col("o_totalprice").alias("price")), "o")
+    return benchmarks.denormalised(t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("customer")), "id", first).select("customer", "o", "price")
+
+
+@query("SELECT n_regionkey AS item, count(*) AS n_questions, string_agg(concat(n_name, '=', k), '; ' ORDER BY n_name) AS pairs FROM nation JOIN (SELECT c_nationkey, count(*) AS k FROM customer GROUP BY 1) ON c_nationkey = n_nationkey GROUP BY 1")
+def qa_items(g, t):
+    m = g.match("n", "Nation", ("n_name", "n_regionkey")).into("n", "lives_in", "c")
+    asked = m.rows.groupBy(F.col("n_n_regionkey").alias("item"), F.col("n_n_name").alias("question")).agg(F.count("*").cast("string").alias("answer"))
+    pairs = F.array_join(F.transform("qa_pairs", lambda p: F.concat(p["question"], F.lit("="), p["answer"])), "; ")
+    return benchmarks.assembled(asked, "item").select("item", "n_questions", pairs.alias("pairs"))
+
+
 @query("SELECT c_name AS customer, o_orderkey AS o, o_totalprice AS price FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P'")
 def denorm_expand(g, t):
     open_orders = t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("o"), F.col("o_totalprice").alias("price"))

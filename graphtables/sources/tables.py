@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ITEMS = "id_ long, question string, table_names array<string>, tables array<struct<table_columns: array<string>, table_content: array<array<string>>>>, answer string, qa_pairs array<struct<question: string, answer: string>>"
@@ -39,3 +39,12 @@ def item_questions(found: DataFrame) -> DataFrame:
     own = F.array(F.struct(F.col("question").alias("question"), F.col("answer").alias("answer")))
     many = F.coalesce(F.when(F.size("qa_pairs") > 0, F.col("qa_pairs")), own)
     return found.select("id_", F.posexplode(many).alias("number", "q")).select("id_", "number", "q.question", "q.answer")
+
+
+def answer_text(answer: Column) -> Column:
+    """Answers of any form as text: null is empty; of {"data": [[...]]} and of lists the first cells, comma-separated."""
+    raw = F.trim(answer)
+    body = F.when(raw.startswith("{"), F.get_json_object(raw, "$.data")).otherwise(raw)
+    rows, flat = F.from_json(body, "array<array<string>>"), F.from_json(body, "array<string>")
+    cells = F.when(body.rlike(r"^\[\s*\["), F.transform(rows, lambda r: F.try_element_at(r, F.lit(1)))).otherwise(flat)
+    return F.when(raw.isNull(), "").when(body.startswith("["), F.concat_ws(", ", cells)).otherwise(answer)

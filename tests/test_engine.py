@@ -182,3 +182,31 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.write_graph(g, str(tmp_path / "g"))
     assert sinks.read_graph(spark, str(tmp_path / "g"), ["A"], {"r": ("A", "A")}).match("a", "A").out("a", "r", "b").rows.count() == 1
     assert not sinks.write_csv(got.limit(0), str(tmp_path / "none")) and sinks.write_csv(got, str(tmp_path / "some"))
+
+
+def test_key_kinds_and_references():
+    headers = {"Orders": ["Id", "cust", "note"], "Customers": ["key", "name"]}
+    found = schema.sound_references([("orders", "cust", "customers", "KEY"), ("Orders", "cust", "Nowhere", "key"), ("Orders", "gone", "Customers", "key")], headers)
+    assert found == [("Orders", "cust", "Customers", "KEY")]
+    kinds = [schema.key_kind("Orders", c, {"Orders": ["id"]}, found) for c in headers["Orders"]]
+    assert kinds == ["primary_key", "foreign_key", "descriptive"] and schema.key_kind("Customers", "name", {}, found) == "unknown"
+
+
+def test_clusters_of_one_class_unite_their_properties():
+    merged = schema.merged_classes([schema.Proposal("a", "x", "Site", ("site",), ("City",)), schema.Proposal("b", "y", "SITE", ("place",), ("city", "size")), schema.Proposal("b", "z", "Part", ("no",))])
+    assert set(merged) == {"Site", "Part"} and merged["Site"].key == ("site",)
+    assert merged["Site"].properties == {"site": ["a.site"], "city": ["a.City", "b.city"], "place": ["b.place"], "size": ["b.size"]}
+
+
+def test_placeholders_and_quotas():
+    assert benchmarks.placeholders("MATCH (a {k: $site, d: $day}) WHERE a.x = $site") == ["site", "day"]
+    assert benchmarks.quotas(8, ["a", "b", "c"]) == {"a": 3, "b": 3, "c": 2}
+    assert benchmarks.quotas(8, ["a", "b"], {"b": 5}) == {"a": 0, "b": 5}
+    with pytest.raises(ValueError):
+        benchmarks.quotas(8, ["a"], {"z": 1})
+
+
+def test_answers_of_every_form(spark):
+    forms = {None: "", "plain": "plain", '{"columns": ["a"], "data": [["x"], ["y"]]}': "x, y", '["p", "q"]': "p, q", '[["one", 2]]': "one", "": ""}
+    df = spark.createDataFrame([(f,) for f in forms], "answer string")
+    assert {r.answer: r.text for r in df.select("answer", tables.answer_text(df["answer"]).alias("text")).collect()} == forms
