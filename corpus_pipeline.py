@@ -16,7 +16,9 @@ from graphtables.llm.queries import vocabulary
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior says good; the rest goes."""
-    return quality.scored(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns)).where("kept").select(*docs.columns)
+    rest = F.struct(*(c for c in docs.columns if c != "text")).alias("rest")  # no name in it clashes with the operator's
+    scored = quality.scored(docs.select("doc_id", "text", "source", "lang", rest), table(spark, sf_dir, "labels"), keep=("rest", "text"))
+    return scored.where("kept").select(*(F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns))
 
 
 def chosen(docs: DataFrame, decisions: DataFrame, **keys: Column) -> DataFrame:
@@ -25,12 +27,12 @@ def chosen(docs: DataFrame, decisions: DataFrame, **keys: Column) -> DataFrame:
     decisions: a row for each combination of keys, with the number n of rows that it names. keys: for each key the
     expression over docs that it stands for."""
     decisions = saved(decisions.select("n", *keys).toDF("_chosen_n", *(f"_chosen_{k}" for k in keys)), "chosen")
-    marked = docs.select("*", *(e.alias(f"_own_{k}") for k, e in keys.items()))
+    marked = docs.select(F.struct(*docs.columns).alias("row"), *(e.alias(f"_own_{k}") for k, e in keys.items()))
     found = marked.join(decisions, reduce(and_, (F.col(f"_own_{k}").eqNullSafe(F.col(f"_chosen_{k}")) for k in keys)))
-    out = found.where("_chosen_n = 1").select(*docs.columns)
+    out = found.where("_chosen_n = 1").select("row.*")
     if decisions.where("_chosen_n > 1").isEmpty():
         return out
-    longest = F.max_by(F.struct(*docs.columns), F.struct(F.length("text"), "text"))
+    longest = F.max_by("row", F.struct(F.length("row.text"), "row.text"))
     return out.union(found.where("_chosen_n > 1").groupBy(*(f"_chosen_{k}" for k in keys)).agg(longest.alias("row")).select("row.*"))
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from .common import binary, saved, slices
 
 FEATURES = 20
+RESULTS = ("evidence", "site_prior", "path_prior", "posterior", "kept")
 LINE, RUN = re.compile(rb"\n+"), re.compile(rb"(.)\1{3,}", re.S)
 
 
@@ -126,28 +127,29 @@ def scored(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     threshold. Null hosts and paths form groups of their own; null and empty texts are scored as any text is. Rows
     are judged one by one, so repeated rows get equal marks, and an empty table gives an empty result. The fit uses
     at most `most_labels` labelled rows; group statistics cover all rows. A table of up to `most_groups` groups is
-    broadcast, a larger one is joined."""
+    broadcast, a larger one is joined. A column of docs that has a result's name stays out."""
+    columns = [c for c in dict.fromkeys(["doc_id", host, path, *keep]) if c not in RESULTS]
     model, share = trained(docs, labels, most_labels)
     keys = {"_host": F.coalesce(F.col(host).cast("string"), F.lit("\0")), "_path": F.coalesce(F.col(path).cast("string"), F.lit("\0"))}
     vote = 1 / (1 + F.exp(-F.col("evidence")))
     votes = evidenced(docs, model, [host, path]).select(*(c.alias(k) for k, c in keys.items()), vote.alias("vote"))
-    paths = saved(votes.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("vote").alias("s")), "quality-paths")
-    sites = paths.groupBy("_host").agg(F.sum("n").alias("site_n"), F.sum("s").alias("site_s"))
-    total = paths.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s")).first()
+    paths = saved(votes.groupBy("_host", "_path").agg(F.count("*").alias("_n"), F.sum("vote").alias("_s")), "quality-paths")
+    sites = paths.groupBy("_host").agg(F.sum("_n").alias("_site_n"), F.sum("_s").alias("_site_s"))
+    total = paths.agg(F.count("*").alias("k"), F.sum("_n").alias("n"), F.sum("_s").alias("s")).first()
     mean = float(np.clip(total.s / total.n, 1e-3, 1 - 1e-3)) if total.n else share
-    k_site = strength(mean, sites, "site_n", "site_s", F.lit(mean))
+    k_site = strength(mean, sites, "_site_n", "_site_s", F.lit(mean))
     groups = paths.join(sites, "_host")
-    k_path = strength(mean, groups, "n", "s", (F.col("site_s") + k_site * mean) / (F.col("site_n") + k_site))
+    k_path = strength(mean, groups, "_n", "_s", (F.col("_site_s") + k_site * mean) / (F.col("_site_n") + k_site))
     groups = F.broadcast(groups) if total.k <= most_groups else groups
-    marked = evidenced(docs, model, list(dict.fromkeys(["doc_id", host, path, *keep]))).withColumns(keys).withColumn("_vote", vote)
+    marked = evidenced(docs, model, columns).withColumns(keys).withColumn("_vote", vote)
     odds = lambda p: F.log(p / (1 - p))
     bound = lambda p: F.least(F.greatest(p, F.lit(1e-3)), F.lit(1 - 1e-3))
     return (
         marked.join(groups, ["_host", "_path"])
-        .withColumn("site_prior", (F.col("site_s") - F.col("_vote") + k_site * mean) / (F.col("site_n") - 1 + k_site))
-        .withColumn("path_prior", (F.col("s") - F.col("_vote") + k_path * F.col("site_prior")) / (F.col("n") - 1 + k_path))
+        .withColumn("site_prior", (F.col("_site_s") - F.col("_vote") + k_site * mean) / (F.col("_site_n") - 1 + k_site))
+        .withColumn("path_prior", (F.col("_s") - F.col("_vote") + k_path * F.col("site_prior")) / (F.col("_n") - 1 + k_path))
         .withColumn("posterior", F.round(1 / (1 + F.exp(-(F.col("evidence") - float(np.log(share / (1 - share))) + odds(bound(F.col("path_prior")))))), 6))
         .withColumn("kept", F.col("posterior") >= threshold)
         .withColumns({c: F.round(c, 6) for c in ("site_prior", "path_prior")})
-        .select(*dict.fromkeys(["doc_id", host, path, *keep]), "evidence", "site_prior", "path_prior", "posterior", "kept")
+        .select(*columns, *RESULTS)
     )

@@ -98,6 +98,18 @@ def test_dedup_stages_keep_one_of_rows_that_repeat_or_lack_an_id(spark):
     assert [g for g in got if g[0] == 0] == [(0, "abcdef"), (0, "alone here")] and sum(g == (1, "a b c d e f") for g in got) == 1
 
 
+def test_stages_keep_columns_whose_names_clash(spark):
+    names = "n s vote kept evidence posterior row rest text_hash component id digest v _n _s _chosen_n _own_doc_id".split()
+    docs = table(spark, FOLDER, "documents").where("doc_id < 40")
+    wide = docs.select("*", *(F.lit(c).alias(c) for c in names))
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        kept = stage(spark, wide, FOLDER)
+        assert kept.columns == wide.columns
+        rows = kept.collect()
+        assert {r.doc_id for r in rows} == {r.doc_id for r in stage(spark, docs, FOLDER).collect()}
+        assert all(r[c] == c for r in rows for c in names)
+
+
 def test_entry_without_the_subpackage(tmp_path):
     root = Path(__file__).parents[2]
     (tmp_path / "__spark_entry__.py").write_text((root / "__spark_entry__.py").read_text())
