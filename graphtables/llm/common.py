@@ -51,20 +51,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes:
-    """64-bit hashes of words, remembered for up to `most` different words."""
+    """64-bit hashes of words, remembered for up to `most` different words of 32 bytes on average."""
 
     def __init__(self, most: int = 400_000):
-        self.most, self.known = most, {}
+        self.most, self.known, self.size = most, {}, 0
 
     def __call__(self, words: list[bytes]) -> list[int]:
         known = self.known
-        if len(known) > self.most:
+        if len(known) > self.most or self.size > 32 * self.most:
             known.clear()
+            self.size = 0
         try:
             return [known[w] for w in words]
         except KeyError:
             for w in set(words).difference(known):
                 known[w] = xxhash.xxh3_64_intdigest(w)
+                self.size += len(w)
             return [known[w] for w in words]
 
 

@@ -134,7 +134,7 @@ class SentencePieces:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts): the ids of all texts end to end without end ids, and how many each has."""
-        if len(self.words) > self.most:
+        if self.words.full(self.most):
             self.forget()
         units = [self.units.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         n = np.fromiter(map(len, units), np.int64, len(units))

@@ -33,18 +33,28 @@ def byte_letters() -> list[str]:
     return [shown[b] for b in range(256)]
 
 
+#: Characters a piece that caches allow for on average.
+LONG = 32
+
+
 class Known(dict):
-    """Piece to index; a new piece gets the next one and is noted."""
+    """Piece to index; a new piece gets the next one and is noted. A piece may be as long as a text."""
 
     def __init__(self):
         super().__init__()
         self.new: list[str] = []
+        self.characters = 0
 
     def __missing__(self, piece: str) -> int:
         at = self[piece] = len(self)
         self.new.append(piece)
+        self.characters += len(piece)
         return at
 
+    def full(self, most: int) -> bool:
+        """Whether it holds more than `most` pieces, or what that many of LONG characters would."""
+        return len(self) > most or self.characters > most * LONG
+
 
 class PieceEncoder:
     """Calls give (ids, counts): the ids of all texts end to end, and how many each text has."""
@@ -76,7 +86,7 @@ class PieceEncoder:
         return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))]
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > self.most:
+        if self.known.full(self.most):
             self.forget()
         pieces = [self.pieces(t) for t in texts]
         n = np.fromiter(map(len, pieces), np.int64, len(pieces))
