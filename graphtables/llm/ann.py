@@ -72,13 +72,14 @@ def unpacked(row: dict, prefix: str) -> tuple[np.ndarray, ...]:
     )
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: int = 256, block: int = 1024) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: int = 256, block: int = 1024, held: int = 16_384) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest rows of `vectors` for every row of `queries`, exactly.
 
     Score is the Euclidean distance in double precision; ties go to the smaller vec_id; a query's own vec_id is no
     candidate; fewer candidates give fewer rows. Vectors that are null, zero or hold null or non-finite components
     take no part, and vectors are compared with those of their length alone. Repeated rows are candidates each;
-    repeated queries give one answer. Further columns are ignored."""
+    repeated queries give one answer. Further columns are ignored. A task hands on its heaps when it has those of more
+    than `held` queries, so its memory does not grow with their number."""
     vectors, queries = usable(vectors), usable(queries).dropDuplicates(["vec_id"])
     tiles = max(1, -(-vectors.count() // (8 * block)))
     asked = queries.repartition(max(1, -(-queries.count() // query_block)))
@@ -89,6 +90,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: in
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps: dict[int, list[tuple[float, int]]] = {}
         limits: dict[int, float] = {}
+
+        def merged() -> pa.RecordBatch:
+            rows = [(query, -v, -s) for query, heap in heaps.items() for s, v in heap]
+            heaps.clear()
+            limits.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
             for n in range(batch.num_rows):
                 row = batch.slice(n, 1).to_pylist()[0]
@@ -117,11 +125,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: in
                     if len(heap) == k:
                         limit = min(limit, heap[0][0] ** 2 * (1 + 1e-9))
                     limits[query] = limit
-        rows = [(query, -v, -s) for query, heap in heaps.items() for s, v in heap]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+                if len(heaps) > held:
+                    yield merged()
+        yield merged()
 
     found = left.join(right, ["tile", "dim"]).mapInArrow(search, FOUND)
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")  # k rows from each task at most
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")  # k rows from each heap at most
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 

@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphtables.llm import ann, exact_dedup, license_scan, lm_score, near_dedup, packing, quality, reshard, sentence_pieces, token_store
+from graphtables.llm import ann, exact_dedup, license_scan, lm_score, near_dedup, packing, quality, reshard, sentence_pieces, token_store, tokens
+from graphtables.llm.common import WordHashes
 from graphtables.llm.queries import vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id string, shard string, n string, kept string"
@@ -139,6 +140,22 @@ def test_added_tokens_get_the_ids_of_the_plain_library(spark, name):
         assert {i: (r.n_tokens, r.ids_crc32) for i, r in got.items()} == {i: (len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes())) for i, ids in want.items()}
 
 
+def test_caches_of_long_pieces_stay_bounded():
+    r = random.Random(9)
+    texts = ["".join(r.choice("字学生中文大小") for _ in range(400)) for _ in range(40)]
+    most, longest = 50, max(map(len, texts)) + 2
+    encoder = tokens.PieceEncoder(vocabulary("byte_bpe_50k.json"), most=most)
+    pieces = sentence_pieces.SentencePieces(vocabulary("piece_bpe_32k.model"), most=most)
+    hashes = WordHashes(most=most)
+    for t in texts:
+        ids, _ = encoder([t])
+        assert ids.tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+        pieces.encode([t])
+        hashes([t.encode()])
+        assert max(encoder.known.characters, pieces.words.characters) <= 32 * most + longest
+        assert sum(map(len, hashes.known)) <= 32 * most + 3 * longest
+
+
 def test_differencing_is_near_equal():
     r = random.Random(2)
     sizes = [r.randrange(1, 200) for _ in range(400)]
@@ -221,6 +238,8 @@ def test_neighbours_match_brute_force(spark):
     got = defaultdict(list)
     for row in ann.nearest(df, df.where("vec_id % 100 = 0"), query_block=3, block=64).orderBy("query_id", "rank").collect():
         got[row.query_id].append((row.rank, row.vec_id, row.score))
+    early = ann.nearest(df, df.where("vec_id % 100 = 0"), query_block=3, block=64, held=2).orderBy("query_id", "rank")
+    assert [tuple(r) for r in early.collect()] == [(q, *hit) for q in sorted(got) for hit in got[q]]
     bad = {5, 6, 7, 8, 11, 12}
     good = [i for i in range(700) if i not in bad]
     for q in range(0, 700, 100):
@@ -380,6 +399,9 @@ def test_quality_shrinks_sparse_sites(spark, docs, none):
     assert len(by_id(quality.scored(docs, labels))) == len(corpus())
     assert quality.scored(none, labels.limit(0)).count() == 0
     assert "text" in quality.scored(df, labels, keep=("text",)).columns
+    clashing = df.selectExpr("*", "'x' AS _site", "'x' AS n", "'x' AS s", "'x' AS vote", "'x' AS kept", "'x' AS Evidence")
+    marks = by_id(quality.scored(clashing, labels, keep=("n", "s", "vote", "kept")))
+    assert all((marks[i].kept, marks[i].posterior, marks[i].n) == (got[i].kept, got[i].posterior, "x") for i in range(300))
 
 
 def test_large_families_are_linked_across_blocks_and_repeated_ids_keep_their_own_links(spark):
