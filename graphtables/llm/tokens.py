@@ -15,8 +15,9 @@ from .common import kept
 
 #: Characters whose class and case no Unicode version moves: up to U+024F and plain punctuation. A text with any
 #: other, or with a control that Python's re alone takes for white space, is encoded whole by the library, and so is
-#: one that holds the string of an added token, which the library gives a single id.
+#: one that holds the string of an added token, which the library gives a single id. ODD_ASCII: those in plain ASCII.
 OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-ɏ‐-‧‰-⁞€]")
+ODD_ASCII = "\x1c\x1d\x1e\x1f"
 LETTERS = "".join(re.escape(c) for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == "L")
 NUMBERS = "".join(re.escape(c) for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == "N")
 # The pre-tokenizing patterns of the two public vocabularies.
@@ -76,7 +77,8 @@ class PieceEncoder:
 
     def pieces(self, text: str) -> list[str]:
         """A text that needs the library is one piece, marked by a leading NUL and line end that no piece begins with."""
-        if OTHER.search(text) or any(t in text for t in self.added):
+        odd = any(c in text for c in ODD_ASCII) if text.isascii() else OTHER.search(text)
+        if odd or any(t in text for t in self.added):
             return ["\x00\n" + text]
         return self.pattern.findall(text.lower() if self.words else text)
 
