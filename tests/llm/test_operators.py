@@ -140,6 +140,17 @@ def test_added_tokens_get_the_ids_of_the_plain_library(spark, name):
         assert {i: (r.n_tokens, r.ids_crc32) for i, r in got.items()} == {i: (len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes())) for i, ids in want.items()}
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_controls_and_white_space_get_the_ids_of_the_library(name):
+    r, library = random.Random(3), tokenizer(name)
+    letters = " \n\t\r\xa0\x0b\x0c'sdtrevlmLL12_-.,!\x00\x01\x1b\x1c\x1d\x1e\x1f\x7f\x85İıßé²½—€\u0301Σ"
+    texts = ["".join(r.choice(letters[:n]) for _ in range(r.randrange(40))) for n in (33, len(letters)) for _ in range(500)]
+    texts += ["", " ", "\n\n a", "it's IT'S 's", *(f"a{c}b {c} c" for c in map(chr, range(0x100)))]
+    ids, counts = tokens.PieceEncoder(vocabulary(name))(texts)
+    ends = np.cumsum(counts)
+    assert len(ends) == len(texts) and all(ids[e - n : e].tolist() == library(t) for t, e, n in zip(texts, ends, counts))
+
+
 def test_caches_of_long_pieces_stay_bounded():
     r = random.Random(9)
     texts = ["".join(r.choice("字学生中文大小") for _ in range(400)) for _ in range(40)]
