@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, license_scan, lm_score, near_dedup, packing, quality, reshard, sentence_pieces, token_store
+from . import ann, conversation, exact_dedup, license_scan, lm_score, near_dedup, packing, phrases, quality, reshard, sentence_pieces, token_store, toxicity
 from .common import scratch, table
 
 
@@ -61,9 +61,21 @@ def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scores(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.digest(conversation.repaired(conversation.damaged(table(spark, sf_dir, "conversations"))))
+
+
+def op12_setm_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(table(spark, sf_dir, "documents"))
+
+
+def op13_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_quality_classifier, op3_block_matrix_ann, op4_flow_reshard, op5_block_naming_dedup, op6_differencing_packing, op7_huffman_store, op8_sentence_pieces, op9_minhash_dedup, op10_backoff_lm)}
+    return {f.__name__: f for f in (op1_license_scan, op2_quality_classifier, op3_block_matrix_ann, op4_flow_reshard, op5_block_naming_dedup, op6_differencing_packing, op7_huffman_store, op8_sentence_pieces, op9_minhash_dedup, op10_backoff_lm, op11_conversation_viterbi, op12_setm_phrases, op13_toxicity_grammar)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_block_matrix_ann": ann.ORACLE_SQL, "op5_block_naming_dedup": exact_dedup.ORACLE_SQL}
+    return {"op3_block_matrix_ann": ann.ORACLE_SQL, "op5_block_naming_dedup": exact_dedup.ORACLE_SQL, "op11_conversation_viterbi": conversation.ORACLE_SQL, "op12_setm_phrases": phrases.ORACLE_SQL}
