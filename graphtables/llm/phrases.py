@@ -1,16 +1,17 @@
 """Phrase collocation mining by SETM: relations of occurrences, merge-joined by piece and adjacent position.
 
 Texts become chunks: for each language of a slice of texts, an occurrence relation sorted by piece and position. It is
-held as a dense array, one entry a position with the number of the chunk's gram that begins there, or -1; a -1 stands
+held as a dense array, one entry a position with the number of the chunk's gram that begins there, or 0; a 0 stands
 between pieces too, so that equal pieces and adjacent positions are neighbours in it. One length after the other:
 
-* group-count: each chunk gives a row for each different gram, and rows are added up over all chunks,
-* semi-join: rows of frequent grams go back to their chunks with the gram's global number, the others vanish,
+* group-count: each chunk deals its different grams to spans by a hash, and one group adds up a span over all chunks,
+* semi-join: the group answers each chunk in the chunk's own order, the number of each frequent gram, 0 for the others,
 * merge-join: neighbours that both survive make the occurrences of the next length, written as the next relation.
 
 A gram longer than a word is a pair of numbers, of the grams that it begins and ends with, so it can only be frequent
-where both are. Nothing is hashed, no count is cut off, and a row of the shuffles is a gram of a chunk, so a frequent
-gram has no more rows than there are chunks.
+where both are. Words are compared as they are, and no count is cut off. What travels are sorted, packed arrays; a gram
+occurs in a group once for each chunk, however frequent it is. There are never more rows than grams of chunks, as a
+row holds one at least, and the number of spans grows with the grams, so a group does not.
 """
 
 from __future__ import annotations
@@ -19,36 +20,61 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, slices
+from .common import mixed, saved, slices
 
 #: Bytes of UTF-8 texts: A-Z in lower case, and ends of pieces as a byte that UTF-8 never has.
 BREAK = b"\xff"
 CUT = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + BREAK * 10)
-WORDS = pa.schema([("chunk", pa.int64()), ("body", pa.binary()), ("at", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
-GRAMS = pa.schema([("chunk", pa.int64()), ("body", pa.binary()), ("at", pa.int32()), ("p", pa.int64()), ("s", pa.int64()), ("n", pa.int64())])
-SPARK = {"words": "chunk long, body binary, at int, lang string, word string, n long", "grams": "chunk long, body binary, at int, p long, s long, n long"}
+RELATION = "chunk long, lang string, positions long, places binary, first binary, second binary, n binary, grams long"
+DEALT = "lang string, span long, chunk long, first binary, second binary, n binary"
+COUNTED = "lang string, span long, chunk long, reply binary, number long, word string, p long, s long, f long"
+LEFT, RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def relation(chunk: int, places: np.ndarray, schema: pa.Schema, columns: list) -> pa.Table:
-    """A chunk's occurrences in one row, and a row for each of its grams."""
-    head = pa.Table.from_arrays([pa.array([chunk], pa.int64()), pa.array([places.astype("<i4").tobytes()], pa.binary()), *(pa.nulls(1, f.type) for f in list(schema)[2:])], schema=schema)
-    n = len(columns[-1])
-    rows = [pa.array(np.full(n, chunk, np.int64)), pa.nulls(n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), *columns]
-    return pa.concat_tables([head, pa.Table.from_arrays(rows, schema=schema)])
+def arrow(schema: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))])
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Integers by byte planes, compressed: the upper planes of small numbers vanish."""
+    return zstandard.compress(np.ascontiguousarray(x.astype("<i8")).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
+
+
+def packed_pairs(p: np.ndarray, s: np.ndarray) -> tuple[bytes, bytes]:
+    """Pairs sorted by both: differences, of the second ones within runs of equal first ones."""
+    step = np.diff(p, prepend=0)
+    return packed(step), packed(np.where(step == 0, np.diff(s, prepend=0), s))
+
+
+def unpacked_pairs(first: bytes, second: bytes) -> tuple[np.ndarray, np.ndarray]:
+    step, s = unpacked(first), unpacked(second)
+    if not len(step):
+        return step, s
+    sums, begins = np.cumsum(s), np.flatnonzero(np.append(True, step[1:] != 0))
+    before = np.append(0, sums)[begins]
+    return np.cumsum(step), sums - np.repeat(before, np.diff(np.append(begins, len(s))))
 
 
 def narrowed(places: np.ndarray) -> np.ndarray:
-    """The relation with one -1 in place of many: what was adjacent stays so, and nothing else becomes so."""
-    held = places >= 0
+    """The relation with one 0 in place of many: what was adjacent stays so, and nothing else becomes so."""
+    held = places > 0
     return places[held | np.append(True, held[:-1])]
 
 
 def words(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """Occurrences of words: chunks of whole texts of one language."""
+    """Occurrences of words: chunks of whole texts of one language, with the words (first) and how often each occurs."""
+    schema = arrow(RELATION)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
@@ -60,45 +86,110 @@ def words(docs: DataFrame, chunk_bytes: int) -> DataFrame:
                 found = BREAK.join(own).translate(CUT).replace(BREAK, b" \xff ").split()
                 encoded = pa.array(found, pa.binary()).dictionary_encode()
                 del found
-                ids, vocabulary = encoded.indices.to_numpy().astype(np.int64), encoded.dictionary.to_pylist()
+                ids, vocabulary = encoded.indices.to_numpy().astype(np.int64) + 1, encoded.dictionary.to_pylist()
                 if BREAK in vocabulary:  # its number goes to the breaks, and the others close up
-                    at = vocabulary.index(BREAK)
-                    ids = np.where(ids == at, -1, ids - (ids > at))
-                    del vocabulary[at]
-                if not vocabulary:
-                    continue
-                n = pa.array(np.bincount(ids[ids >= 0], minlength=len(vocabulary)))
-                langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(n), np.int32)), pa.array([lang])).cast(pa.string())
-                yield from relation(number, narrowed(ids), WORDS, [langs, pa.array(vocabulary, pa.binary()).cast(pa.string()), n]).to_batches()
-                number += 1
+                    at = vocabulary.index(BREAK) + 1
+                    ids = np.where(ids == at, 0, ids - (ids > at))
+                    del vocabulary[at - 1]
+                if vocabulary:
+                    n = np.bincount(ids, minlength=len(vocabulary) + 1)[1:]
+                    row = [number, lang, int(n.sum()), packed(narrowed(ids)), zstandard.compress(BREAK.join(vocabulary), 1), None, packed(n), len(n)]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
+                    number += 1
+
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(build, RELATION)
 
-    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(build, SPARK["words"])
 
+def spans_of(row: dict, spans: int) -> tuple[np.ndarray, list[bytes] | None, np.ndarray | None, np.ndarray | None]:
+    """The span of each of a chunk's grams, and the grams: words, or pairs of numbers."""
+    if row["second"] is None:
+        own = zstandard.decompress(row["first"]).split(BREAK)
+        return np.array([xxhash.xxh3_64_intdigest(w) for w in own], np.uint64) % np.uint64(spans), own, None, None
+    p, s = unpacked_pairs(row["first"], row["second"])
+    return mixed(p.astype(np.uint64) * LEFT + s.astype(np.uint64) * RIGHT) % np.uint64(spans), None, p, s
 
-def extended(occurrences: DataFrame, frequent: DataFrame) -> DataFrame:
-    """The relation of the next length. frequent: chunk, at, id of the grams that survive."""
 
-    def merge(own: pa.Table, survivors: pa.Table) -> pa.Table:
-        chunk = own.column("chunk")[0].as_py()
-        places = np.frombuffer(own.column("body")[0].as_py(), "<i4").astype(np.int64)
-        at, ids = (survivors.column(c).to_numpy() for c in ("at", "id"))
-        number = np.full(max(int(places.max(initial=-1)), int(at.max(initial=-1))) + 2, -1, np.int64)  # the last entry is that of -1
-        number[at] = np.arange(len(at))
-        places = number[places]
-        first = np.flatnonzero((places[:-1] >= 0) & (places[1:] >= 0))
-        keys, gram, n = np.unique(places[first] * max(1, len(at)) + places[first + 1], return_inverse=True, return_counts=True)
-        out = np.full(len(places), -1, np.int64)
-        out[first] = gram
-        p, s = np.divmod(keys, max(1, len(at)))
-        return relation(chunk, narrowed(out), GRAMS, [pa.array(ids[p]), pa.array(ids[s]), pa.array(n)])
+def dealt(relation: DataFrame, spans: int) -> DataFrame:
+    """A row for each chunk and span: the chunk's grams of the span, in the chunk's order, and their counts."""
+    schema = arrow(DEALT)
 
-    return occurrences.groupBy("chunk").cogroup(frequent.groupBy("chunk")).applyInArrow(merge, SPARK["grams"])
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            span, own, p, s = spans_of(row, spans)
+            n, order = unpacked(row["n"]), np.argsort(span, kind="stable")
+            cuts = np.flatnonzero(np.diff(span[order], prepend=np.uint64(spans)))
+            out = []
+            for at in np.split(order, cuts[1:]) if len(order) else []:
+                first, second = (zstandard.compress(BREAK.join([own[k] for k in at.tolist()]), 1), None) if own is not None else packed_pairs(p[at], s[at])
+                out.append({"lang": row["lang"], "span": int(span[at[0]]), "chunk": row["chunk"], "first": first, "second": second, "n": packed(n[at])})
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
 
+    return relation.select("chunk", "lang", "first", "second", "n").mapInArrow(deal, DEALT)
 
-def counted(grams: DataFrame, key: list[str], least: int, label: str) -> DataFrame:
-    """Frequent grams with a number."""
-    sums = grams.groupBy(*key).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return saved(sums.withColumn("id", F.monotonically_increasing_id()), label)
+
+def counted(relation: DataFrame, spans: int, least: int, label: str) -> DataFrame:
+    """Frequent grams with a number within their span, and for each chunk and span the numbers of its grams, from 1."""
+    schema = arrow(COUNTED)
+
+    def add_up(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        n = [unpacked(r["n"]) for r in rows]
+        sizes = np.cumsum([len(x) for x in n])[:-1]
+        if rows[0]["second"] is None:
+            encoded = pa.array([w for r in rows for w in zstandard.decompress(r["first"]).split(BREAK)], pa.binary()).dictionary_encode()
+            code, different = encoded.indices.to_numpy().astype(np.int64), len(encoded.dictionary)
+        else:
+            p, s = (np.concatenate(x) for x in zip(*(unpacked_pairs(r["first"], r["second"]) for r in rows)))
+            order = np.lexsort((s, p))
+            new = np.append(True, (p[order][1:] != p[order][:-1]) | (s[order][1:] != s[order][:-1]))
+            code, different = np.empty(len(p), np.int64), int(new.sum())
+            code[order] = np.cumsum(new) - 1
+            at = order[new]
+        f = np.zeros(different, np.int64)
+        np.add.at(f, code, np.concatenate(n))
+        frequent = np.flatnonzero(f >= least)
+        number = np.zeros(different, np.int64)
+        number[frequent] = np.arange(1, len(frequent) + 1)
+        given = {"lang": rows[0]["lang"], "span": rows[0]["span"]}
+        out = [given | {"chunk": r["chunk"], "reply": packed(x)} for r, x in zip(rows, np.split(number[code], sizes))]
+        if rows[0]["second"] is None:
+            named = encoded.dictionary.take(pa.array(frequent)).to_pylist()
+            out += [given | {"number": k, "word": w.decode(), "f": c} for k, (w, c) in enumerate(zip(named, f[frequent].tolist()), 1)]
+        else:
+            out += [given | {"number": k, "p": x, "s": y, "f": c} for k, (x, y, c) in enumerate(zip(p[at][frequent].tolist(), s[at][frequent].tolist(), f[frequent].tolist()), 1)]
+        return pa.Table.from_pylist(out, schema)
+
+    return saved(dealt(relation, spans).groupBy("lang", "span").applyInArrow(add_up, COUNTED), label)
+
+
+def extended(relation: DataFrame, replies: DataFrame, spans: int, width: int) -> DataFrame:
+    """The relation of the next length; a frequent gram's id is its span's place, `width` numbers wide, and its number."""
+    schema = arrow(RELATION)
+
+    def merge(own: pa.Table, answers: pa.Table) -> pa.Table:
+        row = own.to_pylist()[0]
+        span, ids = spans_of(row, spans)[0].astype(np.int64), np.zeros(row["grams"], np.int64)
+        order = np.argsort(span, kind="stable")
+        begins = dict(zip(*np.unique(span[order], return_index=True)))
+        for r in answers.to_pylist():
+            number = unpacked(r["reply"])
+            at = order[begins[r["span"]] : begins[r["span"]] + len(number)]
+            ids[at] = np.where(number > 0, r["span"] * width + number, 0)
+        alive = np.flatnonzero(ids)
+        alive = alive[np.argsort(ids[alive])]
+        number = np.zeros(len(ids) + 1, np.int64)
+        number[alive + 1] = np.arange(1, len(alive) + 1)
+        places, ids = number[unpacked(row["places"])], ids[alive]
+        first = np.flatnonzero((places[:-1] > 0) & (places[1:] > 0))
+        keys, gram, n = np.unique((places[first] - 1) * max(1, len(ids)) + places[first + 1] - 1, return_inverse=True, return_counts=True)
+        out = np.zeros(len(places), np.int64)
+        out[first] = gram + 1
+        p, s = np.divmod(keys, max(1, len(ids)))
+        found = [row["chunk"], row["lang"], 0, packed(narrowed(out)), *packed_pairs(ids[p], ids[s]), packed(n), len(n)]
+        return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(found, schema)], schema=schema)
+
+    return relation.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(merge, RELATION).where("grams > 0")
 
 
 def lowest_cut(length: int) -> Column:
@@ -108,37 +199,43 @@ def lowest_cut(length: int) -> Column:
     return F.array_min(F.array(*(F.struct(score(left, right).alias("score"), F.lit(k).alias("k"), F.expr(left).alias("l"), F.expr(right).alias("r")) for k, left, right in ends)))
 
 
-def phrases(docs: DataFrame, least: int = 30, longest: int = 4, covered: int = 80, top: int = 2000, chunk_bytes: int = 16_000_000) -> DataFrame:
+def phrases(docs: DataFrame, least: int = 30, longest: int = 4, covered: int = 80, top: int = 2000, chunk_bytes: int = 16_000_000, span_grams: int = 1_000_000) -> DataFrame:
     """The best phrases of each language: lang, rank, phrase, a, l, r, n, score.
 
     Phrases have 2 to `longest` words and occur `least` times or more; one that lies in a longer such phrase with at
     least `covered` percent of its occurrences is dropped. score is floor(2000000 a / (l + r)) at the lowest cut.
     A null lang is `und`, a null text empty; rows count as often as they occur, whatever their ids; other columns
     are ignored. Ties in score go by a, then by the phrase's bytes. An empty table, or one without a frequent phrase,
-    gives an empty result."""
-    occurrences = saved(words(docs, chunk_bytes), "phrases-1", compression="zstd")
-    rows = occurrences.where("body IS NULL")
-    totals = rows.groupBy("lang").agg(F.sum("n").alias("n"))
-    key = ["lang", "word"]
-    found = counted(rows, key, least, "phrases-frequent-1")
+    gives an empty result. `span_grams` grams of all chunks are added up in one group on average."""
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    relation = saved(words(docs, chunk_bytes), "phrases-1")
+    totals = relation.groupBy("lang").agg(F.sum("positions").alias("n"))
+
+    def frequent(length: int) -> tuple[DataFrame, DataFrame, int, int]:
+        """Frequent grams with ids, and what the chunks are told of theirs."""
+        spans = max(tasks, (relation.agg(F.sum("grams")).first()[0] or 0) // span_grams)
+        out = counted(relation, spans, least, f"phrases-counts-{length}")
+        width = (out.agg(F.max("number")).first()[0] or 0) + 1
+        found = out.where("chunk IS NULL").withColumn("id", F.col("span") * width + F.col("number"))
+        return found, out.where("chunk IS NOT NULL").select("chunk", "span", "reply"), spans, width
+
+    found, replies, spans, width = frequent(1)
     known = found.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("f").alias("heads"), F.array("f").alias("tails"), F.array(F.array("id")).alias("parts"))
     candidates, inside = [], []
     for length in range(2, longest + 1):
-        survivors = rows.join(found.select("id", *key), key).select("chunk", "at", "id").toDF("chunk", "at", "id")
-        occurrences = saved(extended(occurrences.where("body IS NOT NULL").select("chunk", "body"), survivors), f"phrases-{length}", compression="zstd")
-        rows, key = occurrences.where("body IS NULL"), ["p", "s"]
-        found = counted(rows, key, least, f"phrases-frequent-{length}")
+        relation = saved(extended(relation, replies, spans, width), f"phrases-{length}")
+        found, replies, spans, width = frequent(length)
         # parts: for each length up to its own, the numbers of the grams that lie in the phrase, from left to right
         front = known.select(F.col("id").alias("p"), "lang", F.col("phrase").alias("front"), F.col("heads").alias("front_heads"), F.col("parts").alias("front_parts"))
-        back = known.select(F.col("id").alias("s"), F.col("last"), F.col("tails").alias("back_tails"), F.col("parts").alias("back_parts"))
+        back = known.select(F.col("id").alias("s"), "lang", F.col("last"), F.col("tails").alias("back_tails"), F.col("parts").alias("back_parts"))
         parts = F.concat(F.zip_with("front_parts", "back_parts", lambda a, b: F.concat(a, F.slice(b, -1, 1))), F.array(F.array("id")))
-        known = found.join(front, "p").join(back, "s").select(
+        known = found.select("id", "lang", "p", "s", "f").join(front, ["lang", "p"]).join(back, ["lang", "s"]).select(
             "id", "lang", "f", F.concat_ws(" ", "front", "last").alias("phrase"), "last", F.concat("front_heads", F.array("f")).alias("heads"), F.concat("back_tails", F.array("f")).alias("tails"), parts.alias("parts")
         )
         known = saved(known, f"phrases-known-{length}")
         candidates.append(known.select("id", "lang", "phrase", F.col("f").alias("a"), F.lit(length).alias("words"), lowest_cut(length).alias("cut")))
         for shorter in range(2, length):
-            inside.append(known.select(F.lit(shorter).alias("words"), F.explode(F.col("parts")[shorter - 1]).alias("id"), "f"))
+            inside.append(known.select("lang", F.lit(shorter).alias("words"), F.explode(F.col("parts")[shorter - 1]).alias("id"), "f"))
     every = candidates[0]
     for c in candidates[1:]:
         every = every.union(c)
@@ -146,8 +243,8 @@ def phrases(docs: DataFrame, least: int = 30, longest: int = 4, covered: int = 8
         longer = inside[0]
         for x in inside[1:]:
             longer = longer.union(x)
-        longer = longer.groupBy("words", "id").agg(F.max("f").alias("longer"))
-        every = every.join(longer, ["words", "id"], "left")
+        longer = longer.groupBy("lang", "words", "id").agg(F.max("f").alias("longer"))
+        every = every.join(longer, ["lang", "words", "id"], "left")
         whole = lambda c: F.col(c).cast("decimal(38,0)")
         every = every.where(F.col("longer").isNull() | (whole("longer") * 100 < whole("a") * covered))
     scored = every.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
