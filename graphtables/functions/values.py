@@ -78,5 +78,15 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.round(F.size(F.array_intersect(a, b)) / union, 4)).otherwise(F.lit(0.0))
 
 
+def is_identifier(c: Column) -> Column:
+    """Whether a text is a plain name: a letter or an underscore, then letters, digits and underscores."""
+    return F.coalesce(c.rlike(r"^[A-Za-z_][A-Za-z0-9_]*\z"), F.lit(False))
+
+
+def truth(c: Column) -> Column:
+    """A boolean that is held as text: `true`, `1`, `yes` and `y` in any case are true, other texts false, missing is null."""
+    return F.when(present(c), F.lower(stripped(c)).isin("true", "1", "yes", "y"))
+
+
 def padded_id(prefix: str, separator: str, n: Column, width: int) -> Column:
     return F.concat(F.lit(prefix + separator), F.lpad(n.cast("string"), width, "0"))

@@ -35,6 +35,23 @@ def combined(first: DataFrame, second: DataFrame, by: list[str]) -> DataFrame:
     return both.select(*by, F.when(none, NOTHING).otherwise(F.concat_ws("; ", "a", "b")).alias("answer"))
 
 
+def products(parts: list[DataFrame], by: list[str], separator: str = "; ") -> DataFrame:
+    """Every combination of the answers of a question's parts (by, answer), one row each, in order of the parts.
+
+    A question that lacks an answer in any part has the one answer `(no result)`; parts are joined by question."""
+    asked = parts[0].select(*by)
+    for p in parts[1:]:
+        asked = asked.union(p.select(*by))
+    out = asked.distinct()
+    for k, p in enumerate(parts):
+        out = out.join(p.where(F.col("answer") != NOTHING).select(*by, F.col("answer").alias(f"_a{k}")), by, "left")
+    names = [f"_a{k}" for k in range(len(parts))]
+    none = F.lit(False)
+    for n in names:
+        none = none | F.col(n).isNull()
+    return out.select(*by, F.when(none, NOTHING).otherwise(F.concat_ws(separator, *names)).alias("answer")).distinct()
+
+
 def _flat(x) -> list:
     return [z for y in x for z in _flat(y)] if isinstance(x, (list, tuple, set)) else [x]
 

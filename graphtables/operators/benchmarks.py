@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import padded_id
+from ..functions.values import is_identifier, padded_id
 from ..sources.shared import saved
 
 
@@ -99,6 +99,32 @@ def renamed(rows: DataFrame, names: dict[str, str]) -> DataFrame:
     return rows.toDF(*new)
 
 
+def name_mapping(columns: DataFrame, proposed: DataFrame | None = None) -> DataFrame:
+    """table, column, new_table, new_column, given: one-to-one new names for all tables and columns, to hide a schema.
+
+    columns: table, column, place; proposed: table, column, new_table, new_column. The proposed names of a table are taken
+    if they are plain names, all changed, all different in any case, one for each column, and no other table's; else
+    the table gets the next `tableN` that no taken name has, by name, with its columns as `colN` by place."""
+    low = lambda c: F.lower(F.trim(c))
+    tables = columns.groupBy("table").agg(F.count("*").alias("n"))
+    given = None
+    if proposed is not None:
+        sound = is_identifier(F.col("new_table")) & is_identifier(F.col("new_column")) & (low("new_column") != low("column")) & (low("new_table") != low("table"))
+        known = columns.join(proposed, ["table", "column"])
+        good = known.groupBy("table").agg(F.bool_and(sound).alias("sound"), F.count("*").alias("k"), F.count_distinct(low("new_column")).alias("different"), F.count_distinct(low("new_table")).alias("names"), F.min(low("new_table")).alias("name"))
+        good = good.join(tables, "table").where("sound AND k = n AND different = n AND names = 1")
+        alone = good.groupBy("name").agg(F.count("*").alias("holders")).where("holders = 1")
+        given = known.join(good.join(alone, "name").select("table"), "table", "left_semi").select("table", "column", "new_table", "new_column", F.lit(True).alias("given"))
+        tables = tables.join(given.select("table").distinct(), "table", "left_anti")
+    taken = [] if given is None else [r[0] for r in given.select(low("new_table")).distinct().collect()]  # names of tables
+    free = [r.table for r in tables.orderBy("table").select("table").collect()]
+    numbers = (n for n in range(1, len(free) + len(taken) + 1) if f"table{n}" not in taken)
+    names = columns.sparkSession.createDataFrame([(t, f"table{n}") for t, n in zip(free, numbers)], "table string, new_table string")
+    place = F.row_number().over(Window.partitionBy("table").orderBy("place", "column"))
+    made = columns.join(names, "table").select("table", "column", "new_table", F.concat(F.lit("col"), place).alias("new_column"), F.lit(False).alias("given"))
+    return made if given is None else given.union(made)
+
+
 def sampled_edges(pairs: DataFrame, least_out: int, most_out: int, least_in: int, most_in: int, seed: int, strict: bool = True, attempts: int = 50) -> DataFrame:
     """A seeded choice among allowed (src, dst) that respects the degrees of every source and target in the pairs.
 

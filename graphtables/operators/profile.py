@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import iso_date, number
+from ..functions.values import iso_date, number, present, truth
 
 
 def _unpivot(df: DataFrame, names: Sequence[str], key: str) -> DataFrame:
@@ -36,14 +36,22 @@ def inferred_types(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _unpivot(rows.agg(*(F.struct(kind(c).alias("type")).alias(c) for c in columns)), columns, "column")
 
 
-def typed(rows: DataFrame) -> DataFrame:
-    """Columns of text cast to the types inferred from all their values; names lower-cased, the first of equals wins."""
+def typed(rows: DataFrame, declared: dict[str, str] | None = None) -> DataFrame:
+    """Columns of text cast to the types inferred from all their values; names lower-cased, the first of equals wins.
+
+    A declared type is taken as it is: values that are no number are 0 then, those that are no date null, and a boolean
+    is true for the texts that `values.truth` knows; missing values stay null."""
     columns = {}
     for c in rows.columns:
         columns.setdefault(c.lower(), c)
-    kinds = {r["column"]: r["type"] for r in inferred_types(rows, list(columns.values())).collect()}  # a row a column
+    given = {low: kind for low, kind in ((k.lower(), v) for k, v in (declared or {}).items()) if low in columns}
+    open_ = [c for low, c in columns.items() if low not in given]
+    kinds = {r["column"]: r["type"] for r in inferred_types(rows, open_).collect()} if open_ else {}  # a row a column
     cast = {"INT64": lambda c: number(c).cast("long"), "DOUBLE": number, "DATE": iso_date}
-    return rows.select(*(cast.get(kinds[c], lambda x: x)(F.col(c)).alias(low) for low, c in columns.items()))
+    zero = lambda kind: lambda c: F.when(present(c), F.coalesce(cast[kind](c), F.lit(0).cast("double" if kind == "DOUBLE" else "long")))
+    forced = {"INT64": zero("INT64"), "DOUBLE": zero("DOUBLE"), "DATE": iso_date, "BOOL": truth}
+    how = {low: forced.get(given[low]) if low in given else cast.get(kinds[c]) for low, c in columns.items()}
+    return rows.select(*((how[low](F.col(c)) if how[low] else F.col(c)).alias(low) for low, c in columns.items()))
 
 
 def missing_parents(children: DataFrame, column: str, parents: DataFrame, key: str) -> DataFrame:
@@ -63,3 +71,8 @@ def seeded_sample(rows: DataFrame, by: str, column: str, seed: int, k: int = 3)
     values = rows.where(F.col(column).isNotNull()).select(F.col(by).alias("group"), F.col(column).cast("string").alias("value")).distinct()
     order = Window.partitionBy("group").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "value").cast("binary")), "value")
     return values.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def seeded_rows(rows: DataFrame, table: str, order: str, k: int = 3) -> DataFrame:
+    """k rows of a table by a hash of its name and their place, in their own order; all of a table that has no more."""
+    return rows.withColumn("_h", F.xxhash64(F.lit(table), order)).orderBy("_h", order).limit(k).drop("_h").orderBy(order)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import identifier
 from ..operators.edges import anchored, same_table_edges
-from ..operators.entities import Cluster, fragments, resolved
+from ..operators.entities import Cluster, fragments, rekeyed, resolved
 from ..operators.keys import repaired_key
 from .graph import Edge, PropertyGraph
 
@@ -45,6 +45,7 @@ class Schema:
     clusters: list[Proposal] = field(default_factory=list)
     relations: list[Relation] = field(default_factory=list)
     issues: list[str] = field(default_factory=list)
+    references: list[tuple[str, str, str, str]] = field(default_factory=list)  # table, column, referenced table and column
 
 
 def coverage(table: str, header: Sequence[str], clusters: Sequence[Proposal], relations: Sequence[Relation] = ()) -> list[str]:
@@ -62,7 +63,7 @@ def coverage(table: str, header: Sequence[str], clusters: Sequence[Proposal], re
 def checked(schema: Schema, headers: dict[str, Sequence[str]]) -> Schema:
     """A schema whose relations run between two different clusters of their own table, with labels that are unique
     for each pair of classes; what is dropped or renamed is listed in `issues`."""
-    out = Schema(list(schema.clusters))
+    out = Schema(list(schema.clusters), references=sound_references(schema.references, headers) if headers else list(schema.references))
     place = {(c.table, c.name): c for c in schema.clusters}
     if len(place) < len(schema.clusters):
         raise ValueError("two clusters of a table share a name")
@@ -104,26 +105,51 @@ def guessed(table: str, rows: DataFrame, sample: float = 1.0) -> Schema:
     return Schema(clusters, relations)
 
 
+def secondary_key(cluster: Proposal, schema: Schema, tables: dict[str, DataFrame]) -> tuple[str, str, str] | None:
+    """The referenced table, its column and its key, where a cluster's key is a foreign key to a column that is a key
+    of another cluster but not the one of the class: its rows are named by a secondary key."""
+    if len(cluster.key) != 1:
+        return None
+    own = next((c for c in schema.clusters if c.entity == cluster.entity), cluster)
+    for table, column, to, referenced in schema.references:
+        if table != cluster.table or column.lower() != cluster.key[0].lower():
+            continue
+        keyed = any(c.table == to and referenced.lower() in (k.lower() for k in c.key) for c in schema.clusters)
+        known = {c.lower(): c for c in tables[to].columns} if to in tables else {}
+        if to == table or not keyed or len(own.key) != 1 or own.key[0].lower() == referenced.lower() or not {own.key[0].lower(), referenced.lower()} <= set(known):
+            return None
+        return to, known[referenced.lower()], known[own.key[0].lower()]
+    return None
+
+
 def built(tables: dict[str, DataFrame], order: dict[str, str], schema: Schema, repair: bool = True) -> PropertyGraph:
     """Entities of all clusters resolved by class, and an edge for each row that names both ends of a relation.
 
     order: for each table a column that places its rows, for the first value present. A key that its columns
-    contradict is repaired first, and edges then use the repaired keys."""
-    keys = {}
+    contradict is repaired first, and edges then use the repaired keys. A cluster keyed by a foreign key to a secondary
+    key of its class gets the primary keys, in entities and in edges."""
+    keys, secondary = {}, {}
     for c in schema.clusters:
         rows = tables[c.table]
         properties = [x for x in c.columns if x not in c.key]
+        secondary[(c.table, c.name)] = secondary_key(c, schema, tables)
         keys[(c.table, c.name)] = repaired_key(rows.select(*c.key, *properties), list(c.key), properties) if repair and properties else list(c.key)
+
+    def with_primary_keys(found: DataFrame, cluster: Proposal, on: str) -> DataFrame:
+        to = secondary[(cluster.table, cluster.name)]
+        return rekeyed(found, tables[to[0]], to[1], to[2], order[to[0]], on) if to else found
+
     parts: dict[str, list[DataFrame]] = {}
     for k, c in enumerate(schema.clusters):
-        key = keys[(c.table, c.name)]
-        cluster = Cluster(c.table, c.name, key, {x.lower(): [x] for x in (*c.key, *c.columns)})
-        parts.setdefault(c.entity, []).append(fragments(tables[c.table], cluster, F.col(order[c.table]), (list(tables).index(c.table), k)))
+        cluster = Cluster(c.table, c.name, keys[(c.table, c.name)], {x.lower(): [x] for x in (*c.key, *c.columns)})
+        found = fragments(tables[c.table], cluster, F.col(order[c.table]), (list(tables).index(c.table), k))
+        parts.setdefault(c.entity, []).append(with_primary_keys(found, c, "id"))
     nodes = {entity: resolved(found) for entity, found in parts.items()}
     place, edges = {(c.table, c.name): c for c in schema.clusters}, {}
     for r in schema.relations:
         a, b = place[(r.table, r.source)], place[(r.table, r.target)]
-        rows = same_table_edges(tables[r.table], keys[(r.table, r.source)], keys[(r.table, r.target)], {c.lower(): c for c in r.columns}).distinct()
+        rows = same_table_edges(tables[r.table], keys[(r.table, r.source)], keys[(r.table, r.target)], {c.lower(): c for c in r.columns})
+        rows = with_primary_keys(with_primary_keys(rows, a, "src"), b, "dst").distinct()
         rows = edges[r.label].rows.unionByName(rows, allowMissingColumns=True).distinct() if r.label in edges else rows
         edges[r.label] = Edge(rows, a.entity, b.entity)
     return PropertyGraph(nodes, {n: Edge(anchored(e.rows, nodes[e.source], nodes[e.target]), e.source, e.target) for n, e in edges.items()})
@@ -172,49 +198,6 @@ def merged_classes(clusters: Sequence[Proposal]) -> dict[str, EntityClass]:
     return {c.name: c for c in out.values()}
 
 
-STOP = frozenset({"the", "of", "a", "an", "and", "in", "for", "to"})
-
-
-def tokens(name: str) -> list[str]:
-    """Lower-case words of a name, cut at case changes and non-alphanumerics, without stop words."""
-    cut = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", name)
-    return [t for t in re.split(r"[^a-z0-9]+", cut.lower()) if t and t not in STOP]
-
-
-def name_similarity(a: str, b: str) -> float:
-    """Share of the shorter name's words that match a word of the other, equal or by a prefix of three letters."""
-    x, y, hits = tokens(a), tokens(b), 0
-    for t in x:
-        near = next((u for u in y if u == t), None) or next((u for u in y if min(len(t), len(u)) >= 3 and (u.startswith(t) or t.startswith(u))), None)
-        if near:
-            y.remove(near)
-            hits += 1
-    return hits / min(len(x), len(tokens(b))) if x and tokens(b) else 0.0
-
-
-def alignment(a: dict, b: dict) -> float:
-    """How alike two properties {name, columns, description, samples} are, from 0 to 1."""
-
-    def jaccard(x: set, y: set) -> float:
-        return len(x & y) / len(x | y) if x | y else 0.0
-
-    columns = max((name_similarity(p, q) for p in a["columns"] for q in b["columns"]), default=0.0)
-    words = jaccard(set(tokens(a.get("description", ""))), set(tokens(b.get("description", ""))))
-    samples = jaccard(set(map(str, a.get("samples", ()))), set(map(str, b.get("samples", ()))))
-    return 0.35 * name_similarity(a["name"], b["name"]) + 0.30 * columns + 0.20 * words + 0.15 * samples
-
-
-def aligned(known: list[dict], new: list[dict], least: float = 0.5) -> dict[str, str | None]:
-    """For each new property the known one that it means, or None; the first best wins and none is used twice."""
-    out, used = {}, set()
-    for p in new:
-        scores = [(alignment(k, p), k["name"]) for k in known if k["name"] not in used]
-        best = max(scores, key=lambda s: s[0], default=(0.0, None))
-        out[p["name"]] = best[1] if best[0] >= least else None
-        used.add(out[p["name"]])
-    return out
-
-
 def row_identity(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     """rows with the rendered id of a key."""
     return rows.withColumn("id", identifier([F.col(c) for c in key]))

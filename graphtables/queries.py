@@ -1,62 +1,16 @@
-"""Registered queries over the driver's tables, each with the SQL that gives the same rows."""
+"""Queries of graph patterns, entities and answers; those of tables and of generation are in modules of their own."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import generation_queries, table_queries  # noqa: F401  they register themselves
 from .functions.values import identifier, jaccard, name_tokens, present, snake_case, value
 from .operators import answers, benchmarks, edges, entities, keys, profile
 from .plans import schema
-from .plans.graph import Edge, Match, PropertyGraph, numbered, winners
-from .sources.tables import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str):
-    def keep(f: Callable[[PropertyGraph, Tables], DataFrame]):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            t = Tables(spark, sf_dir)
-            return f(commerce(t), t)
-
-        QUERIES[f.__name__], SQL[f.__name__] = run, sql
-        return f
-
-    return keep
-
-
-class Tables:
-    """The tables of a folder by name."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return table(self.spark, self.folder, name)
-
-
-def commerce(t: Tables) -> PropertyGraph:
-    """The tables as a property graph; ids are the business keys."""
-    node = lambda rows, key: rows.withColumnRenamed(key, "id")
-    edge = lambda rows, src, dst, *props: rows.select(F.col(src).alias("src"), F.col(dst).alias("dst"), *props)
-    line = [F.col(f"l_{c}").alias(c) for c in ("quantity", "extendedprice", "discount", "shipdate", "linenumber")]
-    return PropertyGraph(
-        {"Region": node(t.region, "r_regionkey"), "Nation": node(t.nation, "n_nationkey"), "Customer": node(t.customer, "c_custkey"), "Supplier": node(t.supplier, "s_suppkey"), "Part": node(t.part, "p_partkey"), "Order": node(t.orders, "o_orderkey"), "Event": node(t.events, "event_id")},
-        {
-            "in_region": Edge(edge(t.nation, "n_nationkey", "n_regionkey"), "Nation", "Region"),
-            "lives_in": Edge(edge(t.customer, "c_custkey", "c_nationkey"), "Customer", "Nation"),
-            "based_in": Edge(edge(t.supplier, "s_suppkey", "s_nationkey"), "Supplier", "Nation"),
-            "places": Edge(edge(t.orders, "o_custkey", "o_orderkey"), "Customer", "Order"),
-            "contains": Edge(edge(t.lineitem, "l_orderkey", "l_partkey", *line), "Order", "Part"),
-            "supplied_by": Edge(edge(t.lineitem, "l_orderkey", "l_suppkey"), "Order", "Supplier"),
-            "performs": Edge(edge(t.events, "user_id", "event_id"), "Customer", "Event"),
-        },
-    )
-
+from .plans.graph import Match, numbered, winners
+from .registry import QUERIES, SQL, query  # noqa: F401
 
 # paths
 
@@ -119,15 +73,25 @@ def exists_pattern(g, t):
     return g.match("o", "Order").having(parts.into("p", "contains", "o"), "o").rows.agg(F.count("*").alias("answer"))
 
 
-@query("SELECT count(*) AS answer FROM (SELECT DISTINCT l_partkey, l_orderkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)")
+@query("SELECT count(*) AS answer FROM (SELECT DISTINCT l_partkey, l_orderkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)")
 def unanchored_match(g, t):
     """Every customer, order and part that hang together: no anchor, whole tables."""
     return g.match("c", "Customer").out("c", "places", "o").out("o", "contains", "p").frontier("c", "o", "p").rows.agg(F.count("*").alias("answer"))
 
 
-@query("SELECT count(*) AS answer FROM (SELECT DISTINCT l_partkey, l_orderkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)")
-def unanchored_match_whole(g, t):
-    return g.match("c", "Customer").out("c", "places", "o").out("o", "contains", "p").frontier("c", "o", "p").rows.agg(F.count("*").alias("answer"))
+@query("SELECT a.l_partkey AS part, count(*) AS pairs, count(DISTINCT b.l_partkey) AS others, round(sum(a.l_quantity - b.l_quantity), 2) AS difference FROM (SELECT *, row_number() OVER () AS k FROM lineitem) a JOIN (SELECT *, row_number() OVER () AS k FROM lineitem) b ON a.l_orderkey = b.l_orderkey WHERE (a.l_linenumber, a.l_partkey, a.l_suppkey, a.l_quantity, a.l_extendedprice) <> (b.l_linenumber, b.l_partkey, b.l_suppkey, b.l_quantity, b.l_extendedprice) GROUP BY 1")
+def bought_together(g, t):
+    """(a)<-[r:contains]-(o)-[s:contains]->(b): two variables of one relationship, which never bind the same edge."""
+    m = g.match("a", "Part", unique_edges=True).into("a", "contains", "o", edge=("quantity",), rel="r").out("o", "contains", "b", edge=("quantity",), rel="s")
+    return m.rows.groupBy(F.col("a_id").alias("part")).agg(F.count("*").alias("pairs"), F.count_distinct("b_id").alias("others"), F.round(F.sum(F.col("r_quantity") - F.col("s_quantity")), 2).alias("difference"))
+
+
+@query("WITH b AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p, o_orderstatus AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey) SELECT c AS customer, count(*) AS parts FROM (SELECT c, p FROM b WHERE s = 'O' INTERSECT SELECT c, p FROM b WHERE s = 'F' EXCEPT SELECT c, p FROM b WHERE s = 'P') GROUP BY 1")
+def correlated_paths(g, t):
+    """Parts that a customer has in an open order and in a finished one, but in none that is pending: both variables at once."""
+    bought = lambda status: g.match("c", "Customer").out("c", "places", "o", o_orderstatus=status).out("o", "contains", "p").frontier("c", "p")
+    found = bought("O").having(bought("F"), "c", "p").without(bought("P"), "c", "p")
+    return found.rows.groupBy(F.col("c_id").alias("customer")).agg(F.count("*").alias("parts"))
 
 
 @query("SELECT 'lives_in runs from Customer to Nation: turn it round' AS problem, count(*) AS edges FROM customer UNION ALL SELECT 'unknown relationship owns', 0")
@@ -266,14 +230,14 @@ def unwind_collect(g, t):
 
 # predicates and scalar functions
 
-@query("SELECT c_custkey AS answer FROM customer WHERE c_name LIKE 'Customer#00%'")
+@query("SELECT p_partkey AS answer FROM part WHERE p_name LIKE 'red %'")
 def starts_with(g, t):
-    return g.match("c", "Customer", ("c_name",)).where(F.col("c_c_name").startswith("Customer#00")).rows.select(F.col("c_id").alias("answer"))
+    return g.match("p", "Part", ("p_name",)).where(F.col("p_p_name").startswith("red ")).rows.select(F.col("p_id").alias("answer"))
 
 
-@query("SELECT p_partkey AS answer FROM part WHERE contains(p_name, '1') AND p_name LIKE '%2'")
+@query("SELECT p_partkey AS answer FROM part WHERE contains(p_name, 'e') AND p_name LIKE '%g'")
 def contains_and_ends(g, t):
-    return g.match("p", "Part", ("p_name",)).where(F.col("p_p_name").contains("1") & F.col("p_p_name").endswith("2")).rows.select(F.col("p_id").alias("answer"))
+    return g.match("p", "Part", ("p_name",)).where(F.col("p_p_name").contains("e") & F.col("p_p_name").endswith("g")).rows.select(F.col("p_id").alias("answer"))
 
 
 @query("SELECT p_partkey AS answer FROM part WHERE regexp_full_match(p_brand, 'Brand#[1-2].*')")
@@ -336,22 +300,57 @@ def fragment_counts(g, t):
     return counted[0].union(counted[1]).union(counted[2])
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS id, 1 + coalesce(o.n, 0) + coalesce(e.n, 0) AS fragments, c_name AS name, o.p AS priority, e.k AS kind FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, min_by(o_orderpriority, lpad(CAST(o_orderkey AS VARCHAR), 19, '0')) AS p FROM orders GROUP BY 1) o ON o_custkey = c_custkey LEFT JOIN (SELECT user_id, count(*) AS n, min_by(event_type, lpad(CAST(event_id AS VARCHAR), 19, '0')) AS k FROM events GROUP BY 1) e ON user_id = c_custkey")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, 1 + coalesce(o.n, 0) + coalesce(e.n, 0) AS fragments, c_name AS name, o.p AS priority, e.k AS kind FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, min_by(o_orderpriority, o_orderkey) AS p FROM orders GROUP BY 1) o ON o_custkey = c_custkey LEFT JOIN (SELECT user_id, count(*) AS n, min_by(event_type, event_id) AS k FROM events GROUP BY 1) e ON user_id = c_custkey")
 def entity_resolution(g, t):
-    row = lambda c: F.lpad(F.col(c).cast("string"), 19, "0")
     parts = [
-        entities.fragments(t.customer, entities.Cluster("customer", "c", ["c_custkey"], {"name": ["c_name"]}), row("c_custkey"), (0, 0)),
-        entities.fragments(t.orders, entities.Cluster("orders", "c", ["o_custkey"], {"priority": ["o_orderpriority"]}), row("o_orderkey"), (1, 0)),
-        entities.fragments(t.events, entities.Cluster("events", "c", ["user_id"], {"kind": ["event_type"]}), row("event_id"), (2, 0)),
+        entities.fragments(t.customer, entities.Cluster("customer", "c", ["c_custkey"], {"name": ["c_name"]}), F.col("c_custkey"), (0, 0)),
+        entities.fragments(t.orders, entities.Cluster("orders", "c", ["o_custkey"], {"priority": ["o_orderpriority"]}), F.col("o_orderkey"), (1, 0)),
+        entities.fragments(t.events, entities.Cluster("events", "c", ["user_id"], {"kind": ["event_type"]}), F.col("event_id"), (2, 0)),
     ]
     return entities.resolved(parts)
 
 
+@query("SELECT CAST(o_custkey AS VARCHAR) AS id, count(*) AS fragments, min_by(o_orderstatus, o_orderkey) AS status, min_by(strftime(o_orderdate, '%Y-%m-%d'), o_orderkey) FILTER (o_orderstatus = 'F') AS day, CAST(min_by(o_orderkey, o_orderkey) AS VARCHAR) AS first_order FROM orders GROUP BY 1")
+def built_first_values(g, t):
+    """A graph built from one table whose properties differ between the rows of an entity: the first row's value counts."""
+    wide = t.orders.select("o_custkey", "o_orderkey", F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"), F.col("o_orderkey").alias("first_order"))
+    declared = schema.Schema([schema.Proposal("wide", "c", "Customer", ("o_custkey",), ("status", "day", "first_order"))])
+    return schema.built({"wide": wide}, {"wide": "o_orderkey"}, declared, repair=False).nodes["Customer"].select("id", "fragments", "status", "day", "first_order")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, 'customer' AS \"table\", CAST(c_custkey AS VARCHAR) AS \"row\", 'c' AS cluster, 'c_custkey' AS key FROM customer UNION ALL SELECT CAST(o_custkey AS VARCHAR), 'orders', CAST(o_orderkey AS VARCHAR), 'buyer', 'o_custkey' FROM orders UNION ALL SELECT CAST(user_id AS VARCHAR), 'events', strftime(ts, '%Y-%m-%d'), 'user', 'user_id' FROM events WHERE user_id IS NOT NULL")
+def entity_lineage(g, t):
+    """Every fragment of every entity: from which table, row and cluster it comes, and by which key."""
+    parts = [(entities.Cluster("customer", "c", ["c_custkey"]), t.customer, F.col("c_custkey")), (entities.Cluster("orders", "buyer", ["o_custkey"]), t.orders, F.col("o_orderkey")), (entities.Cluster("events", "user", ["user_id"]), t.events, F.to_date("ts"))]
+    return entities.lineage([(c, entities.fragments(rows, c, order, (k, 0))) for k, (c, rows, order) in enumerate(parts)])
+
+
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS id, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def fk_rekey(g, t):
     wide = t.customer.join(t.nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey")
     found = entities.fragments(wide, entities.Cluster("wide", "nation", ["n_name"]), F.col("c_custkey"))
-    return entities.rekeyed(found, t.nation, "n_name", "n_nationkey").groupBy("id").agg(F.count("*").alias("n"))
+    return entities.rekeyed(found, t.nation, "n_name", "n_nationkey", "n_nationkey").groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(k AS VARCHAR) AS id, count(*) AS n FROM supplier JOIN (SELECT c_nationkey, max(c_custkey) AS k FROM customer GROUP BY 1) ON s_nationkey = c_nationkey GROUP BY 1")
+def fk_rekey_last_row(g, t):
+    """Many rows of the reference table share a secondary key: the last row's primary key counts, by number and not by text."""
+    found = entities.fragments(t.supplier, entities.Cluster("supplier", "nation", ["s_nationkey"]), F.col("s_suppkey"))
+    return entities.rekeyed(found, t.customer, "c_nationkey", "c_custkey", "c_custkey").groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query("WITH n AS (SELECT c_custkey, n_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT CAST(n_nationkey AS VARCHAR) AS nation, count(*) AS customers, 1 + count(*) AS fragments FROM n GROUP BY 1")
+def built_with_secondary_keys(g, t):
+    """Customers name their nation by its name, a secondary key: entities and edges get the nation's primary key."""
+    rows = t.customer.join(t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("nation_name")), "c_nationkey").select("c_custkey", "nation_name")
+    declared = schema.Schema(
+        [schema.Proposal("nation", "n", "Nation", ("n_nationkey",), ("n_regionkey",)), schema.Proposal("nation", "m", "Name", ("n_name",)), schema.Proposal("customer", "c", "Customer", ("c_custkey",)), schema.Proposal("customer", "n", "Nation", ("nation_name",))],
+        [schema.Relation("customer", "c", "n", "lives_in")],
+        references=[("customer", "nation_name", "nation", "n_name")],
+    )
+    own = schema.built({"nation": t.nation, "customer": rows}, {"nation": "n_nationkey", "customer": "c_custkey"}, declared, repair=False)
+    m = own.match("n", "Nation", ("fragments",)).into("n", "lives_in", "c")
+    return m.rows.groupBy(F.col("n_id").alias("nation"), F.col("n_fragments").alias("fragments")).agg(F.count("*").alias("customers"))
 
 
 @query("SELECT CAST(l_orderkey AS VARCHAR) AS src, CAST(l_partkey AS VARCHAR) AS dst, l_quantity AS quantity FROM lineitem")
@@ -359,16 +358,23 @@ def same_table_edges(g, t):
     return edges.same_table_edges(t.lineitem, ["l_orderkey"], ["l_partkey"], {"quantity": "l_quantity"})
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS src, CAST(max(s_suppkey) AS VARCHAR) AS dst FROM customer JOIN (SELECT s_nationkey, max(s_suppkey) AS s_suppkey FROM supplier GROUP BY 1) ON c_nationkey = s_nationkey GROUP BY 1")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS src, CAST(s AS VARCHAR) AS dst FROM customer JOIN (SELECT s_nationkey, s_suppkey AS s FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey DESC) = 1) ON c_nationkey = s_nationkey")
 def cross_table_edges(g, t):
-    targets = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("value"))
-    found = edges.cross_table_edges(t.customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("value")), targets)
+    targets = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("value"), "s_acctbal")
+    found = edges.cross_table_edges(t.customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("value")), targets, "s_acctbal")
     return found.select(F.col("src").cast("string"), F.col("dst").cast("string"))
 
 
+@query("WITH e AS (SELECT CAST(o_custkey AS VARCHAR) AS src, o_orderpriority AS dst, 'orders' AS t, o_orderkey AS r, o_orderstatus AS status, 0 AS part FROM orders UNION ALL SELECT CAST(user_id AS VARCHAR), event_type, 'events', event_id, NULL, 1 FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL) SELECT concat_ws('|', src, 'shows', dst, t, r) AS edge_id, src, dst, status, t AS \"table\", r AS \"row\", n AS copies FROM (SELECT *, count(*) OVER (PARTITION BY src, dst, status) AS n, row_number() OVER (PARTITION BY src, dst, status ORDER BY r, part) AS k FROM e) WHERE k = 1")
+def unique_edges(g, t):
+    """Edges of two tables with an identity of their own: parallel ones survive where their properties differ."""
+    parts = [edges.traced_edges(t.orders, "orders", "o_orderkey", ["o_custkey"], ["o_orderpriority"], {"status": "o_orderstatus"}), edges.traced_edges(t.events, "events", "event_id", ["user_id"], ["event_type"])]
+    return edges.unique_edges(parts, "shows")
+
+
 @query("SELECT count(*) AS edges FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)")
 def edge_dedupe(g, t):
-    return edges.deduplicated(g.edges["supplied_by"].rows).agg(F.count("*").alias("edges"))
+    return edges.deduplicated(g.edges["supplied_by"].rows.drop("edge_id")).agg(F.count("*").alias("edges"))
 
 
 @query("SELECT count(*) AS edges FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25) AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')")

@@ -70,8 +70,8 @@ def test_entities_take_the_first_value_present(spark):
 
 def test_rekeying_by_a_secondary_key(spark):
     found = spark.createDataFrame([("ann",), ("5",)], "id string")
-    reference = spark.createDataFrame([("ann", "1"), ("ann", "2")], "name string, key string")
-    assert sorted(r.id for r in entities.rekeyed(found, reference, "name", "key").collect()) == ["2", "5"]
+    reference = spark.createDataFrame([("ann", "9", 9), ("ann", "10", 10), ("bob", "3", 1)], "name string, key string, row long")
+    assert sorted(r.id for r in entities.rekeyed(found, reference, "name", "key", "row").collect()) == ["10", "5"]
 
 
 def test_edges(spark):
@@ -80,8 +80,8 @@ def test_edges(spark):
     a, b = spark.createDataFrame([("a",)], "id string"), spark.createDataFrame([("b",)], "id string")
     assert edges.anchored(e, a, b).count() == 3
     assert [tuple(r) for r in edges.materialised({"x": e, "none": e.limit(0)}).collect()] == [("x", 4)]
-    t = spark.createDataFrame([("t1", "v"), ("t2", "v")], "id string, value string")
-    assert [tuple(r) for r in edges.cross_table_edges(spark.createDataFrame([("s", "v")], "id string, value string"), t).collect()] == [("s", "t2")]
+    t = spark.createDataFrame([("t9", "v", 9), ("t10", "v", 10)], "id string, value string, row long")
+    assert [tuple(r) for r in edges.cross_table_edges(spark.createDataFrame([("s", "v")], "id string, value string"), t, "row").collect()] == [("s", "t10")]
 
 
 def test_winners_keep_ties_and_skip_nulls(spark):
@@ -128,12 +128,6 @@ def test_schema_checks_and_build(spark):
     assert schema.coverage("wide", ["a", "b"], [schema.Proposal("wide", "x", "X", ("a",), ("z",))]) == ["wide: unknown column z", "wide: column b is in no cluster"]
 
 
-def test_property_alignment():
-    assert schema.name_similarity("customerName", "cust_name") == 1.0 and schema.name_similarity("a", "b") == 0.0
-    known = [{"name": "customer_name", "columns": ["cname"], "samples": ["ann"]}, {"name": "city", "columns": ["town"]}]
-    assert schema.aligned(known, [{"name": "CustName", "columns": ["cname"], "samples": ["ann"]}, {"name": "zip", "columns": ["zip"]}]) == {"CustName": "customer_name", "zip": None}
-
-
 def test_generators(spark):
     a = benchmarks.generated(spark, 30, "plant", 7, {"city": ["x", "y"]})
     assert sorted(a.collect()) == sorted(benchmarks.generated(spark, 30, "plant", 7, {"city": ["x", "y"]}).collect()) and {r.city for r in a.collect()} == {"x", "y"}
