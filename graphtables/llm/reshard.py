@@ -108,13 +108,13 @@ def moves(blocks: dict[tuple[int, int, int], int], shards: int) -> dict[tuple[in
     return {b: s for s in range(shards) for _, own in held[s] for b in own}
 
 
-def level(held: list[Units], fixed: list[int], enough: int = 0, most: int = 4000) -> None:
+def level(held: list[Units], fixed: list[int], enough: int = 0) -> None:
     """A full shard hands one of the held blocks to the emptiest while that narrows a gap of more than `enough` bytes;
-    `fixed` bytes stay in each."""
+    `fixed` bytes stay in each. Every step lowers the sum of squared sizes, so the steps come to an end."""
     for own in held:
         own.sort()
     sizes = [f + sum(x[0] for x in own) for f, own in zip(fixed, held)]
-    for _ in range(most):
+    while True:
         low = min(range(len(sizes)), key=sizes.__getitem__)
         if max(sizes) - sizes[low] <= enough:
             return
@@ -211,7 +211,7 @@ def resharded(docs: DataFrame, path: str, shards: int = 40, cells: int = 256, pa
     Returns doc_id, text, size, slot, shard, old_shard. A row weighs its text's UTF-8 bytes (null: none) plus 16. Slots are
     gapless from 0 in each shard, in order of block and doc_id. Equal texts of an old shard lie in one shard unless their
     block exceeds a quarter of a shard. Without `old_shard` a row's old shard is the hash of its text. Repeated rows are
-    rows of their own; columns besides doc_id and text stay out; an empty table gives an empty result."""
+    rows of their own, those without a doc_id too; columns besides doc_id and text stay out; an empty table gives an empty result."""
     layout = Layout(docs.sparkSession, path, shards, cells, parts)
     layout.write(docs, old_shard)
     return layout.rewrite()
