@@ -1,12 +1,14 @@
 """License scans by conditional compression.
 
 A text is read as words, whatever lines, comment marks and white space lie between. Around each cue (a license, a
-copyright or a warranty is named) a block takes in twice the words of the longest template on either side; blocks that
-overlap are one. Every template is aligned with the whole block, and each place where its wording is found is a row:
-the words of the template that the place lacks, and those it adds, version numbers aside. The words that tell licenses
-apart must all be there, none of another license of the family be added, and a version that the license's name has
-must not be another one. The place is compressed alone and with the template as a zstandard raw dictionary for the share of bytes saved. A cue outside all such places
-is a row of its own, not confirmed, with the best of the templates that save most.
+copyright or a warranty is named) lies a candidate block of words, wide enough for the longest wording; a cue that a
+block's middle covers needs none of its own. A block is compressed alone and with every template as a zstandard raw
+dictionary, and the templates that save most bytes are aligned with it. Each place where such a template's wording is
+found is a row: the words of the template that the place lacks, and those it adds, version numbers aside. The words that
+tell licenses apart must all be there, none of another license of the family be added, and a version that the license's
+name has must not be another one. What is confirmed is cut out, and the rest of the block is ranked again until nothing
+more is confirmed, so several wordings of a block are all found. A cue outside all such places is a row of its own, not
+confirmed, with the template that comes nearest among those that save most on its line.
 """
 
 from __future__ import annotations
@@ -45,13 +47,20 @@ TEMPLATES = {
     "AGPL": ("This work is licensed under the GNU Affero General Public License, version 3.",),
     "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Released under the BSD License."),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "Zlib": ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",),
     "ARR": ("All rights reserved.",),
 }
-CUE = re.compile(r"licen[sc]|copyright|©|all\W+rights\W+reserved|permission\W+is\W+hereby|redistribut|warrant|\bSPDX\b|creative\W+commons|\bCC\W+BY", re.I)
+# Short identifiers, as they stand behind `SPDX-License-Identifier:`.
+IDENTIFIERS = {"Apache-2.0": "Apache-2.0", "MIT": "MIT", "BSD": "BSD-3-Clause", "GPL": "GPL-3.0", "LGPL": "LGPL-3.0", "AGPL": "AGPL-3.0", "MPL-2.0": "MPL-2.0", "CC-BY": "CC-BY-4.0", "CC-BY-SA": "CC-BY-SA-4.0", "CC-BY-NC": "CC-BY-NC-4.0", "ISC": "ISC", "Zlib": "Zlib", "Unlicense": "Unlicense", "EPL-2.0": "EPL-2.0"}
+TEMPLATES = {name: wordings + ((f"SPDX-License-Identifier: {IDENTIFIERS[name]}",) if name in IDENTIFIERS else ()) for name, wordings in TEMPLATES.items()}
+CUE = re.compile(r"licen[sc]|copyright|©|all\W+rights\W+reserved|permission\W+is\W+hereby|redistribut|warrant|\bSPDX\b|public\W+domain|creative\W+commons|\bCC\W+BY", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 MARKS = re.compile(r"\s*\n[\s#*/;%!>|-]*|\s+")
 # Words that may not be missing; words that tell another license of the family when added.
-TELLING = frozenset("apache mit bsd mozilla gnu general lesser affero creative commons cc by nc sa attribution noncommercial sharealike".split())
+TELLING = frozenset("apache mit bsd mozilla gnu general lesser affero creative commons cc by nc sa attribution noncommercial sharealike spdx gpl lgpl agpl mpl isc zlib unlicense unencumbered eclipse epl".split())
 RIVALS = {
     "GPL": frozenset("lesser library affero".split()),
     "CC": frozenset("nc noncommercial commercial sa sharealike alike nd noderivatives noderivs derivatives derivs".split()),
@@ -60,8 +69,8 @@ RIVALS |= {"LGPL": RIVALS["GPL"] - {"lesser"}, "AGPL": RIVALS["GPL"] - {"affero"
 VERSION = re.compile(r"\bv(?:ersion)?\b\W*(\d+(?:\.\d+)*)", re.I)
 #: Words after a place that still belong to the license's name: -ND, NonCommercial-NoDerivatives.
 TRAILING = re.compile(r"(?:[ \t]*-\s*|[ \t]+)([^\W\d_]+)")
-#: Words of a block that are aligned at once; pieces overlap by four times the longest template.
-PIECE = 4096
+#: Words on either side of a cue that templates are ranked for, beside the whole block.
+SCALES = (5, 16)
 FOUND = "doc_id long, block long, license string, saved double, missing int, added int, confirmed boolean, wording string"
 
 
@@ -79,6 +88,8 @@ class Scanner:
         self.longest = max(len(wording) for _, wording, _ in self.templates)
         self.codes = {w: i for i, w in enumerate(sorted({w for _, wording, _ in self.templates for w in wording}))}
         self.seen: dict[str, tuple] = {}
+        self.ranks: dict[str, tuple[int, ...]] = {}
+        self.size = 0
 
     def saved(self, text: str, i: int) -> float:
         raw = text.encode(errors="replace")
@@ -148,23 +159,51 @@ class Scanner:
                 out.append((begin, end, missing))
         return out
 
-    def wordings(self, text: str, spans: list[tuple[int, int]], words: list[str]) -> list[tuple[int, int, int, int, int]]:
-        """(begin, end, template, missing, added) of every wording in a block's words; of one license's that overlap the best."""
-        found = set()
-        for at in range(0, max(1, len(words) - 4 * self.longest), PIECE - 4 * self.longest):
-            piece = words[at : at + PIECE]
-            held = set(piece)
-            for k, (_, wording, _) in enumerate(self.templates):
-                if sum(w not in held for w in wording) <= self.near * len(wording):
-                    for begin, end, missing in self.places(piece, wording):
-                        if self.same_license(k, missing, text, spans[at + begin][0], spans[at + end - 1][1]):
-                            found.add((len(missing), end - begin - len(wording) + len(missing), -len(wording), at + begin, at + end, k))
-        out = []
-        for missing, added, _, begin, end, k in sorted(found):
-            name = self.templates[k][0]
-            if all(end <= b or e <= begin or self.templates[other][0] != name for b, e, other, *_ in out):
-                out.append((begin, end, k, missing, added))
-        return sorted(out)
+    def ranked(self, block: str) -> tuple[int, ...]:
+        """The templates that save most bytes of a block, the best first; those that save none are none."""
+        if (known := self.ranks.get(block)) is None:
+            raw = block.encode(errors="replace")
+            alone = len(self.plain.compress(raw))
+            saved = sorted((len(t[2].compress(raw)) - alone, k) for k, t in enumerate(self.templates))
+            known = tuple(k for less, k in saved[: self.top] if less < 0)
+            if len(self.ranks) > 20_000 or self.size > 5_000_000:
+                self.ranks.clear()
+                self.seen.clear()
+                self.size = 0
+            self.ranks[block] = known
+            self.size += len(block)
+        return known
+
+    def wordings(self, text: str, spans: list[tuple[int, int]], words: list[str], cues: list[int]) -> list[tuple[int, int, int, int, int]]:
+        """(begin, end, template, missing, added) of the wordings in a block's words, none overlapping.
+
+        Templates are ranked for the whole block, and for a few words around each cue, as filler drowns a short wording."""
+        out: list[tuple[int, int, int, int, int]] = []
+        while True:
+            edges = [0, *(x for hit in sorted(out) for x in hit[:2]), len(words)]
+            free = [(a, b) for a, b in zip(edges[::2], edges[1::2]) if a < b]
+            found = set()
+            blocks = [" ".join(text[spans[a][0] : spans[b - 1][1]] for a, b in free)]
+            for at in cues:
+                for a, b in free:
+                    if a <= at < b:
+                        blocks += [text[spans[max(a, at - n)][0] : spans[min(b, at + n + 1) - 1][1]] for n in SCALES]
+            for k in dict.fromkeys(k for block in blocks for k in self.ranked(block)):
+                name, wording, _ = self.templates[k]
+                for a, b in free:
+                    held = set(words[a:b])
+                    if sum(w not in held for w in wording) > self.near * len(wording):
+                        continue
+                    for begin, end, missing in self.places(words[a:b], wording):
+                        if self.same_license(k, missing, text, spans[a + begin][0], spans[a + end - 1][1]):
+                            found.add((len(missing), end - begin - len(wording) + len(missing), -len(wording), a + begin, a + end, k))
+            new = []
+            for missing, added, _, begin, end, k in sorted(found):
+                if all(end <= b or e <= begin for b, e, *_ in new):
+                    new.append((begin, end, k, missing, added))
+            if not new:
+                return sorted(out)
+            out += new
 
     def __call__(self, text: str) -> list[tuple]:
         spans = [m.span() for m in WORD.finditer(text)]
@@ -172,16 +211,18 @@ class Scanner:
         words = [text[a:b].lower() for a, b in spans]
         lines = [m.start() for m in re.finditer("\n", text)]
         cues = [(m.start(), bisect_right(stops, m.start())) for m in CUE.finditer(text)]
-        reach, blocks = 2 * self.longest, []
-        for _, at in cues:
-            if blocks and at - reach <= blocks[-1][1]:
-                blocks[-1][1] = at + reach
-            else:
-                blocks.append([max(0, at - reach), at + reach])
-        out, covered = [], []
-        for first, last in blocks:
-            for begin, end, k, missing, added in self.wordings(text, spans[first:last], words[first:last]):
+        reach, out, covered, middle = 2 * self.longest, [], [], -1
+        marks = [at for _, at in cues]
+        for at in marks:
+            if at <= middle:
+                continue
+            # a wording has at most twice its template's words, so one around a cue of the middle lies in the block
+            middle = at + reach
+            first, last = max(0, at - reach), min(len(words), middle + reach)
+            for begin, end, k, missing, added in self.wordings(text, spans[first:last], words[first:last], [x - first for x in sorted(set(marks[bisect_left(marks, first) : bisect_left(marks, last)]))]):
                 a, b = starts[first + begin], stops[first + end - 1]
+                if any(a < e and s < b for s, e in covered[-64:]):
+                    continue  # the block before has found it
                 wording = MARKS.sub(" ", text[a:b])
                 covered.append((a, b))
                 out.append((bisect_left(lines, a), self.templates[k][0], round(self.saved(wording, k), 4), missing, added, True, wording))
@@ -202,21 +243,23 @@ class Scanner:
             done = min(lines[number] if number < len(lines) else len(text), stops[at + self.longest] if at + self.longest < len(stops) else len(text), covered[k][0] if k < len(covered) else len(text))
             key = text[min(a, cue) : done].strip()
             if key not in self.seen:
-                if len(self.seen) > 50_000:
+                if len(self.seen) > 50_000 or self.size > 5_000_000:
+                    self.ranks.clear()
                     self.seen.clear()
+                    self.size = 0
                 self.seen[key] = self.nearest(key)
+                self.size += len(key)
             out.append((number, *self.seen[key], False, key))
         return sorted(out, key=lambda hit: hit[0])
 
 
-def licenses(docs: DataFrame, level: int = 3, top: int = 4, near: float = 0.2) -> DataFrame:
+def licenses(docs: DataFrame, level: int = 3, top: int = 6, near: float = 0.2) -> DataFrame:
     """One row a wording or candidate: doc_id, block (its first line's number from 0), license, saved, missing, added, confirmed, wording.
 
     `saved` is the share of compressed bytes that the template saves; missing and added count words of the exact
     difference to it; confirmed means that at most `near` of the template's words are missing, none that tells its license
-    from others, and no more added inside than it has, none that tells another license. Wordings may be wrapped or share a line. Null and empty texts have no rows; repeated rows repeat
-    theirs; further columns are ignored."""
-
+    from others, and no more added inside than it has, none that tells another license. Wordings may be wrapped or share a line. Null and empty texts have no rows, nor has an empty table;
+    repeated rows repeat theirs; further columns are ignored. Only the `top` templates that save most are aligned."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(level, top, near)
