@@ -125,22 +125,23 @@ def name_mapping(columns: DataFrame, proposed: DataFrame | None = None) -> DataF
     return made if given is None else given.union(made)
 
 
-def sampled_edges(pairs: DataFrame, least_out: int, most_out: int, least_in: int, most_in: int, seed: int, strict: bool = True, attempts: int = 50) -> DataFrame:
+def sampled_edges(pairs: DataFrame, least_out: int, most_out: int, least_in: int, most_in: int, seed: int, attempts: int = 50) -> DataFrame:
     """A seeded choice among allowed (src, dst) that respects the degrees of every source and target in the pairs.
 
     First every target takes `least_in` sources, then every source fills up to its quota, in rounds over pairs not yet
     chosen; an end that still lacks edges takes one from an end that has some to spare. A draw that misses a least
-    bound is drawn anew with another seed; the last one raises, or is returned if not `strict`. Rounds are tables in the
-    shared folder, so a lost executor costs none of them."""
+    bound is drawn anew with another seed; the last one raises. Rounds are tables in the
+    shared folder, so a lost executor costs none of them. For ends with one anchor each, `generation.edges_by_stubs` needs
+    no table of pairs; this one is for ends whose several anchors make the pairs."""
     pairs = saved(pairs.select("src", "dst").distinct(), "edges-pairs")
     for end, least in (("src", least_out), ("dst", least_in)):
         starved = pairs.groupBy(end).agg(F.count("*").alias("n")).where(F.col("n") < least)
-        if strict and (n := starved.count()):
+        if n := starved.count():
             raise ValueError(f"{n} values of {end} have fewer than {least} allowed pairs")
-    for attempt in range(attempts if strict else 1):
+    for attempt in range(attempts):
         chosen = drawn(pairs, least_out, most_out, least_in, most_in, seed + attempt)
         short = sum(degrees(pairs.select(F.col(end).alias("id")).distinct(), chosen, end).where(F.col("least") < least).count() for end, least in (("src", least_out), ("dst", least_in)))
-        if not short or not strict:
+        if not short:
             return chosen
     raise ValueError(f"no draw of {attempts} has {least_out} to {most_out} edges a source and {least_in} to {most_in} a target")
 

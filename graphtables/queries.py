@@ -388,7 +388,7 @@ def materialized_schema(g, t):
     return edges.materialised({n: g.edges[n].rows for n in ("in_region", "lives_in", "contains")} | {"never": g.edges["places"].rows.where("src < 0")})
 
 
-@query("SELECT * FROM (VALUES ('c_acctbal', 'DOUBLE'), ('c_custkey', 'INT64'), ('c_name', 'STRING'), ('day', 'DATE')) v(\"column\", type) WHERE (SELECT count(*) FROM customer) > 0")
+@query("WITH v AS (SELECT CAST(c_custkey AS VARCHAR) AS k, c_name AS n, CAST(c_acctbal AS VARCHAR) AS b, strftime(DATE '2020-01-01' + c_nationkey, '%Y-%m-%d') AS d FROM customer), long AS (SELECT 'c_custkey' AS c, k AS v FROM v UNION ALL SELECT 'c_name', n FROM v UNION ALL SELECT 'c_acctbal', b FROM v UNION ALL SELECT 'day', d FROM v) SELECT c AS \"column\", CASE WHEN bool_and(coalesce(TRY_CAST(v AS DOUBLE) = floor(TRY_CAST(v AS DOUBLE)), false)) THEN 'INT64' WHEN bool_and(TRY_CAST(v AS DOUBLE) IS NOT NULL) THEN 'DOUBLE' WHEN bool_and(TRY_CAST(v AS DATE) IS NOT NULL) THEN 'DATE' ELSE 'STRING' END AS type FROM long GROUP BY 1")
 def type_inference(g, t):
     text = t.customer.select(F.col("c_custkey").cast("string"), "c_name", F.col("c_acctbal").cast("string"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("c_nationkey").cast("int")).cast("string").alias("day"))
     return profile.inferred_types(text, text.columns)
@@ -432,30 +432,33 @@ def wide_table_graph(g, t):
     return m.rows.groupBy("n_id", F.col("n_n_name").alias("nation")).agg(F.count("*").alias("orders"), F.count_distinct("c_id").alias("customers")).drop("n_id")
 
 
-@query("SELECT least >= 0 AS sound, violations = 0 AS clean FROM (SELECT 0 AS least, count(*) FILTER (WHERE s_nationkey IS NULL) AS violations FROM supplier)")
+def regional_pairs(t, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sources (id, nation) at their region, and the nations of each region."""
+    at = sources.join(t.nation, F.col("nation") == F.col("n_nationkey")).select("id", F.col("n_regionkey").alias("anchor"))
+    return at, t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("anchor"))
+
+
+@query("SELECT s_suppkey AS supplier, n_regionkey AS anchor, true AS sound, true AS clean FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def sampled_edges_hold(g, t):
-    """Seeded edges between suppliers and nations of their region keep the bounds of suppliers and every anchor; where a region has too few
-    suppliers for its nations, no draw could give each nation one."""
-    sources = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.col("n_regionkey").alias("anchor"))
-    targets = t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("anchor"))
-    found = benchmarks.sampled_edges(benchmarks.allowed_pairs(sources, targets), 1, 3, 1, 1_000_000, 11, strict=False)
-    out = benchmarks.degrees(sources, found, "src").withColumn("sound", (F.col("least") >= 1) & (F.col("most") <= 3))
-    bad = benchmarks.violations(found, sources, targets).agg((F.count("*") == 0).alias("clean"))
-    return out.select("sound").crossJoin(bad)
+    """Seeded edges between suppliers and nations of their region: one to three a supplier, checked edge by edge."""
+    sources, targets = regional_pairs(t, t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation")))
+    found = benchmarks.sampled_edges(benchmarks.allowed_pairs(sources, targets), 1, 3, 0, 1_000_000, 11)
+    ends = found.join(targets.toDF("dst", "there"), "dst").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.count_distinct("dst").alias("different"), F.min("there").alias("low"), F.max("there").alias("high"))
+    return sources.join(ends, "id", "left").select(F.col("id").alias("supplier"), "anchor", (F.col("n").between(1, 3) & (F.col("n") == F.col("different"))).alias("sound"), ((F.col("low") == F.col("anchor")) & (F.col("high") == F.col("anchor"))).alias("clean"))
 
 
-@query("SELECT count(*) AS sources, true AS out_sound, true AS in_sound, 0 AS violations FROM customer")
+@query("SELECT 'src' AS \"end\", c_custkey AS id, true AS sound FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'dst', n_nationkey, true FROM nation WHERE n_regionkey IN (SELECT n_regionkey FROM nation JOIN customer ON c_nationkey = n_nationkey)")
 def sampled_edges_bind(g, t):
-    """As above with customers, and bounds so near to the nations' share of a region that some of them bind."""
-    sources = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.col("n_regionkey").alias("anchor"))
-    targets = t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("anchor"))
+    """As above with customers, and bounds so near to the nations' share of a region that some of them bind, at both ends."""
+    sources, targets = regional_pairs(t, t.customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation")))
     share = sources.groupBy("anchor").agg(F.count("*").alias("s")).join(targets.groupBy("anchor").agg(F.count("*").alias("t")), "anchor")
     bounds = share.agg(F.min(F.floor(F.col("s") / F.col("t"))).alias("least"), F.max(F.ceil(F.col("s") / F.col("t"))).alias("most")).first()
     found = benchmarks.sampled_edges(benchmarks.allowed_pairs(sources, targets), 1, 3, bounds.least, bounds.most, 11)
-    sound = lambda nodes, end, least, most, name: benchmarks.degrees(nodes, found, end).select(((F.col("least") >= least) & (F.col("most") <= most)).alias(name))
-    out, into = sound(sources, "src", 1, 3, "out_sound"), sound(targets, "dst", bounds.least, bounds.most, "in_sound")
-    bad = benchmarks.violations(found, sources, targets).agg(F.count("*").alias("violations"))
-    return sources.agg(F.count("*").alias("sources")).crossJoin(out).crossJoin(into).crossJoin(bad)
+    good = found.subtract(benchmarks.violations(found, sources, targets).select("src", "dst"))
+    degree = lambda nodes, end: nodes.select(F.col("id").cast("long").alias("id")).join(good.groupBy(F.col(end).cast("long").alias("id")).agg(F.count("*").alias("n")), "id", "left")
+    out = degree(sources, "src").select(F.lit("src").alias("end"), "id", F.coalesce(F.col("n").between(1, 3), F.lit(False)).alias("sound"))
+    reached = targets.join(sources.select("anchor").distinct(), "anchor", "left_semi")
+    return out.union(degree(reached, "dst").select(F.lit("dst"), "id", F.coalesce(F.col("n").between(bounds.least, bounds.most), F.lit(False))))
 
 
 @query("SELECT 'node' AS kind, 'Region' AS name, count(*) AS n FROM region UNION ALL SELECT 'node', 'Nation', count(*) FROM nation UNION ALL SELECT 'node', 'Customer', count(*) FROM customer UNION ALL SELECT 'node', 'Supplier', count(*) FROM supplier UNION ALL SELECT 'node', 'Part', count(*) FROM part UNION ALL SELECT 'node', 'Order', count(*) FROM orders UNION ALL SELECT 'node', 'Event', count(*) FROM events UNION ALL SELECT 'edge', 'in_region', count(*) FROM nation UNION ALL SELECT 'edge', 'lives_in', count(*) FROM customer UNION ALL SELECT 'edge', 'based_in', count(*) FROM supplier UNION ALL SELECT 'edge', 'places', count(*) FROM orders UNION ALL SELECT 'edge', 'contains', count(*) FROM lineitem UNION ALL SELECT 'edge', 'supplied_by', count(*) FROM lineitem UNION ALL SELECT 'edge', 'performs', count(*) FROM events")
