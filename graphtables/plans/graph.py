@@ -74,9 +74,18 @@ class PropertyGraph:
             rows = rows.where(F.col(name) == F.lit(wanted))
         return rows.select(F.col("id").alias(f"{var}_id"), *(F.col(p).alias(f"{var}_{p}") for p in props if p != "id"))
 
-    def described(self) -> list[str]:
-        lines = [f"({label} {{{', '.join(df.columns)}}})" for label, df in self.nodes.items()]
-        return lines + [f"({e.source})-[{name} {{{', '.join(c for c in e.rows.columns if c not in ENDS)}}}]->({e.target})" for name, e in self.edges.items()]
+    def described(self, samples: int = 0) -> list[str]:
+        """A line for each label and relationship with its properties and their types, and some values of each if asked for."""
+
+        def shown(rows: DataFrame) -> str:
+            props = [(c, kind) for c, kind in rows.dtypes if c not in ENDS]
+            if not samples or not props:
+                return ", ".join(f"{c} {kind}" for c, kind in props)
+            first = rows.select(*(c for c, _ in props)).limit(samples).collect()
+            return ", ".join(f"{c} {kind} ({', '.join(str(r[c]) for r in first if r[c] is not None)})" for c, kind in props)
+
+        lines = [f"({label} {{{shown(df)}}})" for label, df in self.nodes.items()]
+        return lines + [f"({e.source})-[{name} {{{shown(e.rows)}}}]->({e.target})" for name, e in self.edges.items()]
 
     def counted(self) -> DataFrame:
         """kind, name, n of every label and every relationship, those without instances too."""
@@ -92,14 +101,20 @@ class PropertyGraph:
         asked = spark.createDataFrame(wanted, "kind string, name string")
         return asked.join(used.counted().where("n > 0"), ["kind", "name"], "left_anti") if have else asked
 
-    def anchors(self, label: str, path: Sequence[tuple[str, bool]]) -> DataFrame:
-        """Different (id, anchor): where a path of relationships, each with or against its direction, leads from a label."""
+    def anchors(self, label: str, path: Sequence[tuple[str, bool]], field: str | None = None) -> DataFrame:
+        """Different (id, anchor): where a path of relationships, each with or against its direction, leads from a label.
+
+        An anchor is the identity reached, or the value of its property `field`; a null value is none."""
         m, at = self.match("x", label), "x"
         for k, (name, forward) in enumerate(path):
             to = f"step{k}"
             m = (m.out if forward else m.into)(at, name, to).frontier("x", to)
-            at = to
-        return m.rows.select(F.col("x_id").alias("id"), F.col(f"{at}_id").alias("anchor"))
+            e = self.edges[name]
+            at, label = to, e.target if forward else e.source
+        if field is None:
+            return m.rows.select(F.col("x_id").alias("id"), F.col(f"{at}_id").alias("anchor"))
+        values = self.nodes[label].select(F.col("id").alias(f"{at}_id"), F.col(field).alias("anchor")).where("anchor IS NOT NULL")
+        return m.rows.join(values, f"{at}_id").select(F.col("x_id").alias("id"), "anchor").distinct()
 
     def problems(self, name: str, source: str | None = None, target: str | None = None, props: tuple[str, ...] = ()) -> list[str]:
         """What is wrong with an edge pattern against the catalog: unknown names, or a wrong direction."""
@@ -111,6 +126,15 @@ class PropertyGraph:
             out.append(f"{name} runs from {e.source} to {e.target}" + (": turn it round" if turned else ""))
         return out + [f"{name} has no property {p}" for p in props if p not in e.rows.columns]
 
+    def node_problems(self, label: str, props: tuple[str, ...] = (), texts: tuple[str, ...] = ()) -> list[str]:
+        """What is wrong with a node pattern: an unknown label, unknown properties, and text predicates (prefixes, regular
+        expressions) on properties that are no text."""
+        if label not in self.nodes:
+            return [f"unknown label {label}"]
+        kinds = dict(self.nodes[label].dtypes)
+        out = [f"{label} has no property {p}" for p in dict.fromkeys((*props, *texts)) if p not in kinds]
+        return out + [f"{label}.{p} is {kinds[p]}, no text" for p in texts if kinds.get(p, "string") != "string"]
+
 
 class Match:
     """A table of bindings; every step returns a new one.

@@ -9,7 +9,7 @@ from . import generation_queries, table_queries  # noqa: F401  they register the
 from .functions.values import identifier, jaccard, name_tokens, present, snake_case, value
 from .operators import answers, benchmarks, edges, entities, keys, profile
 from .plans import schema
-from .plans.graph import Match, numbered, winners
+from .plans.graph import Match, PropertyGraph, numbered, winners
 from .registry import QUERIES, SQL, query  # noqa: F401
 
 # paths
@@ -94,11 +94,19 @@ def correlated_paths(g, t):
     return found.rows.groupBy(F.col("c_id").alias("customer")).agg(F.count("*").alias("parts"))
 
 
-@query("SELECT 'lives_in runs from Customer to Nation: turn it round' AS problem, count(*) AS edges FROM customer UNION ALL SELECT 'unknown relationship owns', 0")
+@query("SELECT 'lives_in runs from Customer to Nation: turn it round' AS problem, count(*) AS edges FROM customer UNION ALL SELECT 'contains has no property colour', count(*) FROM lineitem UNION ALL SELECT 'Part.p_size is int, no text', (SELECT count(*) FROM part) UNION ALL SELECT 'Part has no property p_colour', (SELECT count(*) FROM part)")
 def pattern_problems(g, t):
-    found = [(p, "lives_in") for p in g.problems("lives_in", "Nation", "Customer")] + [(p, "") for p in g.problems("owns")]
-    n = t.customer.agg(F.count("*").alias("n"))
-    return t.spark.createDataFrame(found, "problem string, name string").crossJoin(n).select("problem", F.when(F.col("name") == "lives_in", F.col("n")).otherwise(0).alias("edges"))
+    """What is wrong with four patterns, and how many instances the edge or label has that each was meant for."""
+    found = [(p, "edge", "lives_in") for p in g.problems("lives_in", "Nation", "Customer")] + [(p, "edge", "contains") for p in g.problems("contains", props=("quantity", "colour"))]
+    found += [(p, "node", "Part") for p in g.node_problems("Part", ("p_name", "p_colour"), ("p_name", "p_size"))]
+    part = PropertyGraph({"Part": g.nodes["Part"]}, {n: g.edges[n] for n in ("lives_in", "contains")})
+    return t.spark.createDataFrame(found, "problem string, kind string, name string").join(part.counted(), ["kind", "name"]).select("problem", F.col("n").alias("edges"))
+
+
+@query("SELECT r_name AS anchor, count(DISTINCT o_orderkey) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def anchor_fields(g, t):
+    """Anchors by a property at the end of the path."""
+    return g.anchors("Order", [("places", False), ("lives_in", True), ("in_region", True)], "r_name").groupBy("anchor").agg(F.count("*").alias("orders"))
 
 
 # aggregates
@@ -575,9 +583,11 @@ def accuracy_report(g, t):
     return answers.accuracy(rows, ["kind"], "got", "want")
 
 
-@query("SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_name IS NOT NULL AND trim(c_name) <> ''")
+@query("SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_nationkey % 4 = 3 UNION ALL SELECT c_custkey, '0' FROM customer WHERE c_nationkey % 4 = 2")
 def present_values(g, t):
-    return t.customer.where(present(F.col("c_name"))).select(F.col("c_custkey").alias("k"), value(F.col("c_name")).alias("v"))
+    """Null and blank values are missing, zero is not."""
+    v = F.when(F.col("c_nationkey") % 4 == 1, " \t").when(F.col("c_nationkey") % 4 == 2, "0").when(F.col("c_nationkey") % 4 == 3, F.col("c_name"))
+    return t.customer.withColumn("v", v).where(present(F.col("v"))).select(F.col("c_custkey").alias("k"), value(F.col("v")).alias("v"))
 
 
 @query("SELECT p_partkey AS part, len(list_distinct(list_filter(string_split_regex(lower(p_type), '[^a-z0-9]+'), lambda x: x <> ''))) AS tokens FROM part")

@@ -104,6 +104,14 @@ def test_frontier_and_filters_by_variable(spark):
         pairs.join(g.match("c", "N"))
 
 
+def test_graphs_describe_and_check_themselves(spark):
+    g = PropertyGraph({"N": spark.createDataFrame([(1, "x", 5), (2, None, 6)], "id int, x string, y int")}, {"r": Edge(spark.createDataFrame([(1, 2, "p")], "src int, dst int, p string"), "N", "N")})
+    assert g.described() == ["(N {id int, x string, y int})", "(N)-[r {p string}]->(N)"]
+    assert g.described(2)[0] == "(N {id int (1, 2), x string (x), y int (5, 6)})"
+    assert g.node_problems("M") == ["unknown label M"] and g.node_problems("N", ("x", "z"), ("x", "y")) == ["N has no property z", "N.y is int, no text"]
+    assert [tuple(r) for r in g.anchors("N", [("r", False)], "x").collect()] == [(2, "x")] and g.anchors("N", [("r", True)], "x").count() == 0
+
+
 def test_inclusions_and_references(spark):
     rows = [("child", r, 0, "parent_id", v) for r, v in enumerate(["1", "2.0", " 2", None])] + [("parent", r, 0, "id", v) for r, v in enumerate(["01", "2", "3"])] + [("other", r, 0, "x", v) for r, v in enumerate(["1", "2", "2"])] + [("empty", 0, 0, "y", None)]
     found = cells(spark, rows)
