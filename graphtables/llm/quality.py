@@ -79,9 +79,11 @@ def log_odds(x: np.ndarray, model: tuple) -> np.ndarray:
 
 
 def trained(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> tuple[tuple, float]:
-    """The model and the share of good rows, from at most `most` labelled documents, the first in hash order."""
+    """The model and the share of good rows, from at most `most` labelled documents, the first in hash order; of several
+    texts of one doc_id the least counts, so that the bound holds whatever repeats."""
     chosen = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").cast("long")).agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    sample = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")  # `most` rows of two numbers
+    known = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # `most` rows of two numbers
+    sample = known.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 8_000_000):
@@ -125,8 +127,9 @@ def scored(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 
     Evidence is the log odds of the text alone; the priors leave a document's own vote out; kept is posterior >=
     threshold. Null hosts and paths form groups of their own; null and empty texts are scored as any text is. Rows
-    are judged one by one, so repeated rows get equal marks, and an empty table gives an empty result. The fit uses
-    at most `most_labels` labelled rows; group statistics cover all rows. A table of up to `most_groups` groups is
+    are judged one by one, so repeated rows get equal marks, and an empty table gives an empty result. Without labels of
+    both kinds there is nothing to tell apart: every text has evidence 2 and is kept. The fit uses at most `most_labels`
+    labelled documents; group statistics cover all rows. A table of up to `most_groups` groups is
     broadcast, a larger one is joined. A column of docs that has a result's name stays out."""
     columns = [c for c in dict.fromkeys(["doc_id", host, path, *keep]) if c not in RESULTS]
     model, share = trained(docs, labels, most_labels)
