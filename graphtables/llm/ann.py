@@ -78,7 +78,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: in
     Score is the Euclidean distance in double precision; ties go to the smaller vec_id; a query's own vec_id is no
     candidate; fewer candidates give fewer rows. Vectors that are null, zero or hold null or non-finite components
     take no part, and vectors are compared with those of their length alone. Repeated rows are candidates each;
-    repeated queries give one answer. Further columns are ignored. A task hands on its heaps when it has those of more
+    repeated queries give one answer, of one of their rows. An empty table of
+    queries gives an empty result, one without candidates too. Further columns are ignored. A task hands on its heaps when it has those of more
     than `held` queries, so its memory does not grow with their number."""
     vectors, queries = usable(vectors), usable(queries).dropDuplicates(["vec_id"])
     tiles = max(1, -(-vectors.count() // (8 * block)))

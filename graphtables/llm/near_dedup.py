@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     Null texts and texts without words have empty sets and link with nothing. Fewer words than `width` make one
     shingle. Equal texts are one vertex, so copies are never expanded into pairs. A doc_id that is repeated with
     another text is a row of its own with its own links; a row without doc_id links with nothing, has a null
-    component_id and is kept; further columns are ignored."""
+    component_id and is kept; an empty table gives an empty result; further columns are ignored."""
     signed = saved(signatures(docs, width, bands, rows, bits), "near-signed")
     different = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min_by(F.struct("doc_id", "text_hash", "planes", "bands"), F.struct("doc_id", "text_hash")).alias("s"))
     texts = saved(different.select(F.monotonically_increasing_id().alias("v"), "digest", "s.*"), "near-texts")

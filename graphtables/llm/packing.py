@@ -53,8 +53,8 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 102
 
     Every id of every text (null: empty) and its end id lies in one piece; pieces of a sequence follow each other
     from offset 0 and hold at most `capacity` ids. `slack` is the share of a group left open so that near-equal
-    windows fit. Groups form inside a task as rows stream by, so nothing is shuffled. Repeated rows are packed each;
-    further columns are ignored."""
+    windows fit. Groups form inside a task as rows stream by, so nothing is shuffled. Repeated rows are packed each, rows
+    without a doc_id too, under a null one; an empty table gives an empty result; further columns are ignored."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, sequence, waiting, held = encoder(tokenizer), TaskContext.get().partitionId() << 33, [], 0

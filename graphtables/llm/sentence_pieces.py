@@ -166,7 +166,8 @@ def pieces_of(model: str) -> SentencePieces:
 def encoded(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, ids (with the end id), decoded text of every row; null texts count as empty and have the end id alone.
 
-    Rows are independent: repeated rows repeat their result, further columns are ignored."""
+    Rows are independent: repeated rows repeat their result, a null doc_id stays null, an empty table gives an empty
+    result, further columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model)

@@ -108,6 +108,9 @@ def test_stages_keep_columns_whose_names_clash(spark):
         rows = kept.collect()
         assert {r.doc_id for r in rows} == {r.doc_id for r in stage(spark, docs, FOLDER).collect()}
         assert all(r[c] == c for r in rows for c in names)
+    pieces = docs.select("*", *(F.lit("x").alias(c) for c in ("ids", "start", "offset", "sequence_id", "doc_tokens", "length")))
+    shown = lambda df: sorted((r.doc_id, r.start, bytes(r.ids)) for r in df.collect())
+    assert shown(corpus_pipeline.packing_stage(spark, pieces, FOLDER)) == shown(corpus_pipeline.packing_stage(spark, docs, FOLDER))
 
 
 def test_entry_without_the_subpackage(tmp_path):
