@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mixed, saved, slices
+from .common import mixed, packed, saved, slices, unpacked
 
 #: Bytes of UTF-8 texts: A-Z in lower case, and ends of pieces as a byte that UTF-8 never has.
 BREAK = b"\xff"
@@ -42,15 +42,6 @@ def arrow(schema: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))])
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Integers by byte planes, compressed: the upper planes of small numbers vanish."""
-    return zstandard.compress(np.ascontiguousarray(x.astype("<i8")).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
-
-
-def unpacked(x: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
-
-
 def packed_pairs(p: np.ndarray, s: np.ndarray) -> tuple[bytes, bytes]:
     """Pairs sorted by both: differences, of the second ones within runs of equal first ones."""
     step = np.diff(p, prepend=0)

@@ -221,19 +221,24 @@ def test_merge_rounds_equal_the_library_on_random_words():
         assert own.decode(found) == model.decode(found.tolist())
 
 
-def test_scores_match_brute_force(docs, none):
-    got = by_id(lm_score.scores(docs, chunk_bytes=3000, span_keys=200))
+@pytest.mark.parametrize("order", [2, 3])
+def test_scores_match_brute_force(docs, none, order):
+    got = by_id(lm_score.scores(docs, order=order, chunk_bytes=3000, span_keys=200))
     texts = {i: [*bytes.lower((t or "").encode()).split(), b""] for i, t in corpus()}  # no word is empty: the end
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
     c = Counter(w for i, ws in texts.items() if not held[i] for w in ws)
     n, v = sum(c.values()), len(c)
     starts = sum(not h for h in held.values())
-    pairs = Counter(p for i, ws in texts.items() if not held[i] for p in zip([None, *ws], ws))
+    learnt = [[None, *ws] for i, ws in texts.items() if not held[i]]
+    pairs = Counter(p for ws in learnt for p in zip(ws, ws[1:]))
+    triples = Counter(t for ws in learnt for t in zip(ws, ws[1:], ws[2:]))
     p1 = lambda w: (c[w] + 1) / (n + v + 1)
-    size = lambda h: starts if h is None else c[h]
+    p2 = lambda b, w: (pairs[(b, w)] + 30 * p1(w)) / ((starts if b is None else c[b]) + 30)
+    p3 = lambda a, b, w: (triples[(a, b, w)] + 10 * p2(b, w)) / (pairs[(a, b)] + 10)
     for i, ws in texts.items():
         base = sum(math.log10(p1(w)) for w in ws)
-        score = sum(math.log10((pairs[(h, w)] + 30 * p1(w)) / (size(h) + 30)) for h, w in zip([None, *ws], ws))
+        h = [None, *ws]
+        score = math.log10(p2(None, ws[0])) + sum(math.log10(p3(*t) if order > 2 else p2(*t[1:])) for t in zip(h, h[1:], h[2:]))
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(c[w] > 0 for w in ws), n)
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9)
@@ -415,6 +420,64 @@ def test_quality_shrinks_sparse_sites(spark, docs, none):
     assert all((marks[i].kept, marks[i].posterior, marks[i].n) == (got[i].kept, got[i].posterior, "x") for i in range(300))
 
 
+def test_quality_posteriors_match_plain_sums(spark):
+    r = random.Random(9)
+    text = lambda good: " ".join(r.choice(["the", "of", "house"] if good else ["BUY!!", "NOW!!", "###"]) for _ in range(40))
+    rows = [(i, text(r.random() < (0.9 if i % 4 else 0.2)), r.choice(["en", "de", None]), f"s{i % 4}" if i % 9 else None) for i in range(400)]
+    df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int("the" in t), 0) for i, t, _, _ in rows[::2]] + [(0, 0, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
+    got = quality.scored(df, labels).collect()
+    vote = lambda g: 1 / (1 + math.exp(-g.evidence))
+    paths, sites = defaultdict(list), defaultdict(list)
+    for g in got:
+        paths[(g.source, g.lang)].append(vote(g))
+        sites[g.source].append(vote(g))
+    every = [v for own in sites.values() for v in own]
+    mean = min(max(sum(every) / len(every), 1e-3), 1 - 1e-3)
+
+    def strength(groups):  # of (n, sum, toward)
+        n = sum(g[0] for g in groups)
+        between = sum(k * (s / k - t) ** 2 for k, s, t in groups) / n - mean * (1 - mean) * len(groups) / n
+        return min(max(mean * (1 - mean) / max(between, 1e-9) - 1, 1.0), 1e4)
+
+    k_site = strength([(len(v), sum(v), mean) for v in sites.values()])
+    prior = {s: (sum(v) + k_site * mean) / (len(v) + k_site) for s, v in sites.items()}
+    k_path = strength([(len(v), sum(v), prior[s]) for (s, _), v in paths.items()])
+    chosen = {d: max(int("the" in rows[d][1]), 0) for d in range(0, 400, 2)}
+    share = sum(chosen.values()) / len(chosen)
+    for g in got:
+        own, there = paths[(g.source, g.lang)], sites[g.source]
+        site = (sum(there) - vote(g) + k_site * mean) / (len(there) - 1 + k_site)
+        path = (sum(own) - vote(g) + k_path * site) / (len(own) - 1 + k_path)
+        p = min(max(path, 1e-3), 1 - 1e-3)
+        posterior = 1 / (1 + math.exp(-(g.evidence - math.log(share / (1 - share)) + math.log(p / (1 - p)))))
+        assert math.isclose(g.site_prior, site, abs_tol=2e-6) and math.isclose(g.path_prior, path, abs_tol=2e-6) and math.isclose(g.posterior, posterior, abs_tol=2e-6)
+        assert g.kept == (g.posterior >= 0.5)
+    assert {(g.evidence, g.kept) for g in quality.scored(df, labels.limit(0)).collect()} == {(2.0, True)}
+
+
+def test_license_ranking_by_compression_finds_what_aligning_every_template_finds():
+    r = random.Random(3)
+    filler = ["".join(r.choice("theandofin") for _ in range(r.randrange(2, 9))) for _ in range(400)]
+    every, some = license_scan.Scanner(3, len(license_scan.TEMPLATES) * 9, 0.2), license_scan.Scanner(3, 6, 0.2)
+    notices = [(name, w) for name, ws in license_scan.TEMPLATES.items() for w in ws]
+    caught = 0
+    for _ in range(150):
+        parts = []
+        for _ in range(r.randrange(1, 4)):
+            parts += [" ".join(r.choice(filler) for _ in range(r.randrange(0, 80))), r.choice(notices)[1]]
+        words = " ".join(parts).split(" ")
+        if r.random() < 0.5:
+            words[r.randrange(len(words))] = "changed"
+        text = " ".join(words) + r.choice(["", " Copyright of nobody"])
+        one, two = ([(h[0], h[1], h[3], h[4], h[6]) for h in s(text) if h[5]] for s in (some, every))
+        assert one == two
+        caught += len(one)
+    assert caught > 150
+    name, share, missing, added = some.nearest("SPDX-License-Identifier: BSD-2-Clause")
+    assert name == "BSD" and missing == added == 0 and share > 0.3
+
+
 def test_large_families_are_linked_across_blocks_and_repeated_ids_keep_their_own_links(spark):
     r = random.Random(8)
     base = [f"w{r.randrange(4000)}" for _ in range(160)]
