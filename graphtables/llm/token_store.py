@@ -21,7 +21,7 @@ from .common import saved, scratch, slices
 from .tokens import encoder
 
 LIMIT, STEP = 20, 128
-RAW = "part long, before long, doc_ids binary, named binary, counts binary, ids binary"
+RAW = "part long, before long, doc_ids binary, named binary, counts binary, ids binary, used binary, seen binary"
 STORED = "part long, before long, n_ids long, doc_ids binary, named binary, counts binary, bits binary, marks binary"
 READ = "part long, start long, doc_id long, ids binary"
 
@@ -105,7 +105,8 @@ class Decoder:
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int, partitions: int) -> DataFrame:
     """Blocks of ids (little-endian uint32) of whole texts, in ascending doc_id order over (part, before).
 
-    before counts the ids of the part's earlier blocks."""
+    before counts the ids of the part's earlier blocks; used and seen are the block's different ids and their counts.
+    Rows are ranged by doc_id and a hash of the text, so rows that share a doc_id, or have none, are no single task."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_texts, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
@@ -116,7 +117,9 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int, part
             doc_ids, named, counts, ids = (np.concatenate(c) for c in zip(*held))
             held.clear()
             before += len(ids)
-            values = (part, before - len(ids), doc_ids.tobytes(), named.tobytes(), counts.tobytes(), ids.tobytes())
+            seen = np.bincount(ids)
+            used = np.flatnonzero(seen)
+            values = (part, before - len(ids), doc_ids.tobytes(), named.tobytes(), counts.tobytes(), ids.tobytes(), used.astype("<u4").tobytes(), seen[used].astype("<i8").tobytes())
             names = [c.split()[0] for c in RAW.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in values], names=names)
 
@@ -131,24 +134,25 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int, part
         if held:
             yield row()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id")
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
+    ordered = keyed.repartitionByRange(partitions, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     return ordered.mapInArrow(encode, RAW)
 
 
-def frequencies(blocks: DataFrame, column: str = "ids") -> np.ndarray:
-    """Counts of all ids; one row an id and task leaves the tasks."""
+def frequencies(blocks: DataFrame) -> np.ndarray:
+    """Counts of all ids, from the blocks' own counts; one row an id and task leaves the tasks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for batch in batches:
-            for row in rows_of(batch):
-                own = np.bincount(np.frombuffer(row["ids"], "<u4"), minlength=len(total))
-                own[: len(total)] += total
-                total = own
+        for row in (r for batch in batches for r in rows_of(batch)):
+            used, seen = np.frombuffer(row["used"], "<u4"), np.frombuffer(row["seen"], "<i8")
+            if len(used) and used[-1] >= len(total):
+                total = np.append(total, np.zeros(int(used[-1]) + 1 - len(total), np.int64))
+            total[used] += seen
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
-    rows = blocks.select(column).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row an id of the vocabulary
+    rows = blocks.select("used", "seen").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row an id of the vocabulary
     out = np.zeros(max((r.id for r in rows), default=-1) + 1, np.int64)
     for r in rows:
         out[r.id] = r.n
