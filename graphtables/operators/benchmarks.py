@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import is_identifier, padded_id
 from ..sources.shared import saved
+from .generation import ranked
 
 
 def generated(spark: SparkSession, n: int, prefix: str, seed: int, values: dict[str, Sequence[str]], width: int = 4) -> DataFrame:
@@ -125,68 +126,97 @@ def name_mapping(columns: DataFrame, proposed: DataFrame | None = None) -> DataF
     return made if given is None else given.union(made)
 
 
+#: Above this many allowed pairs, an end's pairs are ranked in runs of their hash and no longer by one task.
+HOT = 100_000
+
+
 def sampled_edges(pairs: DataFrame, least_out: int, most_out: int, least_in: int, most_in: int, seed: int, attempts: int = 50) -> DataFrame:
     """A seeded choice among allowed (src, dst) that respects the degrees of every source and target in the pairs.
 
-    First every target takes `least_in` sources, then every source fills up to its quota, in rounds over pairs not yet
-    chosen; an end that still lacks edges takes one from an end that has some to spare. A draw that misses a least
+    First every source takes `least_out` targets, then targets below `least_in` take sources, then sources fill up to
+    their quota, in rounds over pairs not yet chosen; ends that still lack edges take some from ends that have some to
+    spare, as many at once as there are. A draw that misses a least
     bound is drawn anew with another seed; the last one raises. Rounds are tables in the
     shared folder, so a lost executor costs none of them. For ends with one anchor each, `generation.edges_by_stubs` needs
     no table of pairs; this one is for ends whose several anchors make the pairs."""
     pairs = saved(pairs.select("src", "dst").distinct(), "edges-pairs")
+    nodes, hot = {}, set()
     for end, least in (("src", least_out), ("dst", least_in)):
-        starved = pairs.groupBy(end).agg(F.count("*").alias("n")).where(F.col("n") < least)
-        if n := starved.count():
-            raise ValueError(f"{n} values of {end} have fewer than {least} allowed pairs")
+        sizes = saved(pairs.groupBy(end).agg(F.count("*").alias("n")), "edges-ends")
+        seen = sizes.agg(F.count_if(F.col("n") < least).alias("starved"), F.max("n").alias("most")).first()
+        if seen.starved:
+            raise ValueError(f"{seen.starved} values of {end} have fewer than {least} allowed pairs")
+        nodes[end] = sizes.select(end)
+        hot |= {end} if (seen.most or 0) > HOT else set()
     for attempt in range(attempts):
-        chosen = drawn(pairs, least_out, most_out, least_in, most_in, seed + attempt)
-        short = sum(degrees(pairs.select(F.col(end).alias("id")).distinct(), chosen, end).where(F.col("least") < least).count() for end, least in (("src", least_out), ("dst", least_in)))
+        chosen = drawn(pairs, nodes, hot, least_out, most_out, least_in, most_in, seed + attempt)
+        short = sum(degrees(nodes[end].select(F.col(end).alias("id")), chosen, end).where(F.col("least") < least).count() for end, least in (("src", least_out), ("dst", least_in)))
         if not short:
             return chosen
     raise ValueError(f"no draw of {attempts} has {least_out} to {most_out} edges a source and {least_in} to {most_in} a target")
 
 
-def drawn(pairs: DataFrame, least_out: int, most_out: int, least_in: int, most_in: int, seed: int) -> DataFrame:
-    """One draw of `sampled_edges`: rounds until no bound improves; the greatest degrees always hold."""
-    place = lambda key, *by: F.row_number().over(Window.partitionBy(key).orderBy(*by))
-    first = lambda rows, key, by: rows.withColumn("k", place(key, *by)).where("k = 1").drop("k")
-    quota = F.lit(least_out) + F.pmod(F.xxhash64(F.lit(seed), "src"), F.lit(most_out - least_out + 1))
-    ranked = pairs.withColumn("h", F.xxhash64(F.lit(seed), "src", "dst")).withColumn("quota", quota)
-    chosen = saved(pairs.limit(0), "edges-chosen")
+def drawn(pairs: DataFrame, nodes: dict[str, DataFrame], hot: set[str], least_out: int, most_out: int, least_in: int, most_in: int, seed: int) -> DataFrame:
+    """One draw of `sampled_edges`: rounds until no bound improves; the greatest degrees always hold.
 
-    def with_degrees(rows: DataFrame) -> DataFrame:
-        out, into = (chosen.groupBy(c).agg(F.count("*").alias(n)) for c, n in (("src", "out"), ("dst", "into")))
-        return rows.join(out, "src", "left").join(into, "dst", "left").fillna(0, ["out", "into"])
-
-    def taken(rows: DataFrame) -> DataFrame:
+    nodes: the ids of each end; hot: the ends of which some have many pairs. Every round makes all the changes that do
+    not disturb each other, so rounds grow with the logarithm of what is lacking."""
+    chosen = saved(pairs.limit(0), "edges-chosen")
+    quota = F.lit(least_out) + F.pmod(F.xxhash64(F.lit(seed), "src"), F.lit(most_out - least_out + 1))
+    h, named = F.xxhash64(F.lit(seed), "src", "dst"), {"src": "out", "dst": "into"}
+
+    def placed(rows: DataFrame, end: str, name: str, major: Column | None = None) -> DataFrame:
+        """rows with their place from 0 among those of an end, by `major`, their hash and the other end."""
+        tie = "dst" if end == "src" else "src"
+        if end in hot:
+            return ranked(saved(rows, "edges-placed"), [end], F.col("h"), tie, name, major)
+        by = ([] if major is None else [major]) + [F.col("h"), F.col(tie)]
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(end).orderBy(*by)) - 1)
+
+    def degree(end: str) -> DataFrame:
+        n = chosen.groupBy(end).agg(F.count("*").alias("n"))
+        return nodes[end].join(n, end, "left").select(end, F.coalesce("n", F.lit(0)).alias(named[end]))
+
+    def free(*ends: DataFrame) -> DataFrame:
+        """Pairs not yet chosen of these sources or targets."""
+        rows = pairs
+        for e in ends:
+            rows = rows.join(e, e.columns[0])
+        return rows.join(chosen, ["src", "dst"], "left_anti").withColumn("h", h)
+
+    def taken() -> DataFrame:
         """Targets below their least take sources: those below theirs first, then those below their quota."""
-        tier = F.when(F.col("out") < least_out, 0).when(F.col("out") < F.col("quota"), 1).otherwise(2)
-        asked = rows.where((F.col("into") < least_in) & (F.col("into") < most_in) & (F.col("out") < most_out))
-        asked = asked.withColumn("k", place("dst", tier, "h", "src")).where(F.col("k") <= F.least(F.lit(least_in), F.lit(most_in)) - F.col("into"))
-        return asked.withColumn("m", place("src", "h", "dst")).where(F.col("m") <= most_out - F.col("out"))
-
-    def filled(rows: DataFrame) -> DataFrame:
-        """Sources below their quota take targets; where too many ask, sources below their least go first."""
-        asked = rows.where((F.col("out") < F.col("quota")) & (F.col("into") < most_in))
-        asked = asked.withColumn("k", place("src", "h", "dst")).where(F.col("k") <= F.col("quota") - F.col("out"))
-        return asked.withColumn("m", place("dst", F.col("out") >= least_out, "h", "src")).where(F.col("m") <= most_in - F.col("into"))
-
-    def swapped(rows: DataFrame, end: str, other: str, lacks: str, least: int) -> DataFrame:
-        """Pairs for ends below their least, each in place of an edge at the same other end that can be spared."""
-        spare = with_degrees(chosen).where(F.col(lacks) > least).select(F.col(end).alias("from"), other)
-        found = rows.where(F.col(lacks) < least).select("src", "dst", "h").join(spare, other)
-        for key in (end, "from", other):
-            found = first(found, key, ("h", "src", "dst", "from"))
-        return saved(found, "edges-swapped")
+        tier = F.when(F.col("out") < least_out, 0).when(F.col("out") < quota, 1).otherwise(2)
+        asked = free(degree("dst").where((F.col("into") < least_in) & (F.col("into") < most_in)), degree("src").where(F.col("out") < most_out))
+        asked = placed(asked, "dst", "k", tier).where(F.col("k") < F.least(F.lit(least_in), F.lit(most_in)) - F.col("into"))
+        return placed(asked, "src", "m").where(F.col("m") < most_out - F.col("out"))
+
+    def filled(goal: Column) -> DataFrame:
+        """Sources below their goal take targets; where too many ask, sources below their least go first."""
+        asked = free(degree("src").where(F.col("out") < goal), degree("dst").where(F.col("into") < most_in))
+        asked = placed(asked, "src", "k").where(F.col("k") < goal - F.col("out"))
+        return placed(asked, "dst", "m", (F.col("out") >= least_out).cast("int")).where(F.col("m") < most_in - F.col("into"))
+
+    def swapped(end: str, other: str, least: int) -> DataFrame:
+        """Pairs for ends below their least, each in place of an edge at the same other end that can be spared.
+
+        What is lacking and what can be spared at an other end meet rank to rank, not all with all; then no end takes more
+        than it lacks, and none gives more than it can spare. If any swap is possible, one is made."""
+        low, high = degree(end).where(F.col(named[end]) < least), degree(end).where(F.col(named[end]) > least)
+        lacks = placed(free(low), other, "k").withColumnRenamed(named[end], "has")
+        spare = placed(chosen.join(high, end).withColumn("h", h), other, "k").select(F.col(end).alias("from"), other, "k", F.col(named[end]).alias("held"))
+        met = placed(saved(lacks.join(spare, [other, "k"]).drop("k"), "edges-met"), end, "k").where(F.col("k") < least - F.col("has")).drop("k")
+        given = met.select(F.col("from").alias(end), other, "held", "h", F.col(end).alias("to"))
+        given = placed(given, end, "k").where(F.col("k") < F.col("held") - least)
+        return saved(given.select(F.col(end).alias("from"), F.col("to").alias(end), other), "edges-swapped")
 
     while True:
         moved = False
-        for step in (taken, filled):
-            while not (new := saved(step(with_degrees(ranked.join(chosen, ["src", "dst"], "left_anti"))).select("src", "dst"), "edges-new")).isEmpty():
+        for step in (lambda: filled(F.lit(least_out)), taken, lambda: filled(quota)):
+            while not (new := saved(step().select("src", "dst"), "edges-new")).isEmpty():
                 chosen = saved(chosen.union(new), "edges-chosen")
-        for end, other, lacks, least in (("src", "dst", "out", least_out), ("dst", "src", "into", least_in)):
-            new = swapped(with_degrees(ranked.join(chosen, ["src", "dst"], "left_anti")), end, other, lacks, least)
-            if not new.isEmpty():
+        for end, other, least in (("src", "dst", least_out), ("dst", "src", least_in)):
+            while not (new := swapped(end, other, least)).isEmpty():
                 dropped = new.select(F.col("from").alias(end), other)
                 kept = chosen.join(dropped, ["src", "dst"], "left_anti").select("src", "dst")
                 chosen = saved(kept.union(new.select("src", "dst")), "edges-chosen")

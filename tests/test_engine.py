@@ -204,3 +204,18 @@ def test_answers_of_every_form(spark):
     forms = {None: "", "plain": "plain", '{"columns": ["a"], "data": [["x"], ["y"]]}': "x, y", '["p", "q"]': "p, q", '[["one", 2]]': "one", "": ""}
     df = spark.createDataFrame([(f,) for f in forms], "answer string")
     assert {r.answer: r.text for r in df.select("answer", tables.answer_text(df["answer"]).alias("text")).collect()} == forms
+
+
+def test_sampled_edges_take_few_rounds_where_both_ends_bind(spark, monkeypatch):
+    """2000 sources of one edge each, four targets that must hold a quarter: what is lacking moves at once, not an edge a round."""
+    pairs = spark.range(2000).withColumnRenamed("id", "src").crossJoin(spark.range(4).withColumnRenamed("id", "dst"))
+    written = []
+    save = benchmarks.saved
+    monkeypatch.setattr(benchmarks, "saved", lambda df, label: (written.append(label), save(df, label))[1])
+    for hot in (benchmarks.HOT, 100):  # by one task, and in runs of the hash
+        monkeypatch.setattr(benchmarks, "HOT", hot)
+        written.clear()
+        e = benchmarks.sampled_edges(pairs, 1, 1, 500, 500, 5)
+        assert e.distinct().count() == e.count() == 2000 and e.select("src").distinct().count() == 2000
+        assert [r["count"] for r in e.groupBy("dst").count().collect()] == [500] * 4
+        assert written.count("edges-chosen") < 30
