@@ -17,7 +17,7 @@ def stripped(c: Column) -> Column:
 
 def present(c: Column) -> Column:
     """Neither null nor blank; zero and false are present."""
-    return c.isNotNull() & (stripped(c) != "")
+    return c.isNotNull() & c.cast("string").rlike(r"\S")
 
 
 def value(c: Column) -> Column:
@@ -29,16 +29,22 @@ def first_present(columns: Sequence[Column]) -> Column:
     return F.coalesce(*(value(c).cast("string") for c in columns))
 
 
+def plain_integer(c: Column) -> Column:
+    """Whether a text is an integer of up to 18 digits as it is written: no sign but a minus, no leading zero or white
+    space. One short pattern, so that the others here are tried on the rest alone."""
+    return c.cast("string").rlike(r"^(0|-?[1-9][0-9]{0,17})\z")
+
+
 def number(c: Column) -> Column:
     """A double where the whole text is a number, else null; `1_000` counts, `1.0d` does not."""
     text = stripped(c)
-    return F.when(text.rlike(NUMBER), F.regexp_replace(text, "_", "").try_cast("double"))
+    return F.when(plain_integer(c), c.cast("string").cast("double")).when(text.rlike(NUMBER), F.regexp_replace(text, "_", "").try_cast("double"))
 
 
 def iso_date(c: Column) -> Column:
     """A date where the whole text is yyyy-mm-dd, else null; texts with a time part are none."""
     text = stripped(c)
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
+    return F.when(~plain_integer(c) & text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
 
 
 def identifier(columns: Sequence[Column]) -> Column:

@@ -5,33 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import jaccard, name_tokens, number, stripped, value
+from ..functions.values import jaccard, name_tokens, number, plain_integer, stripped, value
+from ..sources.shared import saved
 from .items import column_types
 
 KINDS = ("primary_key", "foreign_key")
+#: Bits of a word in a set of columns, and how many columns of all items are handed to every task.
+BITS, FEW = 63, 100_000
 
 
 def canonical(c: Column) -> Column:
     """A value as it is compared across tables: `4`, `4.0` and ` +4 ` are one, other texts are stripped; missing is null."""
-    v = value(c)
-    n = number(v)
-    whole = F.regexp_extract(stripped(v), r"^[+]?(-?)0*(\d+)$", 0) != ""
-    digits = F.regexp_replace(F.regexp_replace(stripped(v), r"^\+", ""), r"^(-?)0+(?=\d)", "$1")
-    round_ = n.isNotNull() & (n == F.floor(n)) & (F.abs(n) < 9e15)
-    return F.when(whole, digits).when(round_, n.cast("long").cast("string")).when(n.isNotNull(), n.cast("string")).otherwise(stripped(v))
+
+    def other(v: Column) -> Column:
+        n = number(v)
+        whole = F.regexp_extract(v, r"^[+]?(-?)0*(\d+)$", 0) != ""
+        digits = F.regexp_replace(F.regexp_replace(v, r"^\+", ""), r"^(-?)0+(?=\d)", "$1")
+        round_ = n.isNotNull() & (n == F.floor(n)) & (F.abs(n) < 9e15)
+        return F.when(whole, digits).when(round_, n.cast("long").cast("string")).when(n.isNotNull(), n.cast("string")).otherwise(v)
+
+    # the long expression stays out of the code that all plain integers run through
+    return F.when(plain_integer(c), c.cast("string")).otherwise(F.get(F.transform(F.array(stripped(value(c))), other), F.lit(0)))
 
 
 def inclusions(found: DataFrame, least_share: float = 1.0) -> DataFrame:
     """item, table, column, different, to_table, to_column, to_different, shared, unique: column pairs of an item where at
     least this share of the different values of one column occur in the other; 1 means an inclusion dependency.
 
-    One shuffle of cells: every value is grouped into the set of columns that hold it, equal sets are counted, and only
-    those are taken apart again, so a set of m columns costs m * m rows once, not once for every value. Columns without
-    a value include nothing. `unique` says that no value of the referenced column occurs twice."""
-    rows = found.select("item", "table", "column", canonical(F.col("value")).alias("v")).where("v IS NOT NULL")
-    holders = rows.groupBy("item", "v").agg(F.sort_array(F.collect_set(F.struct("table", "column"))).alias("columns"))  # at most the item's columns
-    sets = holders.groupBy("item", "columns").agg(F.count("*").alias("n"))
-    counts = rows.groupBy("item", "table", "column").agg(F.count("*").alias("n"))
+    One shuffle of different values: every value is grouped into the set of columns that hold it, a bit for each column in
+    as many words of 63 bits as the item with most columns needs, so that it is added up on the map side; equal sets are
+    counted, and only those are taken apart again, so a set of m columns costs m * m rows once, not once for every value.
+    Columns without a value include nothing. `unique` says that no value of the referenced column occurs twice."""
+    # a row a column: all columns of an item in one array, and how many cells with a value each has
+    counts = saved(found.groupBy("item", "table", "column").agg(F.count(value(F.col("value"))).alias("n")).where("n > 0"), "inclusions-columns")
+    names = counts.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("table", "column"))).alias("names"))
+    places = names.select("item", F.posexplode("names").alias("at", "name")).select("item", "name.table", "name.column", "at")
+    words = 1 + (places.agg(F.max("at")).first()[0] or 0) // BITS
+    rows = found.join(F.broadcast(places) if counts.count() <= FEW else places, ["item", "table", "column"])
+    rows = rows.select("item", "at", canonical(F.col("value")).alias("v")).where("v IS NOT NULL")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at") % BITS)
+    masks = [F.bit_or(F.when((F.col("at") / BITS).cast("int") == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(words)]
+    held = [f"w{w}" for w in range(words)]
+    sets = rows.groupBy("item", "v").agg(*masks).groupBy("item", *held).agg(F.count("*").alias("n"))
+    words_of = F.array(*held)
+    inside = lambda name, at: F.getbit(F.element_at(words_of, (at / BITS).cast("int") + 1), at % BITS) == 1
+    sets = saved(sets.join(names, "item").select("item", "n", F.filter("names", inside).alias("columns")), "inclusions-sets")
     each = sets.select("item", "n", "columns", F.explode("columns").alias("a"))
     sizes = each.groupBy("item", "a").agg(F.sum("n").alias("different")).select("item", F.col("a.table").alias("table"), F.col("a.column").alias("column"), "different")
     sizes = sizes.join(counts, ["item", "table", "column"]).select("item", "table", "column", "different", (F.col("n") == F.col("different")).alias("unique"))
@@ -61,12 +79,17 @@ def understood(found: DataFrame, proposed: DataFrame | None = None, samples: int
     or leaves blank, is `categorical` without a kind, of two proposals for a column the one with the longer description
     counts, and columns that the table does not have are dropped. samples: different values by a seeded hash."""
     columns = found.groupBy("item", "table", "column").agg(F.min("place").alias("place"))
-    drawn = found.select("item", "table", "column", value(F.col("value")).alias("v")).where("v IS NOT NULL").distinct()
-    by = (F.md5(F.concat_ws(":", F.lit(seed), "table", "column", "v").cast("binary")), F.col("v"))
-    order = Window.partitionBy("item", "table", "column").orderBy(*by)
-    # a hot column is cut in parts first, and each part hands on no more than its own samples
-    part = Window.partitionBy("item", "table", "column", "_part").orderBy(*by)
-    drawn = drawn.withColumn("_part", F.pmod(F.xxhash64("v"), F.lit(64))).withColumn("_k", F.row_number().over(part)).where(F.col("_k") <= samples)
+    drawn = found.select("item", "table", "column", value(F.col("value")).alias("v")).where("v IS NOT NULL")
+    digest = F.md5(F.concat_ws(":", F.lit(seed), "table", "column", "v").cast("binary"))
+    order = Window.partitionBy("item", "table", "column").orderBy(digest, F.col("v"))
+    # the least hashes of 64 parts of a column's values are of 64 different values, so those beyond the last of the first
+    # ones are no samples; only the others are told apart and ranked, a few for each column
+    lead = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    marked = drawn.withColumn("_lead", lead)
+    parts = marked.groupBy("item", "table", "column", F.pmod(F.xxhash64("v"), F.lit(max(64, 4 * samples))).alias("_part")).agg(F.min("_lead").alias("_lead"))
+    most = parts.groupBy("item", "table", "column").agg(F.sort_array(F.collect_list("_lead")).alias("_leads")).select("item", "table", "column", F.coalesce(F.try_element_at("_leads", F.lit(samples)), F.lit(2**63 - 1)).alias("_most"))
+    most = saved(most, "samples-bounds")
+    drawn = marked.join(F.broadcast(most) if most.count() <= FEW else most, ["item", "table", "column"]).where("_lead <= _most").select("item", "table", "column", "v").distinct()
     drawn = drawn.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= samples)
     values = drawn.groupBy("item", "table", "column").agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "v"))), lambda x: x["v"]).alias("samples"))
     out = columns.join(column_types(found), ["item", "table", "column"]).join(values, ["item", "table", "column"], "left")

@@ -30,12 +30,13 @@ def normalised(found: DataFrame) -> DataFrame:
 
 def column_types(found: DataFrame) -> DataFrame:
     """item, table, column, type, n, nulls: STRING without values, then BOOL, INT64, DOUBLE, DATE by all values, else STRING."""
-    v, boolean = value(F.col("value")), F.col("kind") == "boolean"
-    n = F.when(~boolean, number(F.col("value")))
+    boolean = F.col("kind") == "boolean"
+    read = found.select("item", "table", "column", "kind", value(F.col("value")).alias("v"), F.when(~boolean, number(F.col("value"))).alias("x"), F.col("value"))
+    v, n = F.col("v"), F.col("x")
     every = lambda e: F.coalesce(F.bool_and(F.when(v.isNotNull(), F.coalesce(e, F.lit(False)))), F.lit(False))
     whole = n.isNotNull() & (n == F.floor(n)) & (F.abs(n) < 9.3e18)
     kind = F.when(F.count(v) == 0, "STRING").when(every(boolean), "BOOL").when(every(whole), "INT64").when(every(n.isNotNull()), "DOUBLE").when(every(iso_date(F.col("value")).isNotNull()), "DATE").otherwise("STRING")
-    return found.groupBy("item", "table", "column").agg(kind.alias("type"), F.count("*").alias("n"), (F.count("*") - F.count(v)).alias("nulls"))
+    return read.groupBy("item", "table", "column").agg(kind.alias("type"), F.count("*").alias("n"), (F.count("*") - F.count(v)).alias("nulls"))
 
 
 def typed_cells(found: DataFrame, types: DataFrame) -> DataFrame:

@@ -203,3 +203,34 @@ def test_documents_and_logs(spark, tmp_path):
         sinks.append_new(spark.createDataFrame(rows, "k int, v string"), log, "k")
     assert sorted((str(r.k), r.v) for r in spark.read.parquet(log).collect()) == [("1", "a"), ("2", "d"), ("None", "c")]
     assert not sinks.exists(spark, str(tmp_path / "nothing"))
+
+
+def test_inclusions_write_a_row_a_set_of_columns(spark, monkeypatch):
+    """130 columns take three words of bits; what is written before sets are taken apart is a row a set, not a row a value."""
+    written = {}
+    save = dependencies.saved
+    monkeypatch.setattr(dependencies, "saved", lambda df, label: written.setdefault(label, save(df, label)))
+    values = {k: [str(v) for v in range(k % 3, 300)] for k in range(130)}
+    values[5] = ["+7", " 07 ", "8.0", "", "-0"]
+    found = spark.createDataFrame([(1, "t", r, k, f"c{k:03d}", v, "text") for k, vs in values.items() for r, v in enumerate(vs)], "item int, table string, row long, place int, column string, value string, kind string")
+    rows = dependencies.inclusions(found)
+    plain = {k: set(vs) for k, vs in values.items()} | {5: {"7", "8", "-0"}}
+    want = {(f"c{a:03d}", f"c{b:03d}", len(plain[a])) for a in plain for b in plain if a != b and plain[a] <= plain[b]}
+    assert {(r["column"], r.to_column, r.shared) for r in rows.collect()} == want
+    assert {r.to_column: r.unique for r in rows.collect()} == {c: True for _, c, _ in want}
+    assert written["inclusions-sets"].count() < 10
+
+
+def test_samples_rank_few_values(spark, monkeypatch):
+    """The samples are those of the least hashes, and all but a few values are left out before they are told apart."""
+    from hashlib import md5
+
+    bounds = {}
+    save = dependencies.saved
+    monkeypatch.setattr(dependencies, "saved", lambda df, label: bounds.setdefault(label, save(df, label)))
+    found = spark.range(20000).selectExpr("1 AS item", "'t' AS table", "id AS row", "0 AS place", "'c' AS column", "cast(id % 5000 AS string) AS value", "'text' AS kind")
+    got = dependencies.understood(found, samples=4).first()
+    digest = lambda v: md5(f"42:t:c:{v}".encode()).hexdigest()
+    assert got.samples == sorted(map(str, range(5000)), key=digest)[:4] and got.type == "INT64" and got.n == 20000
+    most = bounds["samples-bounds"].first()["_most"]
+    assert 4 <= sum(int(digest(v)[:15], 16) <= most for v in range(5000)) < 50
