@@ -219,3 +219,25 @@ def test_sampled_edges_take_few_rounds_where_both_ends_bind(spark, monkeypatch):
         assert e.distinct().count() == e.count() == 2000 and e.select("src").distinct().count() == 2000
         assert [r["count"] for r in e.groupBy("dst").count().collect()] == [500] * 4
         assert written.count("edges-chosen") < 30
+
+
+def test_anchors_tell_apart_each_step_once(spark):
+    """The label's own nodes are told apart by one aggregate, not by one for each step of the path."""
+    edge = lambda rows, s, t: Edge(spark.createDataFrame(rows, "src long, dst long"), s, t)
+    node = lambda rows: spark.createDataFrame(rows, "id long, name string")
+    g = PropertyGraph({"A": node([(1, "a"), (2, "b"), (3, "c")]), "B": node([(1, "x"), (2, "y")]), "C": node([(1, "u"), (2, None), (3, "u")])}, {"r": edge([(1, 1), (1, 2), (2, 2), (9, 1)], "A", "B"), "s": edge([(1, 1), (3, 1), (2, 2), (1, 2)], "C", "B")})
+    path = [("r", True), ("s", False)]
+    assert sorted(map(tuple, g.anchors("A", path).collect())) == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2)]
+    named = g.anchors("A", path, "name")
+    assert sorted(map(tuple, named.collect())) == [(1, "u"), (2, "u")]
+    assert sorted(map(tuple, g.anchors("A", [], "name").collect())) == [(1, "a"), (2, "b"), (3, "c")]
+    # a repartition marks the label's own edges in the plan
+    marked = PropertyGraph(dict(g.nodes), {"r": Edge(g.edges["r"].rows.repartition(7), "A", "B"), "s": g.edges["s"]})
+    lines = marked.anchors("A", path, "name")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(k for k, line in enumerate(lines) if "Repartition" in line)
+    depth, above = lines[at].index("Rep"), 0
+    for line in reversed(lines[:at]):
+        indent = len(line) - len(line.lstrip(" :+-"))
+        if indent < depth:
+            depth, above = indent, above + ("Aggregate [" in line)
+    assert above == 1
