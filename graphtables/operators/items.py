@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import iso_date, number, stripped, truth, value
+from ..sources.shared import parts as parts_for
 
+ROW = ("item", "table", "row")
 CELL = ("item", "table", "row", "place", "column", "value", "kind")
 
 def cells(rows: DataFrame, item: Column, table: str, row: Column, columns: Sequence[str]) -> DataFrame:
@@ -66,15 +68,21 @@ def row_keys(found: DataFrame, keys: DataFrame) -> DataFrame:
     Rows of tables without a key, and rows that lack a part, have none and are left out."""
     of = keys.select("item", "table", F.lower("column").alias("column"), F.col("place").alias("part"))
     parts = of.groupBy("item", "table").agg(F.count("*").alias("parts"))
-    v = value(F.col("value"))
-    rows = found.join(of, ["item", "table", "column"]).groupBy("item", "table", "row").agg(F.count(v).alias("n"), F.sort_array(F.collect_list(F.struct("part", stripped(v).alias("v")))).alias("id"))  # a cell a part of the key
+    cells = found.join(of, ["item", "table", "column"]).select(*ROW, "part", stripped(value(F.col("value"))).alias("v"))
+    rows = cells.groupBy(*ROW).agg(F.count("v").alias("n"), F.sort_array(F.collect_list(F.struct("part", "v"))).alias("id"))  # a cell a part of the key
     return rows.join(parts, ["item", "table"]).where("n = parts").select("item", "table", "row", F.array_join("id.v", "|").alias("id"))
 
 
+def identified(found: DataFrame, ids: DataFrame) -> DataFrame:
+    """Cells with their row's key; found is best a saved table, as its cells are counted first to deal them out."""
+    n = parts_for(found.sparkSession, found.count())
+    return found.repartition(n, *ROW).join(ids.repartition(n, *ROW), list(ROW))
+
+
 def key_conflicts(found: DataFrame, ids: DataFrame) -> DataFrame:
     """item, table, column, conflicting: whether a column takes two values, a missing one among them, for one key."""
-    v = value(F.col("value"))
-    groups = found.join(ids, ["item", "table", "row"]).groupBy("item", "table", "column", "id").agg(((F.min(v) != F.max(v)) | ((F.count(v) > 0) & (F.count(v) < F.count("*")))).alias("differs"))
+    cells = identified(found, ids).select("item", "table", "column", "id", value(F.col("value")).alias("v"))
+    groups = cells.groupBy("item", "table", "column", "id").agg(((F.min("v") != F.max("v")) | ((F.count("v") > 0) & (F.count("v") < F.count("*")))).alias("differs"))
     return groups.groupBy("item", "table", "column").agg(F.coalesce(F.bool_or("differs"), F.lit(False)).alias("conflicting"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .operators import dependencies, items
 from .plans import alignment
 from .registry import Tables, query
+from .sources.shared import saved
 
 #: The key columns of the tables, among which inclusions are looked for.
 COLUMNS = {
@@ -76,7 +77,7 @@ UNION ALL SELECT DISTINCT c_nationkey, 'customer', unnest(['c_custkey', 'c_acctb
 )
 def item_key_conflicts(g, t):
     """Columns that contradict the declared key, for every table of every item in one job."""
-    found = items.normalised(nation_items(t))
+    found = saved(items.normalised(nation_items(t)), "cells")
     return items.key_conflicts(found, items.row_keys(found, item_tables(found)[0]))
 
 
