@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import iso_date, number, stripped, truth, value
 from ..sources.shared import parts as parts_for
+from ..sources.shared import saved
 
 ROW = ("item", "table", "row")
 CELL = ("item", "table", "row", "place", "column", "value", "kind")
@@ -87,24 +88,22 @@ def key_conflicts(found: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def resolved_cells(found: DataFrame, ids: DataFrame, classes: DataFrame | None = None) -> DataFrame:
-    """item, entity, id, column, value, table, row: for each property of an entity the first value present.
+    """item, entity, id, column, value, table, row, kind: for each property of an entity the first value present.
 
     classes: item, table, entity, rank tells which tables describe one class and in which order they are asked; without
     it every table is a class of its own."""
-    v = value(F.col("value"))
-    rows = found.join(ids, ["item", "table", "row"]).where(v.isNotNull())
+    rows = identified(found.withColumn("value", value(F.col("value"))).where("value IS NOT NULL"), ids)
     rows = rows.withColumn("entity", F.col("table")).withColumn("rank", F.lit(0)) if classes is None else rows.join(classes, ["item", "table"])
-    first = F.min_by(F.struct(v.alias("value"), "table", "row"), F.struct("rank", "table", "row", "place"))
-    return rows.groupBy("item", "entity", "id", "column").agg(first.alias("x")).select("item", "entity", "id", "column", "x.*")
+    first = F.min(F.struct("rank", "table", "row", "place", "value", "kind"))
+    return rows.groupBy("item", "entity", "id", "column").agg(first.alias("x")).select("item", "entity", "id", "column", "x.value", "x.table", "x.row", "x.kind")
 
 
 def typed_items(found: DataFrame, keys: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """Typed entities of all items: item, entity, id, column, value, type, as_long, as_double, as_date, as_bool.
 
     Types are those of an entity's column over all entities of the class in the item, after resolution."""
-    clean = normalised(found)
+    clean = saved(normalised(found), "cells")
     merged = resolved_cells(clean, row_keys(clean, keys), classes)
-    booleans = clean.where("kind = 'boolean'").select("item", "table", "column", "row").withColumn("kind", F.lit("boolean"))
-    entity = merged.join(booleans, ["item", "table", "column", "row"], "left").select("item", F.col("entity").alias("table"), "id", "column", "value", F.coalesce("kind", F.lit("text")).alias("kind"))
-    numbered = entity.withColumn("row", F.col("id"))
-    return typed_cells(numbered, column_types(numbered)).withColumnsRenamed({"table": "entity", "row": "id"})
+    kind = F.when(F.col("kind") == "boolean", "boolean").otherwise("text")
+    entity = saved(merged.select("item", F.col("entity").alias("table"), F.col("id").alias("row"), "column", "value", kind.alias("kind")), "entities")
+    return typed_cells(entity, column_types(entity)).withColumnsRenamed({"table": "entity", "row": "id"})
