@@ -19,17 +19,19 @@ def seeded(seed: int, *columns: str | Column) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 
 
-def ranked(rows: DataFrame, scope: Sequence[str], by: Column, tie: str, name: str = "rank", major: Column | None = None) -> DataFrame:
-    """rows with their rank (from 0) within a scope, ordered by `major`, the hash `by`, and `tie`.
+def ranked(rows: DataFrame, scope: Sequence[str], by: Column, tie: str, name: str = "rank", major: Column | None = None, weight: str | None = None) -> DataFrame:
+    """rows with their rank (from 0) within a scope, ordered by `major`, the hash `by`, and `tie`; with a column `weight`, the
+    sum of the weights before a row stands in place of its rank.
 
     Rows of a scope are dealt by the hash's upper bits into 256 runs that are ranked on their own; the sums of the runs
     before, at most 256 a scope and value of `major`, are added. So a scope with a third of all rows is no single task."""
     split = F.shiftright(by, 56)
     marked = rows.withColumns({"_major": F.lit(0) if major is None else major, "_by": by, "_run": split})
     run = [*scope, "_major", "_run"]
-    inner = marked.withColumn("_k", F.row_number().over(Window.partitionBy(*run).orderBy("_by", tie)) - 1)
+    order = Window.partitionBy(*run).orderBy("_by", tie)
+    inner = marked.withColumn("_k", F.row_number().over(order) - 1 if weight is None else F.coalesce(F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     before = Window.partitionBy(*scope).orderBy("_major", "_run").rowsBetween(Window.unboundedPreceding, -1)
-    sums = marked.groupBy(*run).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    sums = marked.groupBy(*run).agg((F.count("*") if weight is None else F.sum(weight)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     names = [f"_s{k}" for k in range(len(run))]
     keyed = sums.toDF(*names, "_before")
     same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(run, names)]
@@ -107,15 +109,14 @@ class Bounds:
     most_in: int | None = None
 
 
-def edges_by_stubs(sources: DataFrame, targets: DataFrame, bounds: Bounds, seed: int, rounds: int = 20) -> DataFrame:
+def edges_by_stubs(sources: DataFrame, targets: DataFrame, bounds: Bounds, seed: int) -> DataFrame:
     """src, dst: a seeded draw of edges within each anchor (id, anchor; one anchor an id) that keeps every degree bound.
 
     Every source has stubs: those it must have, those of a seeded quota, and those it may have besides; an anchor takes as
-    many, in this order, as its targets can hold. Its targets' stubs are dealt likewise, lap by lap. Both are ranked and
-    matched rank to rank, so work grows with edges, never with pairs. A source's stubs are neighbours, so it meets a target
-    twice only where it spans two laps; such edges swap targets with others of the anchor, in rounds. Where rounds leave one,
-    the anchor is dealt in equal laps in one order instead, which cannot collide. Raises if bounds contradict each other in
-    an anchor or if an id has two anchors; an anchor without targets, or sources, fails only if the others need edges."""
+    many, in this order, as its targets can hold. They are numbered through the anchor, and `dealt` gives each its target by
+    arithmetic on that number, so no edge is repeated, no pair is looked at, and work grows with edges. Raises if bounds
+    contradict each other in an anchor or if an id has two anchors; an anchor without targets, or sources, fails only if the
+    others need edges."""
     for side, rows in (("source", sources), ("target", targets)):
         if n := rows.groupBy("id").count().where("count > 1").count():
             raise ValueError(f"{n} {side}s have several anchors or rows")
@@ -135,42 +136,58 @@ def edges_by_stubs(sources: DataFrame, targets: DataFrame, bounds: Bounds, seed:
     wanted = owned.groupBy("anchor").agg(F.sum("quota").alias("wanted"))
     # as many edges as the quotas ask for, within what the targets must and may take
     total = F.least(F.greatest(F.col("wanted"), F.col("t") * bounds.least_in), F.col("t") * F.col("most_in"))
-    totals = saved(wanted.join(caps, "anchor").select("anchor", total.alias("total"), F.col("s").alias("all_s"), F.col("t").alias("all_t"), "most_in"), "stubs-totals")
-    exploded = owned.join(totals.select("anchor", "total"), "anchor").select("id", "anchor", "quota", "total", F.explode(F.sequence(F.lit(0), F.col("most_out").cast("int") - 1)).alias("k")) if bounds.most_out is not None else None
-    if exploded is None:  # without an upper bound a source has no more stubs than twice its share or its quota
-        share = F.least(F.col("most_out"), F.greatest(F.col("quota"), 2 * F.ceil(F.col("total") / F.col("s"))))
-        exploded = owned.join(totals.select("anchor", "total"), "anchor").where(share > 0).select("id", "anchor", "quota", "total", F.explode(F.sequence(F.lit(0), share.cast("int") - 1)).alias("k"))
+    totals = saved(wanted.join(caps, "anchor").select("anchor", "wanted", total.alias("total"), "t", "most_in"), "stubs-totals")
+    asking = owned.join(totals.select("anchor", "wanted", "total"), "anchor")
+    out = asking.where("wanted = total AND quota > 0").select("anchor", "id", F.col("quota").alias("degree"))  # quotas as they are
+    # without an upper bound a source has no more stubs than twice its share or its quota
+    share = F.col("most_out") if bounds.most_out is not None else F.least(F.col("most_out"), F.greatest(F.col("quota"), 2 * F.ceil(F.col("total") / F.col("s"))))
+    exploded = asking.where((F.col("wanted") != F.col("total")) & (share > 0)).select("id", "anchor", "quota", "total", F.explode(F.sequence(F.lit(0), share.cast("int") - 1)).alias("k"))
     tier = F.when(F.col("k") < bounds.least_out, 0).when(F.col("k") < F.col("quota"), 1).otherwise(2)
     taken = ranked(exploded, ["anchor"], seeded(seed, F.lit("out"), "id", "k"), "id", "r", tier).where(F.col("r") < F.col("total"))
-    out = taken.groupBy("anchor", "id").agg(F.count("*").alias("degree"))
-    placed = ranked(out, ["anchor"], seeded(seed, F.lit("source"), "id"), "id", "place")
-    out_stubs = saved(numbered_stubs(placed, seed), "stubs-out")
-
-    room = F.least(F.col("most_in"), F.greatest(F.lit(bounds.least_in), 2 * F.ceil(F.col("total") / F.col("all_t"))))
-    slots = targets.select("id", "anchor").join(totals, "anchor").where(room > 0).select("id", "anchor", "total", F.explode(F.sequence(F.lit(0), room.cast("int") - 1)).alias("k"))
-    held = ranked(slots, ["anchor"], seeded(seed, F.lit("in"), "id", "k"), "id", "r", F.when(F.col("k") < bounds.least_in, 0).otherwise(1)).where(F.col("r") < F.col("total"))
-    dense = held.groupBy("anchor", "id").agg(F.count("*").alias("n")).select("anchor", "id", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("lap"))
-    in_stubs = ranked(dense, ["anchor"], seeded(seed, F.lit("lap"), "id", "lap"), "id", "at", F.col("lap")).select("anchor", "at", F.col("id").alias("dst"))
-    edges = saved(out_stubs.join(in_stubs, ["anchor", "at"]).select("anchor", "at", "src", "dst"), "stubs-edges")
-    edges = swapped(edges, seed, rounds)
-    bad = saved(edges.groupBy("anchor", "src", "dst").count().where("count > 1").select("anchor").distinct(), "stubs-bad")
-    if not bad.isEmpty():
-        order = ranked(targets.select("id", "anchor").join(bad, "anchor", "left_semi"), ["anchor"], seeded(seed, F.lit("cycle"), "id"), "id", "lap_place").select("anchor", "lap_place", F.col("id").alias("dst"))
-        again = out_stubs.join(bad, "anchor", "left_semi").join(caps.select("anchor", "t"), "anchor").withColumn("lap_place", F.pmod("at", "t")).join(order, ["anchor", "lap_place"]).select("anchor", "at", "src", "dst")
-        edges = edges.join(bad, "anchor", "left_anti").unionByName(again)
-    return saved(edges.select("src", "dst"), "stubs-result")
-
-
-def numbered_stubs(placed: DataFrame, seed: int) -> DataFrame:
-    """anchor, at, src: the stubs of sources in their places, numbered through each anchor; a source's are neighbours.
-
-    Sums of degrees before a source are taken in runs of 4096 places, so no task adds up a whole anchor."""
-    marked = placed.withColumn("run", F.col("place").bitwiseAND(F.lit(~4095).cast("long")))
-    inner = Window.partitionBy("anchor", "run").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy("anchor").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = marked.groupBy("anchor", "run").agg(F.sum("degree").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    first = marked.withColumn("own", F.coalesce(F.sum("degree").over(inner), F.lit(0))).join(runs, ["anchor", "run"])
-    return first.select("anchor", F.col("id").alias("src"), (F.col("own") + F.col("before")).alias("begin"), F.explode(F.sequence(F.lit(0), F.col("degree").cast("int") - 1)).alias("k")).select("anchor", (F.col("begin") + F.col("k")).cast("long").alias("at"), "src")
+    out = out.unionByName(taken.groupBy("anchor", "id").agg(F.count("*").alias("degree")))
+    begun = saved(ranked(out, ["anchor"], seeded(seed, F.lit("source"), "id"), "id", "begin", weight="degree"), "stubs-out")
+    return saved(dealt(begun, targets, totals, bounds, seed), "stubs-result")
+
+
+STEPS = [p for p in range(65537, 65880) if all(p % q for q in range(2, 257))][:32]  # primes; two of them divide no number below 2**32
+
+
+def permutation(size: Column, *salt: str | Column) -> tuple[Column, Column]:
+    """step, shift of a seeded permutation of the places below size: (place * step + shift) % size. Step and size share no factor."""
+    first = F.pmod(seeded(1, *salt), F.lit(len(STEPS))).cast("int")
+    one, other = (F.element_at(F.array(*map(F.lit, STEPS)), (first + k) % len(STEPS) + 1).cast("long") for k in (0, 1))
+    return F.when(size % one == 0, other).otherwise(one), F.pmod(seeded(2, *salt), size)
+
+
+def dealt(begun: DataFrame, targets: DataFrame, totals: DataFrame, bounds: Bounds, seed: int) -> DataFrame:
+    """src, dst: a target for each stub of (anchor, id, degree, begin), where `begin` numbers a source's first stub.
+
+    Stub p would have target p modulo their number t, in one seeded order: no source, having t stubs at most, meets a target
+    twice, and all targets have equal degrees but for one. Sources that begin within one and a half rounds of the targets are
+    a block, which deals its round anew: the targets that its stubs meet once more than the others come first, both in an
+    order of their own, so degrees stay. For degrees that differ, as many blocks as the bounds leave room for choose at
+    random whom they meet once more; each changes a degree by one at most."""
+    t, total = F.col("t"), F.col("total")
+    size = t + F.expr("(t + 1) div 2")
+    blocks = F.expr("(total - 1) div size + 1")
+    room = F.least(F.expr("total div t") - bounds.least_in, F.col("most_in") - F.expr("(total + t - 1) div t"))
+    plan = totals.where(total > 0).select("anchor", "t", "total", size.alias("size"), room.alias("room")).withColumn("blocks", blocks)
+    plan = plan.select("anchor", "t", "size", "blocks", F.least("room", "blocks").alias("loose"))
+    marked = begun.join(plan, "anchor").withColumn("block", F.expr("begin div size"))
+    loose = F.expr("(block + 1) * loose div blocks > block * loose div blocks")  # so many blocks, evenly
+    met = marked.groupBy("anchor", "block", "t", "blocks", "loose").agg(F.min("begin").alias("first"), F.sum("degree").alias("n")).withColumn("more", F.when(loose, F.lit(0)).otherwise(F.col("n") % t))
+    step, shift = permutation(F.greatest("more", F.lit(1)), F.lit(seed), F.lit("more"), "anchor", "block")
+    rest_step, rest_shift = permutation(t - F.col("more"), F.lit(seed), F.lit("rest"), "anchor", "block")
+    # tables of known size: Spark sends them to all tasks while they are small, as their keys are few and hot then
+    met = saved(met.select("anchor", "block", "first", "more", step.alias("step"), shift.alias("shift"), rest_step.alias("rest_step"), rest_shift.alias("rest_shift")), "stubs-blocks")
+    order = saved(ranked(targets.select("id", "anchor"), ["anchor"], seeded(seed, F.lit("cycle"), "id"), "id", "turn").select("anchor", "turn", F.col("id").alias("dst")), "stubs-order")
+
+    stubs = marked.select("anchor", "block", "t", "id", "begin", "degree").join(met, ["anchor", "block"])
+    stubs = stubs.select("*", F.explode(F.sequence(F.lit(0), F.col("degree").cast("int") - 1)).alias("k"))
+    stubs = stubs.withColumn("place", (F.col("begin") - F.col("first") + F.col("k")) % t)
+    place = F.expr("IF(place < more, (place * step + shift) % greatest(more, 1), more + ((place - more) * rest_step + rest_shift) % (t - more))")
+    turned = stubs.select("anchor", F.col("id").alias("src"), ((F.col("first") + place) % t).alias("turn"))
+    return turned.join(order, ["anchor", "turn"]).select("src", "dst")
 
 
 def swapped(edges: DataFrame, seed: int, rounds: int) -> DataFrame:

@@ -58,6 +58,51 @@ def test_stubs_keep_all_bounds(spark, sources, targets, bounds):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, generation.edges_by_stubs(s.repartition(3), t, bounds, 5).collect()))
 
 
+def test_stubs_of_few_targets_take_no_rounds(spark):
+    """Two of five targets each: neighbours' rounds meet often, which took rounds of swaps over all edges, 159 jobs in all."""
+    s, t = (spark.createDataFrame([(k, 0) for k in range(n)], "id int, anchor int") for n in (600, 5))
+    spark.sparkContext.setJobGroup("few targets", "")
+    try:
+        got = generation.edges_by_stubs(s, t, Bounds(2, 2, 120, 480), 11)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("few targets")) <= 80
+    assert generation.degree_problems(got, s, t, Bounds(2, 2, 120, 480)).count() == 0
+    rows = got.collect()
+    own = {k: frozenset(r.dst for r in rows if r.src == k) for k in range(600)}
+    assert len(rows) == 1200 and len(set(own.values())) == 10 and len(set(Counter(r.dst for r in rows).values())) > 1  # all choices, unlike degrees
+
+
+@pytest.mark.parametrize("bounds", [Bounds(1, 3, 1, None), Bounds(0, None, 0, None), Bounds(2, 2, 1, 12), Bounds(0, 3, 6, 6), Bounds(1, 2, 5, 9)])
+def test_stubs_deal_whatever_the_numbers_of_ends(spark, bounds):
+    t = [(100 * a + k, a) for a in range(3, 14) for k in range(a)]
+    s = [(100 * a + k, a) for a in range(3, 14) for k in range(5 * a + a % 4)]
+    s, t = (spark.createDataFrame(x, "id int, anchor int") for x in (s, t))
+    got = generation.edges_by_stubs(s, t, bounds, 3)
+    assert generation.degree_problems(got, s, t, bounds).count() == 0 and got.select("dst").distinct().count() == t.count()
+
+
+@pytest.mark.parametrize(("degree", "n"), [(1, 30), (2, 41), (5, 9), (7, 6)])
+def test_blocks_keep_degrees_equal_where_bounds_leave_no_room(spark, degree, n):
+    targets = spark.createDataFrame([(k, 0) for k in range(7)], "id int, anchor int")
+    begun = spark.createDataFrame([(0, k, degree, k * degree) for k in range(n)], "anchor int, id int, degree long, begin long")
+    least, most = n * degree // 7, -(-n * degree // 7)
+    totals = spark.createDataFrame([(0, n * degree, 7, most)], "anchor int, total long, t long, most_in long")
+    rows = generation.dealt(begun, targets, totals, Bounds(degree, degree, least, most), 2).collect()
+    assert len(set(rows)) == len(rows) == n * degree and set(Counter(r.dst for r in rows).values()) <= {least, most}
+
+
+def test_ranks_add_up_weights(spark):
+    rows = spark.range(500).withColumns({"s": F.col("id") % 2, "w": F.col("id") % 5})
+    got = generation.ranked(rows, ["s"], generation.seeded(1, "id"), "id", "before", weight="w").collect()
+    for s in (0, 1):
+        at = 0
+        for r in sorted((r for r in got if r.s == s), key=lambda r: (r.before, r.before + r.w)):
+            assert r.before == at
+            at += r.w
+        assert at == 500
+
+
 def test_stubs_refuse_what_cannot_be(spark):
     s, t = (spark.createDataFrame([(k, 0) for k in range(n)], "id int, anchor int") for n in (4, 3))
     for bounds in (Bounds(4, 4), Bounds(0, 1, 2, None), Bounds(2, 2, 0, 1)):
