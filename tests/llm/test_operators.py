@@ -265,6 +265,26 @@ def test_neighbours_match_brute_force(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_of_many_cells_pass_no_vectors_through_the_driver(spark):
+    r = np.random.default_rng(2)
+    x = np.round(r.normal(size=(900, 8)), 1).astype(np.float32).astype(np.float64)
+    x[r.choice(900, 80, replace=False)] = x[0]  # a common vector: more ties than neighbours, in every cell
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(3)
+    for held in (7, 1000):
+        found = ann.nearest(df, df.where("vec_id % 5 = 0"), query_block=4, block=8, held=held)
+        got = defaultdict(list)
+        for row in found.collect():
+            got[row.query_id].append((row.rank, row.vec_id, row.score))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in plan and "Broadcast" not in plan
+        assert len(got) == 180
+        for q, hits in got.items():
+            d = np.sqrt(np.cumsum((x - x[q]) ** 2, axis=1)[:, -1])
+            d[q] = np.inf
+            nearest = sorted(zip(d.tolist(), range(900)))[:10]
+            assert sorted(hits) == [(k + 1, i, s) for k, (s, i) in enumerate(nearest)]
+
+
 def test_reshard_levels_bytes_and_keeps_rows(docs, none, tmp_path):
     rows = reshard.digest(reshard.resharded(docs, str(tmp_path / "a"), shards=4)).collect()
     texts = dict(corpus())
